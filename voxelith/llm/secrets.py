@@ -48,13 +48,12 @@ ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx|0123456789
 _LOW, _SIZE, _BLOCK = 43, 80, 64
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
+def _spans(found: Column, between: Column, kind: str, keep) -> Column:
     """array<struct<start, order, kind, end>> of the matches that ``keep`` accepts.
 
     Places come from the lengths of what lies between matches, summed in blocks so that
     a text with very many matches costs no square of them.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("n"), m.alias("m")))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
     ends = F.aggregate(
@@ -106,26 +105,39 @@ def window_entropy(chars: Column, window: int, bits: float) -> Column:
     return F.aggregate(steps, state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _scored(c: CharacterClass):
+    return lambda x: F.struct(x.alias("x"), window_entropy(F.split(x["match"], ""), c.window, c.bits).alias("e"))
+
+
 def scan(docs: DataFrame, classes=CLASSES, allow: str = ALLOW) -> DataFrame:
     """``docs`` with ``spans``: array<struct<start, ord, kind, end>>, by start, then kind."""
-    text = F.coalesce(docs["text"], F.lit(""))
 
     def always(x: Column) -> Column:
         return F.lit(True)
 
-    base = [
-        _spans(text, ASSIGN, "assign", lambda x: x["match"].rlike(ASSIGN_VALUE)),
-        _spans(text, ACCESS, "access", always),
-        _spans(text, HEX, "hex", always),
+    asked = [
+        ("assign", ASSIGN, lambda x: x["match"].rlike(ASSIGN_VALUE)),
+        ("access", ACCESS, always),
+        ("hex", HEX, always),
+        *(("entropy", c.pattern, lambda x: ~x["match"].rlike(allow)) for c in classes),
     ]
-    added = []
-    for c in classes:
-        found = _spans(text, c.pattern, "entropy", lambda x: ~x["match"].rlike(allow))
-        scored = F.transform(found, lambda x, c=c: F.struct(x.alias("x"), window_entropy(F.split(x["match"], ""), c.window, c.bits).alias("e")))
-        added.append(F.transform(F.filter(scored, lambda s: s["e"]["first"] >= 0), lambda s: F.struct(
-            (s["x"]["start"] + s["e"]["first"]).alias("start"), s["x"]["ord"].alias("ord"), s["x"]["kind"].alias("kind"), (s["x"]["start"] + s["e"]["last"]).alias("end"))))
-    plain = [F.transform(b, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end"))) for b in base]
-    return docs.withColumn("spans", F.array_sort(F.array_distinct(F.concat(*plain, *added))))
+    n, text = range(len(asked)), F.col("text")
+    # matches and what lies between them are columns of their own, so each pattern runs once
+    # over a text, and once more over the few texts where it matches
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "spans")).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = rows.select("row", "text", *(F.regexp_extract_all("text", F.lit(asked[k][1]), F.lit(0)).alias(f"found{k}") for k in n))
+    rows = rows.select("row", *(f"found{k}" for k in n), *(F.when(F.size(f"found{k}") > 0, F.split(text, asked[k][1], -1)).alias(f"between{k}") for k in n))
+    rows = rows.select("row", *(_spans(F.col(f"found{k}"), F.col(f"between{k}"), asked[k][0], asked[k][2]).alias(f"spans{k}") for k in n))
+
+    def plain(k: int) -> Column:
+        return F.transform(f"spans{k}", lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    def dense(k: int, c: CharacterClass) -> Column:
+        return F.transform(F.filter(F.transform(f"spans{k}", _scored(c)), lambda s: s["e"]["first"] >= 0), lambda s: F.struct(
+            (s["x"]["start"] + s["e"]["first"]).alias("start"), s["x"]["ord"].alias("ord"), s["x"]["kind"].alias("kind"), (s["x"]["start"] + s["e"]["last"]).alias("end")))
+
+    spans = [plain(k) if k < 3 else dense(k, classes[k - 3]) for k in n]
+    return rows.select("row.*", F.array_sort(F.array_distinct(F.concat(*spans))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
