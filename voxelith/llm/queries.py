@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets, sharding, toxicity
+from . import chat, packing, secrets, sharding, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # the fixed conversation -7 of the contract
@@ -37,5 +41,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_sharding, op6_toxicity, op8_secret_scan, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_sharding, op6_toxicity, op8_secret_scan, op9_best_fit_packing)}
 SQL: dict[str, str] = {}
