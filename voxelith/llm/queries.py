@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ngram_join, packing, secrets, sharding, suffix_dedup, toxicity
+from . import chat, decontamination, neighbours, ngram_join, packing, secrets, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build_index(rows, k=10), rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), ["doc_id", "text"])
@@ -45,5 +50,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_sharding, op4_ngram_jaccard_join, op6_toxicity, op8_secret_scan, op9_best_fit_packing)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_sharding, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_toxicity, op8_secret_scan, op9_best_fit_packing, op10_benchmark_decontamination)}
 SQL: dict[str, str] = {}
