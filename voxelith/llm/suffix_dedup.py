@@ -157,26 +157,33 @@ def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
 
 
 class External:
-    """A list in a file; each round writes its successor front to back, then takes its place."""
+    """A list in a file; each round writes its successor front to back, then drops it.
+
+    The successor is a new file: writing over one, or renaming onto it, would wait for the disk.
+    """
 
     def __init__(self, folder: str, name: str, kind):
-        self.path, self.kind = os.path.join(folder, name), np.dtype(kind)
+        self.path, self.kind, self.turn = os.path.join(folder, name), np.dtype(kind), 0
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.kind, copy=False).tofile(f"{self.path}.next")
-        os.replace(f"{self.path}.next", self.path)
+        values.astype(self.kind, copy=False).tofile(f"{self.path}.{self.turn + 1}")
+        if self.turn:
+            os.unlink(f"{self.path}.{self.turn}")
+        self.turn += 1
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.kind)
+        return np.fromfile(f"{self.path}.{self.turn}", self.kind)
 
 
 def repeated_starts(data: np.ndarray, begin: np.ndarray, before: np.ndarray, size: np.ndarray, width: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(segment, start) pairs whose ``width`` bytes occur under another start.
 
     Segment i is data[begin[i] : begin[i] + size[i]]; its tail starts ``before[i]`` bytes
-    in.  A list row is a suffix of a segment; per row the lists hold the segment, how many
-    symbols stand before its tail, the symbol in front of it (-1: not yet inserted) and the
-    symbols it shares with the row above.
+    in.  A list row is a suffix of a segment; per row the lists hold the segment, the
+    symbol in front of it (-1: not yet inserted) and the symbols it shares with the row
+    above.  A suffix that shares too little with both neighbours to reach ``width`` in the
+    rounds its segment has left, has no partner from there on: its segment is finished,
+    and the rows of finished segments leave the lists.
     """
     m = len(begin)
     tail_size = size - before
@@ -189,29 +196,49 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, before: np.ndarray, siz
     order = np.lexsort((tail_size, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
     sorted_tails = tails[order]
     differ = sorted_tails[1:, :width] != sorted_tails[:-1, :width]
-    shared = np.zeros(m, np.int64)
+    shared = np.zeros(m + 1, np.int64)
     if m > 1:
         first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        shared[1:] = np.minimum(first, np.minimum(tail_size[order[1:]], tail_size[order[:-1]]))
-    segment, depth, front, common = (External(folder, n, k) for n, k in (("segment", "i4"), ("depth", "i2"), ("front", "i2"), ("common", "u2")))
-    segment.write(order)
-    depth.write(np.zeros(m))
-    front.write(np.full(m, -1))
-    common.write(shared)
-    place = np.empty(m, np.int64)
+        shared[1:-1] = np.minimum(first, np.minimum(tail_size[order[1:]], tail_size[order[:-1]]))
+    best = np.zeros(m, np.int64)
+    best[order] = np.maximum(shared[:-1], shared[1:])
+    found = [(np.flatnonzero(best >= width), 0)]
+    going = (best + before >= width) & (before > 0)
+    segment, front, common = (External(folder, n, k) for n, k in (("segment", "i4"), ("front", "i2"), ("common", "u2")))
+    place = np.full(m, -1, np.int64)
+
+    def write(s: np.ndarray, f: np.ndarray, c: np.ndarray) -> None:
+        """Write the lists, without rows of finished segments once those are many."""
+        stay = going[s]
+        if 10 * stay.sum() < 7 * len(s):
+            rows = np.flatnonzero(stay)
+            if len(rows):
+                c = np.minimum.reduceat(c[: rows[-1] + 1], np.concatenate([[0], rows[:-1] + 1]))
+            else:
+                c = c[:0]
+            moved = np.cumsum(stay) - 1
+            live = np.flatnonzero(going)
+            place[live] = moved[place[live]]
+            s, f = s[rows], f[rows]
+        segment.write(s)
+        front.write(f)
+        common.write(c)
+
     place[order] = np.arange(m)
+    write(order, np.full(m, -1, np.int16), shared[:-1].astype(np.uint16))
     for r in range(1, int(before.max(initial=0)) + 1):
-        live = np.flatnonzero(before >= r)
-        symbols = data[begin[live] + before[live] - r].astype(np.int64)
-        f, c = front.read(), common.read()
+        live = np.flatnonzero(going & (before >= r))
+        if not len(live):
+            break
+        s, f, c = segment.read(), front.read(), common.read()
         rows = place[live]
-        f[rows] = symbols
+        f[rows] = data[begin[live] + before[live] - r]
         # all rows with a symbol, by symbol, then by row: the order of the suffixes after insertion
         held = np.flatnonzero(f >= 0)
         by = held[np.argsort(f[held].astype(np.uint8), kind="stable")]
-        rank = np.empty(len(f), np.int64)
-        rank[by] = np.arange(len(by))
-        k = rank[rows]
+        rank = np.empty(len(f), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        k = rank[rows].astype(np.int64)
         c = np.append(c, np.uint16(0))
 
         def least(upper: np.ndarray, lower: np.ndarray, c=c) -> np.ndarray:
@@ -231,28 +258,29 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, before: np.ndarray, siz
             out[same] = 1 + least(by[k[same] - 1], by[k[same]])
             return out
 
-        fresh = np.zeros(len(by), bool)
-        fresh[k] = True
-        new_place = m + k
-        old = np.ones(m + len(by), bool)
+        # rows of tails come first; the others are extensions of the rows in ``by``
+        ends = len(f) - (len(held) - len(live))
+        new_place = ends + k
+        total = ends + len(by)
+        old = np.ones(total, bool)
         old[new_place] = False
-        out = np.zeros(m + len(by), np.uint16)
+        fresh = ~old[ends:]
+        out = np.zeros(total, np.uint16)
         out[old] = c[:-1]
         out[new_place] = with_above(k)
         below = k[k + 1 < len(by)] + 1
         below = below[~fresh[below]]
-        out[m + below] = with_above(below)
-        for column, values in ((segment, live), (depth, np.full(len(live), r)), (front, np.full(len(live), -1))):
-            grown = np.empty(m + len(by), column.kind)
-            grown[old] = f if column is front else column.read()
-            grown[new_place] = values
-            column.write(grown)
-        common.write(out)
+        out[ends + below] = with_above(below)
+        new_s, new_f = np.empty(total, np.int32), np.full(total, -1, np.int16)
+        new_s[old], new_s[new_place] = s, live
+        new_f[old] = f
         place[live] = new_place
-    c = np.append(common.read(), np.uint16(0))
-    hit = (c[:-1] >= width) | (c[1:] >= width)
-    which, back = segment.read()[hit], depth.read()[hit]
-    return which.astype(np.int64), before[which] - back
+        best = np.maximum(out[new_place], np.append(out, np.uint16(0))[new_place + 1]).astype(np.int64)
+        found.append((live[best >= width], r))
+        going[live] = (best + before[live] >= width + r) & (before[live] > r)
+        write(new_s, new_f, out)
+    which = np.concatenate([x for x, _ in found])
+    return which, before[which] - np.concatenate([np.full(len(x), r) for x, r in found])
 
 
 SEGMENTS = "h long, x1 long, x2 long, n long, before int, judged int, body binary"
