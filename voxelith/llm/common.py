@@ -66,7 +66,7 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def batches_by_bytes(batches, column: str, limit: int = 4 << 20):
+def batches_by_bytes(batches, column: str, limit: int = 2 << 20):
     """Re-cut Arrow batches so that each holds about ``limit`` bytes of ``column``.
 
     A longer single text is a batch of its own; texts are never cut.

@@ -124,7 +124,7 @@ def bucketed(n: int, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "text", 8 << 20):
+        for batch in batches_by_bytes(batches, "text", 4 << 20):
             row, h = shingles(batch.column(0), n)
             content = np.sort(elements(row, h, batch.num_rows)[2].astype(np.uint64))
             cuts = np.searchsorted(content >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else [0, len(content)]
@@ -175,7 +175,7 @@ def candidates(n: int, maps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hot = (np.frombuffer(m, np.uint8) for m in maps.value)
         sent: set[bytes] = set()
-        for batch in batches_by_bytes(batches, "text", 8 << 20):
+        for batch in batches_by_bytes(batches, "text", 4 << 20):
             rows = batch.num_rows
             row, h = shingles(batch.column(1), n)
             size = np.bincount(row, minlength=rows)

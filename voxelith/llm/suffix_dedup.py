@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, batches_by_bytes, discard, materialize, ranges, string_buffer
+from .common import PrefixHash, batches_by_bytes, discard, materialize, mix, ranges, string_buffer
 
 ANCHOR = 50
 HOT_SEGMENTS = 20_000
@@ -73,7 +73,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return hashes[place[first]].view(np.int64), place[first], starts[first], starts[last] + 1
+    # least hashes crowd the low end of their range; mixed again, they fill it evenly
+    return mix(hashes[place[first]]).view(np.int64), place[first], starts[first], starts[last] + 1
 
 
 def buffers(batch: pa.RecordBatch, width: int):
