@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -135,3 +136,29 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     out = raw.copy()
     out[(raw >= 65) & (raw <= 90)] += 32
     return out
+
+
+class Bitmap:
+    """A set of 64-bit hashes by their top bits: no member is missed, others may pass.
+
+    Its size is fixed, so it may be broadcast; over very large inputs it passes more.
+    """
+
+    BITS = 25
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        k = h.view(np.uint64) >> np.uint64(64 - self.BITS)
+        return (self.words[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> np.ndarray:
+        """Words of the bitmap of a long column; as many rows at most come to the driver."""
+        k = F.shiftrightunsigned(F.col(column), 64 - cls.BITS)
+        bits = df.select(F.shiftright(k, 6).cast("int").alias("word"), (F.pmod(k, F.lit(64))).cast("int").alias("bit"))
+        words = bits.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+        out = np.zeros(1 << (cls.BITS - 6), np.uint64)
+        out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+        return out

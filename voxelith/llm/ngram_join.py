@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, batches_by_bytes, lower_ascii, materialize, mix, string_buffer
+from .common import Bitmap, PrefixHash, batches_by_bytes, lower_ascii, materialize, mix, string_buffer
 from .components import components
 
 _SEEN_BITS, _HOT_BITS, _HOT = 27, 24, 64
@@ -120,15 +120,19 @@ def elements(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
 
 
 def bucketed(n: int, buckets: int):
-    """mapInArrow: the 40 leading bits of all block contents, packed, by bucket of their top bits."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    """mapInArrow: all block contents by bucket of their top bits, as the 32 bits that follow.
+
+    Contents that agree in these bits only count as seen twice, which costs a look, no link.
+    """
+    top = buckets.bit_length() - 1
+    shift = np.uint64(64 - top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text", 4 << 20):
             row, h = shingles(batch.column(0), n)
             content = np.sort(elements(row, h, batch.num_rows)[2].astype(np.uint64))
             cuts = np.searchsorted(content >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else [0, len(content)]
-            packed = np.ascontiguousarray((content >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            packed = ((content << np.uint64(top)) >> np.uint64(32)).astype("<u4")
             full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "packed"])
 
@@ -137,21 +141,16 @@ def bucketed(n: int, buckets: int):
 
 def frequent(buckets: int):
     """applyInArrow: a bucket's slices of the bitmaps of contents seen twice, and often."""
+    top = buckets.bit_length() - 1
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table.column("packed").to_pylist()]
-        wide = np.zeros((sum(map(len, parts)), 8), np.uint8)
-        at = 0
-        for p in parts:
-            wide[at : at + len(p), :5] = p
-            at += len(p)
-        x = np.sort(wide.view("<u8").ravel())
+        x = np.sort(np.frombuffer(b"".join(table.column("packed").to_pylist()), "<u4"))
         out = []
         for bits, least in ((_SEEN_BITS, 2), (_HOT_BITS, _HOT)):
             hit = x[: len(x) - least + 1][x[: len(x) - least + 1] == x[least - 1 :]] if len(x) >= least else x[:0]
             slice_ = (1 << bits) // buckets
             flags = np.zeros(slice_, bool)
-            flags[(hit >> np.uint64(40 - bits)).astype(np.int64) % slice_] = True
+            flags[hit >> np.uint32(32 - (bits - top))] = True
             out.append(np.packbits(flags, bitorder="little").tobytes())
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "seen": [out[0]], "hot": [out[1]]})
 
@@ -249,39 +248,92 @@ def sketched():
     return run
 
 
-def across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """applyInArrow: pairs of one cell that lie in two components and may link.
-
-    Compared in blocks of rows; only what both lower bounds let through is given out.
-    """
-    k = table.column("k").to_pylist()
-    size = np.asarray(table.column("size")).astype(np.int64)
-    _, root = np.unique(np.array([bytes(x).hex() for x in table.column("root").to_pylist()]), return_inverse=True)
-    part, left, right = (np.asarray(table.column(c)) for c in ("part", "left", "right"))
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(k), -1)
-    one = np.flatnonzero(part == left)
-    two = np.flatnonzero(part == right)
+def _cell_pairs(size: np.ndarray, root: np.ndarray, first: np.ndarray, second: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows) of one cell that lie in two components and that both lower bounds let through."""
+    one, two = np.flatnonzero(first), np.flatnonzero(second)
     a, b = [], []
-    for s in range(0, len(one), 256):
-        i = one[s : s + 256]
-        apart = np.bitwise_count(bits[i][:, None, :] ^ bits[two][None, :, :]).sum(axis=2, dtype=np.int64) if len(two) * len(i) <= 1 << 20 else np.stack([np.bitwise_count(bits[x] ^ bits[two]).sum(axis=1, dtype=np.int64) for x in i])
+    step = max(1, (1 << 18) // max(len(two), 1))
+    for s in range(0, len(one), step):
+        i = one[s : s + step]
         si, sj = size[i][:, None], size[two][None, :]
-        may = (root[i][:, None] != root[two][None, :]) & (7 * apart <= si + sj) & (4 * np.minimum(si, sj) >= 3 * np.maximum(si, sj))
-        p, q = np.nonzero(may)
-        a += [k[x] for x in i[p]]
-        b += [k[x] for x in two[q]]
-    pairs = {(min(x, y), max(x, y)) for x, y in zip(a, b, strict=True)}
-    return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+        p, q = np.nonzero((root[i][:, None] != root[two][None, :]) & (4 * np.minimum(si, sj) >= 3 * np.maximum(si, sj)))
+        for t in range(0, len(p), 1 << 16):
+            x, y = i[p[t : t + (1 << 16)]], two[q[t : t + (1 << 16)]]
+            near = 7 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
+            a.append(x[near])
+            b.append(y[near])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over rows sorted by cell: pairs of sets across components that may link."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        cell = [np.asarray(table.column(c)) for c in ("content", "left", "right")]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cell], axis=0)
+        cuts = np.append(np.flatnonzero(new), table.num_rows)
+        size = np.asarray(table.column("size")).astype(np.int64)
+        root = np.asarray(table.column("root").combine_chunks().dictionary_encode().indices)
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        part = np.asarray(table.column("part"))
+        first, second = part == cell[1], part == cell[2]
+        a, b = [], []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if e - s > 1:
+                x, y = _cell_pairs(size[s:e], root[s:e], first[s:e], second[s:e], bits[s:e])
+                a.append(x + s)
+                b.append(y + s)
+        x = np.concatenate(a) if a else np.zeros(0, np.int64)
+        y = np.concatenate(b) if b else np.zeros(0, np.int64)
+        k = table.column("k").to_pylist()
+        found = {(min(k[i], k[j]), max(k[i], k[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([q for _, q in found], pa.binary())], ["a", "b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        # the last cell may go on in the next batch
+        same = np.ones(table.num_rows, bool)
+        for c in ("content", "left", "right"):
+            v = np.asarray(table.column(c))
+            same &= v == v[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield pairs(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield pairs(held)
+
+
+def listed(bitmap):
+    """mapInArrow: (k, tokens) of sets that the bitmap may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = Bitmap(bitmap.value)
+        for batch in batches:
+            if batch.num_rows:
+                h = np.frombuffer(b"".join(batch.column("k").to_pylist()), np.int64)[::2]
+                yield batch.filter(pa.array(may(np.ascontiguousarray(h))))
+
+    return run
 
 
 def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the linked sets among the CANDIDATES ``rows``."""
     spark = rows.sparkSession
-    sets = rows.filter("tokens is not null").groupBy("k").agg(F.first("contents").alias("contents"), F.first("tokens").alias("tokens"))
+    met = rows.filter("contents is not null").select("k", F.col("n_shingles").alias("size"), F.explode("contents").alias("content")).distinct()
+    met = materialize(met, "met")
+    leaders = met.groupBy("content").agg(F.min(F.struct("k", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(met.join(leaders, "content"), "shared")
+    # only sets that share a block with another one send their tokens
+    known = shared.select("k").distinct().mapInArrow(heads, "h long")
+    bitmap = spark.sparkContext.broadcast(Bitmap.of(known, "h"))
+    sets = rows.filter("tokens is not null").select("k", "tokens").mapInArrow(listed(bitmap), "k binary, tokens binary").groupBy("k").agg(F.first("tokens").alias("tokens"))
     sets = materialize(sets, "sets")
-    met = sets.select("k", (F.octet_length("tokens") / 8).cast("long").alias("size"), F.explode("contents").alias("content"))
-    leader = met.groupBy("content").agg(F.min(F.struct("k", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = met.join(leader, "content")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         first = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta"))
@@ -289,10 +341,13 @@ def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
         return materialize(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(verify(percent), "a binary, b binary"), name)
 
     fits = (F.col("k") != F.col("leader.k")) & (4 * F.least("size", "leader.size") >= 3 * F.greatest("size", "leader.size"))
-    links = check(shared.filter(fits).select(F.col("leader.k").alias("a"), F.col("k").alias("b")).distinct(), "links")
+    # a first look that joins most groups: each set against the leader that it meets most often
+    often = shared.filter(fits).groupBy(F.col("leader.k").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("met"))
+    links = check(often.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a")), "links")
     roots = components(links)
     # blocks that still hold several components
     named = shared.select("content", "k", "size", "n").join(roots, F.col("k") == F.col("node"), "left").select("content", "k", "size", "n", F.coalesce("root", "k").alias("root"))
+    named = materialize(named, "named")
     open_ = named.groupBy("content").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("content")
     named = named.join(open_, "content", "left_semi")
     cells = F.ceil(F.col("n") / _CELL).cast("int")
@@ -301,11 +356,20 @@ def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
     dealt = named.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     dealt = dealt.select("content", "k", "size", "root", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
     bits = sets.select("k", "tokens").mapInArrow(sketched(), "k binary, sketch binary")
-    pairs = dealt.join(bits, "k").groupBy("content", "left", "right").applyInArrow(across, "a binary, b binary").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = ("content", "left", "right")
+    pairs = dealt.join(bits, "k").repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(across, "a binary, b binary").distinct()
     more = check(pairs, "links")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
+def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: the first half of each key, as a long."""
+    for batch in batches:
+        h = np.frombuffer(b"".join(batch.column("k").to_pylist()), np.int64)[::2]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h))], ["h"])
+
+
 def join_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of each row (percent: 75 or more)."""
     if percent < 75:
@@ -313,7 +377,7 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * 500 // _ELEMENTS_A_BUCKET, 16)
-    buckets = min(1 << (wanted - 1).bit_length(), 1 << 20)
+    buckets = min(1 << (wanted - 1).bit_length(), 1 << 22)
     slices = texts.select("text").mapInArrow(bucketed(n, buckets), "bucket int, packed binary").groupBy("bucket").applyInArrow(frequent(buckets), "bucket int, seen binary, hot binary")
     # two bitmaps of a fixed size, whatever the input
     seen, hot = bytearray((1 << _SEEN_BITS) // 8), bytearray((1 << _HOT_BITS) // 8)

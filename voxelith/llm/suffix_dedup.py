@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, batches_by_bytes, discard, materialize, mix, ranges, string_buffer
+from .common import Bitmap, PrefixHash, batches_by_bytes, discard, materialize, mix, ranges, string_buffer
 
 ANCHOR = 50
 HOT_SEGMENTS = 20_000
 COLLECTION = 6_000
 _POSITION_BITS = 24
 _LONGEST = 8 << 20
-_BITMAP_BITS = 25
 
 
 # ---------------------------------------------------------------- anchors
@@ -131,29 +130,6 @@ def occurrences(width: int, bitmap):
     return run
 
 
-class Bitmap:
-    """A set of 64-bit hashes by their top bits: no member is missed, others may pass.
-
-    Its size is fixed, so it may be broadcast; over very large inputs it passes more.
-    """
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        k = h.view(np.uint64) >> np.uint64(64 - _BITMAP_BITS)
-        return (self.words[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
-    k = F.shiftrightunsigned(F.col(column), 64 - _BITMAP_BITS)
-    bits = df.select(F.shiftright(k, 6).cast("int").alias("word"), (F.pmod(k, F.lit(64))).cast("int").alias("bit"))
-    words = bits.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-    out = np.zeros(1 << (_BITMAP_BITS - 6), np.uint64)
-    out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
-    return out
-
-
 # ---------------------------------------------------------------- construction
 
 
@@ -462,7 +438,7 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     texts, share = keyed(docs), spark.sparkContext.broadcast
     counts = texts.select("text").mapInArrow(anchor_counts(width), "h long, n long")
     twice = materialize(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
-    found = texts.select("text", "t1", "t2").mapInArrow(occurrences(width, share(bitmap_of(twice, "h"))), OCCURRENCES)
+    found = texts.select("text", "t1", "t2").mapInArrow(occurrences(width, share(Bitmap.of(twice, "h"))), OCCURRENCES)
     found = materialize(found, "occurrences")
     discard(twice)
     # equal segments once, with a count and one place where their bytes can be read
@@ -477,7 +453,7 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
         F.col("place.t1").alias("t1"), F.col("place.t2").alias("t2"), F.struct(*key, "n", F.col("place.at").alias("at"), "before", "judged").alias("w"), (F.col("different") > HOT_SEGMENTS).alias("hot")
     )
     asked = materialize(asked.groupBy("t1", "t2", "hot").agg(F.collect_list("w").alias("wanted")), "asked")
-    sources = texts.select("t1", "t2", "text").mapInArrow(listed_texts(share(bitmap_of(asked, "t1"))), "t1 long, t2 long, text string")
+    sources = texts.select("t1", "t2", "text").mapInArrow(listed_texts(share(Bitmap.of(asked, "t1"))), "t1 long, t2 long, text string")
 
     def bodies(hot: bool) -> DataFrame:
         return sources.join(asked.filter(F.col("hot") == hot), ["t1", "t2"]).select("text", "wanted").mapInArrow(cut_segments(width), SEGMENTS)
@@ -497,7 +473,7 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     marks, texts = repeated_spans(docs, width), keyed(docs)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(marks, "t1"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap.of(marks, "t1"))
     kind = "doc_id long, text string, t1 long, t2 long"
     # only texts that may have marks are shuffled
     marked = texts.mapInArrow(split_texts(bitmap, True), kind).join(marks, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInArrow(finish(width), RESULT)
