@@ -175,18 +175,16 @@ def reduce(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[
         return sizes[k] if k >= 0 else None
 
     def best_pair(j: int, room: int) -> tuple[int, int] | None:
-        lo, hi, best = 0, bisect_left(sizes, room + 1) - 1, None
-        while lo <= hi:
-            a, b = sizes[hi], sizes[lo]
-            enough = left(a, j) >= (2 if a == b else 1) and left(b, j) >= 1
+        free = [s for s in sizes[: bisect_left(sizes, room + 1)] if left(s, j) >= 1]
+        lo, hi, best = 0, len(free) - 1, None
+        while lo < hi or (lo == hi and left(free[lo], j) >= 2):
+            a, b = free[hi], free[lo]
             if a + b > room:
                 hi -= 1
-            else:
-                if enough and (best is None or a + b > sum(best)):
-                    best = (a, b)
-                    if a + b == room:
-                        break
-                lo += 1
+                continue
+            if best is None or a + b > sum(best):
+                best = (a, b)
+            lo += 1
         return best
 
     j = sizes[-1] if sizes else 0

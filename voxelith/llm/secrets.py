@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Fixed patterns of the base kinds.  In the last two a match is a maximal run, so the
 #: least length can stand in the pattern; in the first a failing match uses up its text.
-ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
-ASSIGN_VALUE = r"[A-Za-z0-9+/_.=-]{8,}$"
+ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LEAST = 8
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, classes=CLASSES, allow: str = ALLOW) -> DataFrame:
         return F.lit(True)
 
     asked = [
-        ("assign", ASSIGN, lambda x: x["match"].rlike(ASSIGN_VALUE)),
+        ("assign", ASSIGN, lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= ASSIGN_LEAST),
         ("access", ACCESS, always),
         ("hex", HEX, always),
         *(("entropy", c.pattern, lambda x: ~x["match"].rlike(allow)) for c in classes),
