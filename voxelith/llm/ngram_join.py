@@ -40,6 +40,8 @@ from .components import components
 _SEEN_BITS, _HOT_BITS, _HOT = 27, 24, 64
 _ELEMENTS_A_BUCKET = 4_000_000
 _CELL = 4_000
+#: Looks at leaders of blocks that hold several components, before all their pairs are compared.
+ROUNDS = 2
 
 
 def shingles(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def bucketed(n: int, buckets: int):
     shift = np.uint64(64 - top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "text", 4 << 20):
+        for batch in batches_by_bytes(batches, "text"):
             row, h = shingles(batch.column(0), n)
             content = np.sort(elements(row, h, batch.num_rows)[2].astype(np.uint64))
             cuts = np.searchsorted(content >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else [0, len(content)]
@@ -174,7 +176,7 @@ def candidates(n: int, maps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hot = (np.frombuffer(m, np.uint8) for m in maps.value)
         sent: set[bytes] = set()
-        for batch in batches_by_bytes(batches, "text", 4 << 20):
+        for batch in batches_by_bytes(batches, "text"):
             rows = batch.num_rows
             row, h = shingles(batch.column(1), n)
             size = np.bincount(row, minlength=rows)
@@ -322,6 +324,14 @@ def listed(bitmap):
     return run
 
 
+def open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (content, k, size, n, root) of the blocks that hold sets of several components."""
+    named = shared.select("content", "k", "size", "n").join(roots, F.col("k") == F.col("node"), "left").select("content", "k", "size", "n", F.coalesce("root", "k").alias("root"))
+    named = materialize(named, "named")
+    several = named.groupBy("content").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("content")
+    return materialize(named.join(several, "content", "left_semi"), "open")
+
+
 def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the linked sets among the CANDIDATES ``rows``."""
     spark = rows.sparkSession
@@ -343,13 +353,23 @@ def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("k") != F.col("leader.k")) & (4 * F.least("size", "leader.size") >= 3 * F.greatest("size", "leader.size"))
     # a first look that joins most groups: each set against the leader that it meets most often
     often = shared.filter(fits).groupBy(F.col("leader.k").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("met"))
-    links = check(often.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a")), "links")
+    tried = materialize(often.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a")).select("a", "b"), "pairs")
+    links = check(tried, "links")
     roots = components(links)
-    # blocks that still hold several components
-    named = shared.select("content", "k", "size", "n").join(roots, F.col("k") == F.col("node"), "left").select("content", "k", "size", "n", F.coalesce("root", "k").alias("root"))
-    named = materialize(named, "named")
-    open_ = named.groupBy("content").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("content")
-    named = named.join(open_, "content", "left_semi")
+    # blocks that still hold several components: one set of each meets the block's leader,
+    # so a group of copies in pieces joins without a look at all of its pairs
+    for _ in range(ROUNDS):
+        named = open_blocks(shared, roots)
+        heads_ = named.groupBy("content", "root").agg(F.min(F.struct("k", "size")).alias("head"))
+        first = heads_.groupBy("content").agg(F.min("head").alias("leader"))
+        fits = (F.col("head.k") != F.col("leader.k")) & (4 * F.least("head.size", "leader.size") >= 3 * F.greatest("head.size", "leader.size"))
+        pairs = materialize(heads_.join(first, "content").filter(fits).select(F.col("leader.k").alias("a"), F.col("head.k").alias("b")).distinct(), "pairs")
+        more = check(pairs.join(tried, ["a", "b"], "left_anti"), "links")
+        tried = tried.unionByName(pairs)
+        if more.isEmpty():
+            break
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    named = open_blocks(shared, roots)
     cells = F.ceil(F.col("n") / _CELL).cast("int")
     part = F.pmod(F.xxhash64("k"), cells).cast("int")
     # a block with very many sets is dealt into cells of parts, so no task holds all of it
