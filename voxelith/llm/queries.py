@@ -59,4 +59,30 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_sharding, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_toxicity, op7_license_scan, op8_secret_scan, op9_best_fit_packing, op10_benchmark_decontamination)}
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: DuckDB twins.  The others have none: ring positions, floods of tokens, learned scores,
+#: alignments, spans of matches and byte windows are tested against brute force instead.
+SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+     p AS (SELECT *, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+     l AS (SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', '')) + 7 AS piece,
+                  length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), ':', '')) + 6 AS header FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(piece + CASE WHEN before IS NULL THEN header WHEN before <> role THEN header + 1 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id""",
+    "op4_ngram_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+     e AS (SELECT doc_id, unnest(s) AS g FROM s), n AS (SELECT doc_id, len(s) AS n FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+     both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     reach(root, doc_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.root, b FROM reach r JOIN both_ ON a = r.doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, min(root) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n""",
+}
