@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +62,25 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trimmed(run):
+    """A mapInArrow function that gives freed memory back to the system when it ends.
+
+    Workers are used again; what one stage's arrays took must not sit beside the next stage.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library keeps its own ways
+
+    return wrapped
+
+
 def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column in one buffer, and its n+1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

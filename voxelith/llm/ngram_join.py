@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, PrefixHash, batches_by_bytes, lower_ascii, materialize, mix, string_buffer
+from .common import Bitmap, PrefixHash, batches_by_bytes, lower_ascii, materialize, mix, string_buffer, trimmed
 from .components import components
 
 _SEEN_BITS, _HOT_BITS, _HOT = 27, 24, 64
@@ -138,7 +138,7 @@ def bucketed(n: int, buckets: int):
             full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "packed"])
 
-    return run
+    return trimmed(run)
 
 
 def frequent(buckets: int):
@@ -215,7 +215,7 @@ def candidates(n: int, maps):
                 ["doc_id", "n_shingles", "k", "contents", "tokens"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -232,7 +232,7 @@ def verify(percent: int):
             keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(ta, tb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def sketched():
@@ -247,7 +247,7 @@ def sketched():
                 out.append(np.packbits(flips.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "sketch"])
 
-    return run
+    return trimmed(run)
 
 
 def _cell_pairs(size: np.ndarray, root: np.ndarray, first: np.ndarray, second: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ def listed(bitmap):
                 h = np.frombuffer(b"".join(batch.column("k").to_pylist()), np.int64)[::2]
                 yield batch.filter(pa.array(may(np.ascontiguousarray(h))))
 
-    return run
+    return trimmed(run)
 
 
 def open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
     bits = sets.select("k", "tokens").mapInArrow(sketched(), "k binary, sketch binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cell = ("content", "left", "right")
-    pairs = dealt.join(bits, "k").repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(across, "a binary, b binary").distinct()
+    pairs = dealt.join(bits, "k").repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(trimmed(across), "a binary, b binary").distinct()
     more = check(pairs, "links")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, PrefixHash, batches_by_bytes, discard, materialize, mix, ranges, string_buffer
+from .common import Bitmap, PrefixHash, batches_by_bytes, discard, materialize, mix, ranges, string_buffer, trimmed
 
 ANCHOR = 50
 HOT_SEGMENTS = 20_000
@@ -99,7 +99,7 @@ def anchor_counts(width: int):
                 h, n = np.unique(anchors(raw, offsets, width)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
-    return run
+    return trimmed(run)
 
 
 OCCURRENCES = "t1 long, t2 long, h long, x1 long, x2 long, at long, before int, judged int"
@@ -127,7 +127,7 @@ def occurrences(width: int, bitmap):
                 cols = [t1[row], t2[row], h, *x, at - offsets[part] + base[part], (at - lo).astype(np.int32), (hi - lo).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t1", "t2", "h", "x1", "x2", "at", "before", "judged"])
 
-    return run
+    return trimmed(run)
 
 
 # ---------------------------------------------------------------- construction
@@ -308,7 +308,7 @@ def construct(width: int):
         if rows and (out := judge(rows)):
             yield out
 
-    return run
+    return trimmed(run)
 
 
 def verdicts(rows: list[tuple], which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch | None:
@@ -346,7 +346,7 @@ def listed_texts(bitmap):
             if rows:
                 yield batch.take(pa.array(rows))
 
-    return run
+    return trimmed(run)
 
 
 def split_texts(bitmap, listed: bool):
@@ -356,7 +356,7 @@ def split_texts(bitmap, listed: bool):
             keep = may(np.asarray(batch.column("t1")))
             yield batch.filter(pa.array(keep if listed else ~keep))
 
-    return run
+    return trimmed(run)
 
 
 def cut_segments(width: int):
@@ -375,7 +375,7 @@ def cut_segments(width: int):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "x1", "x2", "n", "before", "judged", "body"])
 
-    return run
+    return trimmed(run)
 
 
 def window_hashes(width: int):
@@ -394,7 +394,7 @@ def window_hashes(width: int):
             start = (start - np.asarray(batch.column("before"))[row]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*g, *(batch.column(c).take(pa.array(row)) for c in ("h", "x1", "x2", "n")), pa.array(start)], ["g1", "g2", "h", "x1", "x2", "n", "start"])
 
-    return run
+    return trimmed(run)
 
 
 def finish(width: int):
@@ -426,7 +426,7 @@ def finish(width: int):
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return run
+    return trimmed(run)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
