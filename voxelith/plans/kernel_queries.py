@@ -114,9 +114,9 @@ def c05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g09_geodesic_sides", "label;;upper")
 def g09(spark: SparkSession, d: str) -> DataFrame:
-    vox, _ = _crop(spark, d)
+    vox = voxels(spark, d)
     own = vox.filter("label <> 0")
-    return splits.geodesic_sides(own, own.filter("x = 0"), own.filter(f"x = {CROP - 1}"))
+    return splits.geodesic_sides(own, own.filter("x = 0"), own.filter(F.col("x") == grid_of(vox).dimx - 1))
 
 
 @query("g13_refreshed_neighbours", "label neighbour n", "v2 AS (SELECT x, y, z, CASE WHEN other = 3 AND x < 6 THEN 500 ELSE label END AS label FROM vox), f2 AS (" + " UNION ALL ".join(f"SELECT a.x, a.y, a.z, a.label AS la, b.label AS lb, b.x AS x2, b.y AS y2, b.z AS z2 FROM v2 a JOIN v2 b ON b.x = a.x + {i} AND b.y = a.y + {j} AND b.z = a.z + {k}" for i, j, k in ((1, 0, 0), (0, 1, 0), (0, 0, 1))) + "), s2 AS (SELECT la AS label, lb AS neighbour, x, y, z FROM f2 WHERE la <> lb AND la <> 0 AND lb <> 0 UNION SELECT lb, la, x2, y2, z2 FROM f2 WHERE la <> lb AND la <> 0 AND lb <> 0) || SELECT label, neighbour, count(*) AS n FROM s2 GROUP BY 1, 2")
@@ -127,8 +127,8 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _object(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Grid]:
-    vox, g = _crop(spark, d)
-    solid = vox.select(*AXES, F.lit(1).alias("label"))
+    vox = voxels(spark, d)
+    g, solid = grid_of(vox), vox.select(*AXES, F.lit(1).alias("label"))
     return solid, splits.landscape(splits.object_crop(solid, 1, 1, g), g), g
 
 
@@ -155,7 +155,8 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x06_projected_cut", "part n", "SELECT CASE WHEN x <= 5 THEN 1 ELSE 2 END AS part, count(*) AS n FROM vox WHERE x < 12 AND y < 12 AND z < 12 GROUP BY 1")
 def x06(spark: SparkSession, d: str) -> DataFrame:
-    solid, _, g = _object(spark, d)
+    vox, g = _crop(spark, d)  # as its twin reads it; x07 cuts the whole table
+    solid = vox.select(*AXES, F.lit(1).alias("label"))
     flat = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 0, 0], [0, 0, 0, 1]]
     return splits.projected_cut(solid, g, 1, flat, [(5.4, -1.0), (5.4, 20.0)], 0.9).groupBy("part").agg(F.count("*").alias("n"))
 
