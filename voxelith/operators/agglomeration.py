@@ -8,7 +8,7 @@ components never influence each other.
 from __future__ import annotations
 
 import heapq
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,8 @@ from .graph import connected
 from .neighbours import ranked, region_adjacency, region_index
 
 STRATEGIES = ("mean", "open_mean", "open_fraction")
+#: Edges of a graph that the strict order may take over from rounds.
+GREEDY_EDGES = 500_000
 
 
 @dataclass(frozen=True)
@@ -210,26 +212,35 @@ def agglomerate_graph(regions: DataFrame, edges: DataFrame, o: Options) -> DataF
     return nodes.unionByName(e).groupBy("component").applyInArrow(run, "region_id long, root long, merges long, cleanups long")
 
 
-def batched_roots(regions: DataFrame, edges: DataFrame, o: Options, most: int = 100) -> DataFrame:
+def batched_roots(regions: DataFrame, edges: DataFrame, o: Options) -> DataFrame:
     """region_id, root by rounds of edges that are the best of both their ends.
 
     A round is a few joins and aggregates, so graphs of any size merge; the partition may
-    differ from that of the strict order.
+    differ from that of the strict order.  Rounds go on until no score is positive.  Where
+    they stop paying (one pair is left in a round, or few in a graph that fits a task), the
+    strict order does the rest.
     """
     parent = written(regions.select("region_id", F.col("region_id").alias("root"), "n"), "parent")
     current, sizes = written(edges.select("r1", "r2", "total_b", "total_a", "open_b", "open_a"), "rag"), regions.select("region_id", "n")
-    for _ in range(most):
+    while True:
         q = initial_queue(scored_edges(current, sizes, o)).withColumn("k", F.struct("score", (-F.col("r1")).alias("a"), (-F.col("r2")).alias("b")))
         best = q.select(F.explode(F.array("r1", "r2")).alias("r"), "k").groupBy("r").agg(F.max("k").alias("best"))
         mutual = q.join(best.select(F.col("r").alias("r1"), F.col("best").alias("b1")), "r1").join(best.select(F.col("r").alias("r2"), F.col("best").alias("b2")), "r2").filter("k = b1 and k = b2").select("r1", "r2")
         moves = written(mutual.select(F.greatest("r1", "r2").alias("region_id"), F.least("r1", "r2").alias("root")), "moves")
-        if moves.isEmpty():
-            break
+        pairs = moves.count()
+        if pairs == 0:
+            return parent.select("region_id", "root")
+        last = pairs == 1 or pairs * 100 <= current.count() <= GREEDY_EDGES
+        if last:
+            strict = written(agglomerate_graph(sizes, current, replace(o, cleanup_size=0)).select("region_id", "root"), "strict")
+            least = strict.groupBy("root").agg(F.min("region_id").alias("least"))
+            moves = strict.join(least, "root").select("region_id", F.col("least").alias("root"))
         to = moves.select(F.col("region_id").alias("_f"), F.col("root").alias("_t"))
         parent = written(parent.join(to, F.col("root") == F.col("_f"), "left").select("region_id", F.coalesce("_t", "root").alias("root"), "n"), "parent")
+        if last:
+            return parent.select("region_id", "root")
         current = written(contract(current, moves), "rag")
         sizes = parent.groupBy(F.col("root").alias("region_id")).agg(F.sum("n").alias("n"))
-    return parent.select("region_id", "root")
 
 
 def small_regions(regions: DataFrame, edges: DataFrame, roots: DataFrame, least: int) -> DataFrame:
