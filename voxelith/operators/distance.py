@@ -93,14 +93,15 @@ def _numbered(parts: DataFrame) -> DataFrame:
 def h_convex_seeds(dist: DataFrame, grid: Grid, height: float = 1.0, least: float = 0.1, value: str = "dist", edge: int = 64, halo: int = 16) -> DataFrame:
     """Seeds where the map rises ``height`` over its reconstruction from map - height.
 
-    The reconstruction (26 neighbours) runs in blocks; maxima whose dome reaches beyond
-    the halo may be cut there.
+    The reconstruction (26 neighbours) runs in blocks that exchange values through written
+    tables until none changes, so it equals that of the whole volume.
     """
+    if halo < 1:
+        raise ValueError("blocks need a halo")
 
     def kernel(table: pa.Table) -> pa.Table:
-        b = Block(table, {value: 0.0})
-        v = np.where(b.present, b[value], -np.inf)
-        low = v - height
+        b = Block(table, {"_v": 0.0, "_low": 0.0})
+        v, low = (np.where(b.present, b[c], -np.inf) for c in ("_v", "_low"))
         while True:
             grown = low.copy()
             for d in TWENTY_SIX:
@@ -109,10 +110,17 @@ def h_convex_seeds(dist: DataFrame, grid: Grid, height: float = 1.0, least: floa
             if (grown == low).all():
                 break
             low = grown
-        with np.errstate(invalid="ignore"):
-            return b.rows(b.own & (v - low > least) & (v > 0))
-
-    peaks = by_block(dist.select(*AXES, F.col(value).cast("double").alias(value)), grid, kernel, "x int, y int, z int", edge, halo)
+        # a block that sees no other one is done in its first round
+        alone = not (b.present & ~b.own).any()
+        return b.rows(b.own, _v=v, _low=low, risen=(low > b["_low"]) & (not alone))
+
+    state = dist.select(*AXES, F.col(value).cast("double").alias("_v"), (F.col(value).cast("double") - height).alias("_low"))
+    while True:
+        state = written(by_block(state, grid, kernel, "x int, y int, z int, _v double, _low double, risen boolean", edge, halo), "reconstruction")
+        if state.filter("risen").isEmpty():
+            break
+        state = state.drop("risen")
+    peaks = state.filter((F.col("_v") - F.col("_low") > least) & (F.col("_v") > 0)).select(*AXES)
     return _numbered(components(peaks.withColumn("label", F.lit(1)), grid))
 
 
