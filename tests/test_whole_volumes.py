@@ -23,3 +23,12 @@ def test_h_convex_seeds_do_not_depend_on_blocks(spark):
     vox = spark.createDataFrame(rows, "x int, y int, z int, dist double")
     whole, parts = (cells(distance.h_convex_seeds(vox, g, edge=e, halo=1), "seed") for e in (64, 3))
     assert whole and whole == parts
+
+
+def test_blockwise_watershed_reaches_the_end(spark):
+    g = Grid(60, 1, 1)
+    rows = [(x, 0, 0, 0.0, 1 if x == 0 else 0) for x in range(60) if x != 57]
+    vox = spark.createDataFrame(rows, "x int, y int, z int, cost double, seed int")
+    got = cells(distance.blockwise_watershed(vox, g, edge=1, halo=1), "label")
+    # the last two voxels lie behind a gap, where no marker is
+    assert got == {(x, 0, 0): 1 if x < 57 else 0 for x in range(60) if x != 57}

@@ -231,19 +231,23 @@ def automatic_edge(voxels: int, threads: int) -> int:
     return int(min(256, max(128, edge // 32 * 32)))
 
 
-def blockwise_watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "seed", edge: int = 128, halo: int = 16, connectivity: int = 6, most: int = 20) -> DataFrame:
+def blockwise_watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "seed", edge: int = 128, halo: int = 16, connectivity: int = 6) -> DataFrame:
     """x, y, z, label: flood in blocks with a halo, in two colours of a checkerboard.
 
     Red blocks flood from their markers, black ones also from what red ones found in their
     halo.  Blocks without any marker wait for the next round.  By design this is close to,
-    not equal to, the global flood.  If a round changes nothing the rest stays 0.
+    not equal to, the global flood.  Rounds go on while they reach open voxels; as blocks
+    see their neighbours' faces, what is open after a round without change has no way to a
+    marker and stays 0, as in the global flood.
     """
+    if halo < 1:
+        raise ValueError("blocks need a halo")
     r = vox.agg(F.min(cost).alias("lo"), F.max(cost).alias("hi")).first()
     low, high = float(r["lo"]), float(r["hi"])
     state = written(vox.select(*AXES, F.col(cost).cast("double").alias("_c"), F.col(markers).cast("long").alias("_m")), "flood")
     colour = F.pmod(F.col("bx") + F.col("by") + F.col("bz"), F.lit(2))
     left = None
-    for _ in range(most):
+    while True:
         for now in (0, 1):
 
             def kernel(table: pa.Table) -> pa.Table:
