@@ -39,11 +39,13 @@ class CharacterClass:
 
 
 CLASSES = (
-    CharacterClass(r"(?<![A-Za-z0-9+/_=-])(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{24,}(?![A-Za-z0-9+/_=-])", 24, 3.0),
+    CharacterClass(r"(?<![A-Za-z0-9+/_=-])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", 24, 3.0),
     CharacterClass(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 20, 3.8),
 )
-#: Text that marks examples and other strings that are no secrets.
-ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx|0123456789|abcdefgh|//|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{0,6}$|^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+#: Text that marks examples and other strings that are no secrets.  Slashes mark a place only
+#: where they begin the string, and words only a string of at most 128 characters: in keys and
+#: in long blobs they come about by chance.
+ALLOW = r"(?i)^//|^(?=.{1,128}$).*?(?:example|sample|dummy|placeholder|changeme|redacted|xxxx|0123456789|abcdefgh)|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{0,6}$|^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 _LOW, _SIZE, _BLOCK = 43, 80, 64
 
