@@ -30,10 +30,16 @@ QUERY_BLOCK = 1024
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances in single precision (for ranking inside a shard)."""
+    """Squared distances (for ranking inside a shard)."""
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def scale(*arrays: np.ndarray) -> float:
+    """What to divide vectors by so that their squares are finite: 1 unless components are huge."""
+    top = max(float(np.abs(a).max(initial=0)) for a in arrays)
+    return top if top > 1e140 else 1.0
+
+
 def neighbours(d: np.ndarray, links: int, build: int) -> np.ndarray:
     """(nodes, links) flat neighbour array of one level, -1 where there are fewer."""
     n = len(d)
@@ -86,7 +92,7 @@ def search_level(vectors: np.ndarray, nodes: np.ndarray, links: np.ndarray, quer
     """
     q = len(queries)
     rows = np.arange(q)
-    best = np.full((q, beam), np.inf, np.float32)
+    best = np.full((q, beam), np.inf)
     found = np.full((q, beam), -1, np.int64)
     opened = np.zeros((q, beam), bool)
     seen = np.zeros((q, len(nodes)), bool)
@@ -108,7 +114,7 @@ def search_level(vectors: np.ndarray, nodes: np.ndarray, links: np.ndarray, quer
         near = links[found[live, k]].astype(np.int64)
         new = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
         seen[np.repeat(live, near.shape[1])[new.ravel()], near[new]] = True
-        dist = ((vectors[nodes[np.maximum(near, 0)]] - queries[live][:, None, :]) ** 2).sum(2, dtype=np.float32)
+        dist = ((vectors[nodes[np.maximum(near, 0)]] - queries[live][:, None, :]) ** 2).sum(2)
         dist = np.where(new, dist, np.inf)
         near = np.where(new, near, -1)
         both, who = np.concatenate([best[live], dist], 1), np.concatenate([found[live], near], 1)
@@ -140,7 +146,7 @@ def index_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     vectors = np.asarray(table.column("embedding").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
     u = (np.asarray(table.column("place")).view(np.uint64) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
     level = np.floor(-np.log(np.maximum(u, 1e-16)) / np.log(LINKS)).astype(np.int64)
-    graph = build_graph(vectors.astype(np.float32), level)
+    graph = build_graph(vectors / scale(vectors), level)
     levels = [x for nodes, links in graph for x in (nodes.tobytes(), links.tobytes())]
     return pa.table(
         [pa.array([dim], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))), pa.array([vectors.tobytes()]), pa.array([levels], pa.list_(pa.binary()))],
@@ -162,8 +168,10 @@ def search_shards(k: int, beam: int):
                 ids = row["ids"].as_py()
                 own = np.asarray(row["query_ids"].values)
                 queries = np.asarray(row["queries"].values.flatten(), dtype=np.float64).reshape(-1, dim)
-                near = search_graph(vectors.astype(np.float32), graph, queries.astype(np.float32), beam)[:, : k + 1]
-                exact = np.sqrt(((vectors[np.maximum(near, 0)] - queries[:, None, :]) ** 2).sum(2))
+                unit = scale(vectors, queries)
+                vectors, queries = vectors / unit, queries / unit
+                near = search_graph(vectors, graph, queries, beam)[:, : k + 1]
+                exact = np.sqrt(((vectors[np.maximum(near, 0)] - queries[:, None, :]) ** 2).sum(2)) * unit
                 out = []
                 for q, places, d in zip(own.tolist(), near.tolist(), exact.tolist(), strict=True):
                     mine = sorted((s, v) for p, s in zip(places, d, strict=True) if p >= 0 for v in ids[p] if v != q)[:k]
