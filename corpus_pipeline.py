@@ -36,10 +36,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which an item of the benchmark is found go."""
-    found = materialize(decontamination.find_items(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    """Documents in which an item of the benchmark is found go.
+
+    A row's text alone decides, by its 64-bit hash: rows without doc_id go as others do, and
+    rows that share a doc_id are judged apart.
+    """
+    key = F.xxhash64("text")
+    found = materialize(decontamination.find_items(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")), "contaminated")
     gone = found.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.select(*DOCUMENT_COLUMNS).join(gone, key == F.col("gone"), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
