@@ -7,22 +7,36 @@ changes one block at most: the number of blocks that differ is a lower bound of
 symmetric difference.  Two sets of Jaccard 3/4 or more differ in at most
 d = (|A| + |B|) / 7 elements, hence (pigeonhole) of any d + 1 non-empty blocks of A one
 is equal in B.  That holds for the first d + 1 blocks in any common order, so blocks are
-taken by rarity: what occurs once in the corpus first, what is very frequent last.  A set
-whose first d + 1 blocks all occur once has no partner and is out at once.
-
-Sets that meet in a block are candidates.  First each set is verified against one leader
-a block, and components are built; then, in blocks that still hold several components,
-pairs across components are compared by bit sketches (one bit flipped a hash; the Hamming
-distance is again a lower bound) and verified where that bound allows a link.  Pairs of
-one component need no further look, so a group of copies costs no square of its size.
-
-Blocks are chosen so that a set has more than d non-empty ones except with a probability
-below 1e-8 (tests cover the sizes); equality of sets and blocks is that of hashes.
+taken by rarity: by the number of different sets that hold them.  A set whose first d + 1
+blocks all occur once has no partner and is out at once.  A set with d or fewer non-empty
+blocks is crowded; a pair can lose all common blocks only if both are crowded, so such
+sets also send their d + 1 least hashes, of which two linked sets share one.
+
+All blocks of different sets are dealt into buckets by their content, twelve bytes each,
+and counted there, so nothing is broadcast and no bitmap fills up; what one set alone
+holds goes no further.  Sets that meet in a block are candidates, and components are
+built from representatives:
+
+1. A block's leader is its most central set, the one that shares most with others for its
+   size; every other set of the block is verified against it: one pair a row at most.
+2. Blocks that still hold several components are looked at by bit sketches (8 to 16 bits
+   an element, one flipped a hash; the Hamming distance is again a lower bound).  Of what
+   may link across components, a block sends a forest only (least distance first), so
+   again one pair a row at most.  Blocks of the same sets are looked at once.
+3. The same again, now with all pairs that the bound lets through: by then these are the
+   few that lie within the sketch's error of the threshold.  This makes the result exact.
+
+Pairs of one component need no look, so a group of copies costs no square of its size.  In
+a block, the sets of its largest component are dealt into parts, and only the others go to
+every part.  A leader with very many members is verified in several tasks.
+
+Equality of sets and blocks is that of hashes (128 and 63 bits for sets).
 
 Null or empty text: no shingles, linked with nothing.  Fewer than n words: the whole
 sequence is the one shingle.  Repeated rows and equal sets are linked (if not empty).
 doc_id may be null; a component's id is its least doc_id that is not null.  Empty table:
-no rows.  Columns other than doc_id and text are not read.
+no rows.  Very long texts are one set like others.  Columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -31,17 +45,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, PrefixHash, batches_by_bytes, lower_ascii, materialize, mix, string_buffer, trimmed
+from .common import PrefixHash, batches_by_bytes, discard, lower_ascii, materialize, mix, string_buffer, trimmed
 from .components import components
 
-_SEEN_BITS, _HOT_BITS, _HOT = 27, 24, 64
-_ELEMENTS_A_BUCKET = 4_000_000
-_CELL = 4_000
-#: Looks at leaders of blocks that hold several components, before all their pairs are compared.
-ROUNDS = 2
+#: Bytes of text whose blocks make one bucket (about a million blocks, 12 MB).
+_BUCKET_BYTES = 10 << 20
+#: Sets of one component of a block that one task compares, and the sketch bytes it holds.
+_CELL, _CELL_BYTES = 4_000, 32 << 20
+#: Members of one leader that are verified in one task.
+_MEMBERS = 20_000
+#: Bits of a block's content that tell it from others: 32 beside those of its bucket.
+_CONTENT_BITS = 54
+_PACKED = np.dtype([("content", "<u4"), ("set", "<u8")])
 
 
 def shingles(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -121,99 +140,156 @@ def elements(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def bucketed(n: int, buckets: int):
-    """mapInArrow: all block contents by bucket of their top bits, as the 32 bits that follow.
+def parts_of(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, part, content) of all that a document sends, and its spare[row, part].
 
-    Contents that agree in these bits only count as seen twice, which costs a look, no link.
+    Part 0 is its own band, part 1 the one below.  Spare is d + 1 less the number of
+    non-empty blocks: where it is positive the set is crowded and its least hashes follow.
     """
-    top = buckets.bit_length() - 1
-    shift = np.uint64(64 - top)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "text"):
-            row, h = shingles(batch.column(0), n)
-            content = np.sort(elements(row, h, batch.num_rows)[2].astype(np.uint64))
-            cuts = np.searchsorted(content >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else [0, len(content)]
-            packed = ((content << np.uint64(top)) >> np.uint64(32)).astype("<u4")
-            full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "packed"])
+    size = np.bincount(row, minlength=rows)
+    r, g, content, d = elements(row, h, rows)
+    part = (g != band(size)[r]).astype(np.int64)
+    spare = np.zeros(2 * rows, np.int64)
+    spare[2 * r + part] = d + 1
+    spare -= np.bincount(2 * r + part, minlength=2 * rows)
+    ends = np.cumsum(size)
+    parts = [(r, part, content.astype(np.uint64))]
+    for at in np.flatnonzero(spare > 0).tolist():
+        i, p = divmod(at, 2)
+        least = h[ends[i] - size[i] : ends[i]][: int(d[(r == i) & (part == p)][0]) + 1]
+        salt = mix(band(size[i : i + 1]).astype(np.uint64) - np.uint64(p))
+        parts.append((np.full(len(least), i), np.full(len(least), p), mix(mix(least) + salt)))
+    r, part, content = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return r, part, content, spare.reshape(rows, 2)
+
+
+def keys_of(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each document's set, as two columns, and the sizes."""
+    size = np.bincount(row, minlength=rows)
+    first = np.cumsum(size) - size
+    keys = np.zeros((rows, 2), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        keys[full, 0] = mix(np.add.reduceat(h, first[full]))
+        keys[full, 1] = mix(np.bitwise_xor.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[full]) + size[full].astype(np.uint64))
+    return keys, size
 
-    return trimmed(run)
 
+_ROW = "set long, doc_id long, n_shingles long, k binary, t long, spare0 int, spare1 int"
+DEALT = "bucket long, packed binary, " + _ROW
+COUNTED = "rank long, " + _ROW
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
 
-def frequent(buckets: int):
-    """applyInArrow: a bucket's slices of the bitmaps of contents seen twice, and often."""
-    top = buckets.bit_length() - 1
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = np.sort(np.frombuffer(b"".join(table.column("packed").to_pylist()), "<u4"))
-        out = []
-        for bits, least in ((_SEEN_BITS, 2), (_HOT_BITS, _HOT)):
-            hit = x[: len(x) - least + 1][x[: len(x) - least + 1] == x[least - 1 :]] if len(x) >= least else x[:0]
-            slice_ = (1 << bits) // buckets
-            flags = np.zeros(slice_, bool)
-            flags[hit >> np.uint32(32 - (bits - top))] = True
-            out.append(np.packbits(flags, bitorder="little").tobytes())
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "seen": [out[0]], "hot": [out[1]]})
+def dealt(n: int, buckets: int):
+    """mapInArrow over (doc_id, text, t): one row a document, and packed blocks by bucket.
 
-    return run
+    The blocks of a set leave a task once.  Rows of documents travel in buckets below zero.
+    """
+    top = np.uint64(buckets.bit_length() - 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        turn = TaskContext.get().partitionId() * 7919
+        for batch in batches_by_bytes(batches, "text"):
+            rows = batch.num_rows
+            row, h = shingles(batch.column(1), n)
+            keys, size = keys_of(row, h, rows)
+            r, part, content, spare = parts_of(row, h, rows)
+            ks = [keys[i].tobytes() if size[i] else None for i in range(rows)]
+            fresh = np.zeros(rows, bool)
+            for i, k in enumerate(ks):
+                if k is not None and k not in sent:
+                    sent.add(k)
+                    fresh[i] = True
+            turn += 1
+            low = keys[:, 0] & ~np.uint64(1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(rows, -1 - turn % buckets)), pa.nulls(rows, pa.binary()), pa.array(low.view(np.int64)), batch.column(0), pa.array(size, pa.int64()),
+                 pa.array(ks, pa.binary()), batch.column(2), pa.array(spare[:, 0], pa.int32()), pa.array(spare[:, 1], pa.int32())],
+                names=_names(DEALT),
+            )
+            use = fresh[r]
+            r, part, content = r[use], part[use], content[use]
+            bucket = (content >> (np.uint64(64) - top)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32) if top else np.zeros(len(content), np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.empty(len(order), _PACKED)
+            packed["content"] = ((content << top) >> np.uint64(32))[order]
+            packed["set"] = (low[r] | part.astype(np.uint64))[order]
+            full, first = np.unique(bucket[order], return_index=True)
+            cuts = np.append(first, len(order))
+            of = [packed[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            none = [pa.nulls(len(full), t) for t in _TYPES]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(of, pa.binary()), *none], names=_names(DEALT))
 
-def has(bitmap: np.ndarray, bits: int, content: np.ndarray) -> np.ndarray:
-    k = (content >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitmap[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+    return trimmed(run)
 
 
-CANDIDATES = "doc_id long, n_shingles long, k binary, contents array<long>, tokens binary"
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def candidates(n: int, maps):
-    """mapInArrow: one row a document; contents and tokens only for sets that may have a partner.
+def counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """applyInArrow: the blocks of a bucket that several sets hold.
 
-    ``k`` is 128 bits of the set, null if it is empty.
+    Their rank is the number of these sets (255 or more count alike), then the content.
     """
+    bucket = key[0].as_py()
+    if bucket < 0:
+        return pa.table([pa.nulls(table.num_rows, pa.int64()), *table.select(_names(_ROW)).columns], names=_names(COUNTED))
+    packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), _PACKED)
+    content = np.ascontiguousarray(packed["content"])
+    order = np.argsort(content)
+    content = content[order]
+    again = np.zeros(len(content), bool)
+    again[1:] = content[1:] == content[:-1]
+    again[:-1] |= again[1:]
+    content, of = content[again], packed["set"][order[again]]
+    order = np.lexsort((of, content))
+    content, of = content[order], of[order]
+    once = np.ones(len(of), bool)
+    once[1:] = (content[1:] != content[:-1]) | (of[1:] != of[:-1])
+    content, of = content[once], of[once]
+    first = np.flatnonzero(np.append(True, content[1:] != content[:-1])) if len(content) else np.zeros(0, np.int64)
+    f = np.diff(np.append(first, len(content)))
+    f = np.repeat(f, f)
+    several = f > 1
+    rank = np.minimum(f[several], 255) << _CONTENT_BITS | bucket << 32 | content[several].astype(np.int64)
+    return pa.table([pa.array(rank), pa.array(of[several].view(np.int64)), *(pa.nulls(len(rank), t) for t in _TYPES[1:])], names=_names(COUNTED))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Words of a set's bit sketch: 8 to 16 bits an element, one flipped by each."""
+    bits = max(64, 16 << int(band(np.array([len(h)]))[0]))
+    flips = np.bincount(((h >> np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of rows, folded to ``width`` words: as if made with fewer bits."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def tokens(n: int):
+    """mapInArrow over texts: (k, tokens, sketch) of each set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, hot = (np.frombuffer(m, np.uint8) for m in maps.value)
         sent: set[bytes] = set()
         for batch in batches_by_bytes(batches, "text"):
-            rows = batch.num_rows
-            row, h = shingles(batch.column(1), n)
-            size = np.bincount(row, minlength=rows)
+            row, h = shingles(batch.column(0), n)
+            keys, size = keys_of(row, h, batch.num_rows)
             ends = np.cumsum(size)
-            keys = np.zeros((rows, 2), np.uint64)
-            full = np.flatnonzero(size)
-            if len(full):
-                keys[full, 0] = mix(np.add.reduceat(h, (ends - size)[full]))
-                keys[full, 1] = mix(np.bitwise_xor.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), (ends - size)[full]) + size[full].astype(np.uint64))
-            r, g, content, d = elements(row, h, rows)
-            content = content.astype(np.uint64)
-            kind = has(seen, _SEEN_BITS, content).astype(np.int8)
-            kind += has(hot, _HOT_BITS, content) & (kind == 1)
-            part = r * 2 + (g != band(size)[r])
-            order = np.lexsort((content, kind, part))
-            part, content, kind, d, r = part[order], content[order], kind[order], d[order], r[order]
-            new = np.ones(len(part), bool)
-            new[1:] = part[1:] != part[:-1]
-            rank = np.arange(len(part)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(part) else part
-            keep = (rank <= d) & (kind > 0)
-            r, content = r[keep], content[keep].view(np.int64)
-            cuts = np.searchsorted(r, np.arange(rows + 1))
-            contents, tokens, ks = [], [], []
-            for i in range(rows):
-                k = keys[i].tobytes() if size[i] else None
-                ks.append(k)
-                if k is None or cuts[i] == cuts[i + 1] or k in sent:
-                    contents.append(None)
-                    tokens.append(None)
-                else:
+            out = []
+            for i in np.flatnonzero(size).tolist():
+                k = keys[i].tobytes()
+                if k not in sent:
                     sent.add(k)
-                    contents.append(content[cuts[i] : cuts[i + 1]])
-                    tokens.append(h[ends[i] - size[i] : ends[i]].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(ks, pa.binary()), pa.array(contents, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
-                ["doc_id", "n_shingles", "k", "contents", "tokens"],
-            )
+                    own = h[ends[i] - size[i] : ends[i]]
+                    out.append((k, own.tobytes(), sketch(own).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.binary()) for c in range(3)], ["k", "tokens", "sketch"])
 
     return trimmed(run)
 
@@ -235,159 +311,189 @@ def verify(percent: int):
     return trimmed(run)
 
 
-def sketched():
-    """mapInArrow: adds to (k, tokens) a bit sketch: a set flips one bit for each hash."""
+def _near(one: np.ndarray, two: np.ndarray, size: np.ndarray, root: np.ndarray, bits: list[np.ndarray], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, distance) of pairs from ``one`` x ``two`` across components that all bounds let through."""
+    for low in np.unique(own[one]).tolist():
+        for high in (low - 1, low, low + 1):
+            left, right = one[own[one] == low], two[own[two] == high]
+            if not len(right):
+                continue
+            width = min(len(bits[left[0]]), len(bits[right[0]]))
+            wa, wb = (folded(np.stack([bits[k] for k in side]), width) for side in (left, right))
+            step = max(1, (1 << 20) // len(right))
+            for s in range(0, len(left), step):
+                i = left[s : s + step]
+                si, sj = size[i][:, None], size[right][None, :]
+                p, q = np.nonzero((root[i][:, None] != root[right][None, :]) & (4 * np.minimum(si, sj) >= 3 * np.maximum(si, sj)))
+                for t in range(0, len(p), chunk := max(1, (1 << 21) // width)):
+                    u, v = p[t : t + chunk], q[t : t + chunk]
+                    far = np.bitwise_count(wa[u + s] ^ wb[v]).sum(axis=1, dtype=np.int64)
+                    x, y = i[u], right[v]
+                    near = 7 * far <= size[x] + size[y]
+                    yield x[near], y[near], far[near]
+
+
+def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which of the pairs join components of a cell, nearest first (Kruskal)."""
+    parent = list(range(int(root.max()) + 1)) if len(root) else []
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    keep = []
+    for at in np.argsort(far, kind="stable").tolist():
+        i, j = find(int(root[x[at]])), find(int(root[y[at]]))
+        if i != j:
+            parent[i] = j
+            keep.append(at)
+    return np.array(keep, np.int64)
+
+
+def across(forest: bool):
+    """mapInArrow over rows sorted by cell: pairs (a, b) of sets across components that may link.
+
+    Of a forest only the pairs that join components; a row without pair then names a block
+    that has more of them.
+    """
+
+    def cell_pairs(table: pa.Table) -> pa.RecordBatch:
+        size = np.asarray(table.column("size")).astype(np.int64)
+        root = np.unique(np.asarray(table.column("root")), return_inverse=True)[1]
+        bits = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("sketch")]
+        part, left, right = (np.asarray(table.column(c)) for c in ("part", "left", "right"))
+        one, two, own = np.flatnonzero(part == left), np.flatnonzero(part == right), band(size)
+        found, more = [np.zeros(0, np.int64)] * 3, False
+        for near in _near(one, two, size, root, bits, own):
+            found = [np.concatenate(c) for c in zip(found, near, strict=True)]
+            if forest:
+                keep = _forest(*found, root)
+                more |= len(keep) < len(np.unique(np.minimum(found[0], found[1]) * len(size) + np.maximum(found[0], found[1])))
+                found = [c[keep] for c in found]
+        ids = np.asarray(table.column("id"))
+        a, b = ids[found[0]], ids[found[1]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        block = pa.nulls(len(pairs), pa.int64())
+        batch = pa.RecordBatch.from_arrays([block, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["content", "a", "b"])
+        if not more:
+            return batch
+        rest = pa.RecordBatch.from_arrays([table.column("content").combine_chunks()[:1], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["content", "a", "b"])
+        return pa.Table.from_batches([batch, rest]).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
         for batch in batches:
-            out = []
-            for t in batch.column("tokens"):
-                h = np.frombuffer(t.as_buffer(), np.uint64)
-                flips = np.bincount(((h >> np.uint64(3)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-                out.append(np.packbits(flips.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "sketch"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            cell = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("content", "left", "right")], axis=1)
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and cell[s].tolist() != last:
+                    yield cell_pairs(pa.concat_tables(held))
+                    held = []
+                held.append(table.slice(s, e - s))
+                last = cell[s].tolist()
+        if held:
+            yield cell_pairs(pa.concat_tables(held))
 
     return trimmed(run)
 
 
-def _cell_pairs(size: np.ndarray, root: np.ndarray, first: np.ndarray, second: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows) of one cell that lie in two components and that both lower bounds let through."""
-    one, two = np.flatnonzero(first), np.flatnonzero(second)
-    a, b = [], []
-    step = max(1, (1 << 18) // max(len(two), 1))
-    for s in range(0, len(one), step):
-        i = one[s : s + step]
-        si, sj = size[i][:, None], size[two][None, :]
-        p, q = np.nonzero((root[i][:, None] != root[two][None, :]) & (4 * np.minimum(si, sj) >= 3 * np.maximum(si, sj)))
-        for t in range(0, len(p), 1 << 16):
-            x, y = i[p[t : t + (1 << 16)]], two[q[t : t + (1 << 16)]]
-            near = 7 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
-            a.append(x[near])
-            b.append(y[near])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by cell: pairs of sets across components that may link."""
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        cell = [np.asarray(table.column(c)) for c in ("content", "left", "right")]
-        new = np.ones(table.num_rows, bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cell], axis=0)
-        cuts = np.append(np.flatnonzero(new), table.num_rows)
-        size = np.asarray(table.column("size")).astype(np.int64)
-        root = np.asarray(table.column("root").combine_chunks().dictionary_encode().indices)
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        part = np.asarray(table.column("part"))
-        first, second = part == cell[1], part == cell[2]
-        a, b = [], []
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if e - s > 1:
-                x, y = _cell_pairs(size[s:e], root[s:e], first[s:e], second[s:e], bits[s:e])
-                a.append(x + s)
-                b.append(y + s)
-        x = np.concatenate(a) if a else np.zeros(0, np.int64)
-        y = np.concatenate(b) if b else np.zeros(0, np.int64)
-        k = table.column("k").to_pylist()
-        found = {(min(k[i], k[j]), max(k[i], k[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([q for _, q in found], pa.binary())], ["a", "b"])
-
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        # the last cell may go on in the next batch
-        same = np.ones(table.num_rows, bool)
-        for c in ("content", "left", "right"):
-            v = np.asarray(table.column(c))
-            same &= v == v[-1]
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield pairs(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield pairs(held)
-
-
-def listed(bitmap):
-    """mapInArrow: (k, tokens) of sets that the bitmap may hold."""
+def open_cells(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (content, left, right, part, id, size, root) of blocks that hold sets of several components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = Bitmap(bitmap.value)
-        for batch in batches:
-            if batch.num_rows:
-                h = np.frombuffer(b"".join(batch.column("k").to_pylist()), np.int64)[::2]
-                yield batch.filter(pa.array(may(np.ascontiguousarray(h))))
+    Of blocks with the same sets one is taken.  The sets of a block's largest component are
+    dealt into parts that need not meet each other; the other sets go to every part.
+    """
+    named = materialize(
+        shared.select("content", "id", "size").join(roots, F.col("id") == F.col("node"), "left").select("content", "id", "size", F.coalesce("root", "id").alias("root")), "named"
+    )
+    held = named.groupBy("content", "root").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 7))").alias("y"))
+    whole = F.struct("n", "sizes", "root")
+    blocks = held.groupBy("content").agg(F.count("*").alias("roots"), F.max(whole).alias("main"), F.sum("n").alias("n"), F.sum("sizes").alias("sizes"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
+    blocks = blocks.filter("roots > 1").groupBy("n", "sizes", "x", "y").agg(F.min("content").alias("content"), F.min("main").alias("main"))
+
+    def parts(n: Column, sizes: Column) -> Column:
+        return F.ceil(F.greatest(n / _CELL, 2 * sizes / _CELL_BYTES)).cast("int")
+
+    blocks = blocks.select("content", F.col("main.root").alias("main"), parts(F.col("main.n"), F.col("main.sizes")).alias("g"), parts(F.col("n") - F.col("main.n"), F.col("sizes") - F.col("main.sizes")).alias("o"))
+    rows = named.join(blocks, "content")
+    inside = F.col("root") == F.col("main")
+    rows = rows.withColumn("part", F.when(inside, F.col("o") + F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.pmod(F.xxhash64("id"), F.col("o"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("o") - 1).otherwise(F.col("o") + F.col("g") - 1))))
+    out = materialize(rows.select("content", "id", "size", "root", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right")), "cells")
+    discard(named)
+    return out
 
-    return trimmed(run)
 
+def candidates(counted_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (content, id, size, score): of each set the blocks among its first d + 1 that others hold too.
 
-def open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (content, k, size, n, root) of the blocks that hold sets of several components."""
-    named = shared.select("content", "k", "size", "n").join(roots, F.col("k") == F.col("node"), "left").select("content", "k", "size", "n", F.coalesce("root", "k").alias("root"))
-    named = materialize(named, "named")
-    several = named.groupBy("content").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("content")
-    return materialize(named.join(several, "content", "left_semi"), "open")
-
-
-def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the linked sets among the CANDIDATES ``rows``."""
-    spark = rows.sparkSession
-    met = rows.filter("contents is not null").select("k", F.col("n_shingles").alias("size"), F.explode("contents").alias("content")).distinct()
-    met = materialize(met, "met")
-    leaders = met.groupBy("content").agg(F.min(F.struct("k", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(met.join(leaders, "content"), "shared")
-    # only sets that share a block with another one send their tokens
-    known = shared.select("k").distinct().mapInArrow(heads, "h long")
-    bitmap = spark.sparkContext.broadcast(Bitmap.of(known, "h"))
-    sets = rows.filter("tokens is not null").select("k", "tokens").mapInArrow(listed(bitmap), "k binary, tokens binary").groupBy("k").agg(F.first("tokens").alias("tokens"))
-    sets = materialize(sets, "sets")
-
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        first = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta"))
-        second = sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
-        return materialize(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(verify(percent), "a binary, b binary"), name)
-
-    fits = (F.col("k") != F.col("leader.k")) & (4 * F.least("size", "leader.size") >= 3 * F.greatest("size", "leader.size"))
-    # a first look that joins most groups: each set against the leader that it meets most often
-    often = shared.filter(fits).groupBy(F.col("leader.k").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("met"))
-    tried = materialize(often.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a")).select("a", "b"), "pairs")
-    links = check(tried, "links")
-    roots = components(links)
-    # blocks that still hold several components: one set of each meets the block's leader,
-    # so a group of copies in pieces joins without a look at all of its pairs
-    for _ in range(ROUNDS):
-        named = open_blocks(shared, roots)
-        heads_ = named.groupBy("content", "root").agg(F.min(F.struct("k", "size")).alias("head"))
-        first = heads_.groupBy("content").agg(F.min("head").alias("leader"))
-        fits = (F.col("head.k") != F.col("leader.k")) & (4 * F.least("head.size", "leader.size") >= 3 * F.greatest("head.size", "leader.size"))
-        pairs = materialize(heads_.join(first, "content").filter(fits).select(F.col("leader.k").alias("a"), F.col("head.k").alias("b")).distinct(), "pairs")
-        more = check(pairs.join(tried, ["a", "b"], "left_anti"), "links")
+    The score is how often the set meets others in them, for its size.
+    """
+    held = counted_.filter("rank is not null").groupBy("set").agg(F.sort_array(F.collect_list("rank")).alias("held"))
+    held = held.select(F.expr("set & -2").alias("set"), F.expr("set & 1").alias("part"), "held")
+    # blocks that occur once come first, and were not sent here
+    many = F.greatest(F.size("held") + F.when(F.col("part") == 0, F.col("spare0")).otherwise(F.col("spare1")), F.lit(0))
+    met = held.join(sets, "set").select("id", "size", F.slice("held", 1, many).alias("held"))
+    score = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, _CONTENT_BITS) - 1) / F.col("size")
+    return met.select("id", "size", score.cast("float").alias("score"), F.explode("held").alias("content"))
+
+
+def similar_sets(met: DataFrame, known: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, root) of the linked sets (by id) among the candidates ``met``.
+
+    ``known`` has (id, k, t) of all sets, ``texts`` (t, text).
+    """
+    spark = met.sparkSession
+    leaders = met.groupBy("content").agg(F.max(F.struct("score", "id", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    leaders = leaders.select("content", F.col("leader.id").alias("leader"), F.col("leader.size").alias("leader_size"))
+    shared = materialize(met.drop("score").join(leaders, "content"), "shared")
+    # only sets that share a block with another one send their tokens; the list of their
+    # texts is written, so Spark knows its size and broadcasts it only where it is small
+    wanted = materialize(known.join(shared.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = texts.join(wanted.select("t").distinct(), "t", "left_semi").select("text").mapInArrow(tokens(n), "k binary, tokens binary, sketch binary")
+    sets = sets.groupBy("k").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets.join(wanted.select("id", "k"), "k").drop("k"), "sets")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link; a set that meets very many others is sent several times."""
+        heat = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).cast("int").alias("salts"))
+        first = sets.join(heat, F.col("id") == F.col("a")).select("a", F.col("tokens").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        salted = pairs.join(heat, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+        second = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+        return materialize(salted.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(verify(percent), "a long, b long"), "links")
+
+    fits = (F.col("id") != F.col("leader")) & (4 * F.least("size", "leader_size") >= 3 * F.greatest("size", "leader_size"))
+    tried = materialize(shared.filter(fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    roots = components(check(tried))
+    shared = shared.select("content", "id", "size")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = ("content", "left", "right")
+    left = shared
+    for forest in (True, False):
+        cells = open_cells(left, roots)
+        dealt_ = cells.join(sets.select("id", "sketch"), "id").repartition(parts, *cell).sortWithinPartitions(*cell)
+        found = materialize(dealt_.mapInArrow(across(forest), "content long, a long, b long"), "found")
+        discard(cells)
+        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = materialize(found.filter("a is not null").select("a", "b").distinct().join(both, ["a", "b"], "left_anti"), "pairs")
+        links = check(pairs)
+        if not links.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
         tried = tried.unionByName(pairs)
+        # what a block did not send is looked at again
+        more = found.filter("a is null").select("content").distinct()
         if more.isEmpty():
             break
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = open_blocks(shared, roots)
-    cells = F.ceil(F.col("n") / _CELL).cast("int")
-    part = F.pmod(F.xxhash64("k"), cells).cast("int")
-    # a block with very many sets is dealt into cells of parts, so no task holds all of it
-    dealt = named.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    dealt = dealt.select("content", "k", "size", "root", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
-    bits = sets.select("k", "tokens").mapInArrow(sketched(), "k binary, sketch binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cell = ("content", "left", "right")
-    pairs = dealt.join(bits, "k").repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(trimmed(across), "a binary, b binary").distinct()
-    more = check(pairs, "links")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-
-def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: the first half of each key, as a long."""
-    for batch in batches:
-        h = np.frombuffer(b"".join(batch.column("k").to_pylist()), np.int64)[::2]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h))], ["h"])
+        left = shared.join(more, "content", "left_semi")
+    for done in (shared, wanted, sets):
+        discard(done)
+    return roots
 
 
 def join_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -395,21 +501,20 @@ def join_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     if percent < 75:
         raise ValueError("blocks are dealt for a similarity of 75 percent or more")
     spark = docs.sparkSession
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * 500 // _ELEMENTS_A_BUCKET, 16)
-    buckets = min(1 << (wanted - 1).bit_length(), 1 << 22)
-    slices = texts.select("text").mapInArrow(bucketed(n, buckets), "bucket int, packed binary").groupBy("bucket").applyInArrow(frequent(buckets), "bucket int, seen binary, hot binary")
-    # two bitmaps of a fixed size, whatever the input
-    seen, hot = bytearray((1 << _SEEN_BITS) // 8), bytearray((1 << _HOT_BITS) // 8)
-    for batch in slices.toArrow().to_batches():
-        for b, s, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen[b * len(s) : (b + 1) * len(s)] = s
-            hot[b * len(o) : (b + 1) * len(o)] = o
-    maps = spark.sparkContext.broadcast((bytes(seen), bytes(hot)))
-    rows = materialize(texts.mapInArrow(candidates(n, maps), CANDIDATES), "candidates")
-    roots = similar_sets(rows, percent)
-    named = rows.select("doc_id", "n_shingles", "k").join(roots, F.col("k") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "k").alias("root"))
-    least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "of")
-    return named.join(least, F.col("root") == F.col("of"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    )
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("t"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // _BUCKET_BYTES, 16)
+    buckets = min(1 << (wanted - 1).bit_length(), 1 << (_CONTENT_BITS - 32))
+    counted_ = materialize(texts.mapInArrow(dealt(n, buckets), DEALT).groupBy("bucket").applyInArrow(counted, COUNTED), "counted")
+    rows = counted_.filter("rank is null").select("doc_id", "n_shingles", "k")
+    # one row a set: a group of equal sets meets its component once
+    sets = counted_.filter("rank is null and k is not null").groupBy("set", "k")
+    sets = sets.agg(F.first("n_shingles").cast("int").alias("size"), F.min("t").alias("t"), F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"), F.min("doc_id").alias("least"))
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "known")
+    met = materialize(candidates(counted_, sets), "met")
+    roots = similar_sets(met, sets.select("id", "k", "t"), texts.select("t", "text"), n, percent)
+    discard(met)
+    named = sets.join(roots, F.col("id") == F.col("node"), "left").select("k", "least", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    full = rows.filter("k is not null").join(named.join(least, "root").select("k", "component_id"), "k").select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(rows.filter("k is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
