@@ -9,6 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from voxelith.llm import chat, decontamination, neighbours, ngram_join, packing, secrets, sharding, suffix_dedup, toxicity
 
@@ -325,8 +328,7 @@ def test_window_entropy(spark):
 
 def test_packing(docs, empty):
     out = packing.pack_documents(docs, 256).collect()
-    words = packing.words_of(packing.tokenizer_path())
-    t = words.tokenizer
+    t = Tokenizer.from_file(packing.tokenizer_path())
     want = []
     for i, text in texts():
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -347,14 +349,33 @@ def test_packing(docs, empty):
 
 def test_words_equal_the_tokenizer():
     words = packing.words_of(packing.tokenizer_path())
-    odd = ["", "a b  c d", "İSTANBUL ΑΣ.", "é ́x", "don't it's　x", "<|endoftext|> a<|startoftext|>b", "a|b | c|", "a\x0bb\x1cc\x85d", "​ x", "| || |"]
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    odd = ["", "x <|endoftext|> y", "x<|endoftext|>y.", "<|ENDOFTEXT|>", "U.S.A., (it's) IT'S, é., x<\u0338.", "don't. 'S. a'. Ａ., 12a.b, ., ...", "İ. ß, ﬁ;", None, "a b  c d", "İSTANBUL ΑΣ.", "é ́x", "don't it's　x", "<|endoftext|> a<|startoftext|>b", "a|b | c|", "a\x0bb\x1cc\x85d", "​ x", "| || |"]
     ids, sizes = words(pa.array(odd))
     at = 0
     for text, n in zip(odd, sizes.tolist(), strict=True):
-        assert ids[at : at + n].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[at : at + n].tolist() == plain.encode(text or "", add_special_tokens=False).ids
         at += n
 
 
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 3)
+    words, plain = packing.Words(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for k in range(4):
+        some = [f"word{k} Other. word{i} same, <|endoftext|>" for i in range(6)]
+        ids, sizes = words(pa.array(some))
+        assert ids.tolist() == [x for t in some for x in plain.encode(t, add_special_tokens=False).ids]
+        assert sizes.sum() == len(ids)
+
+
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aZ9.,'|<>&! \n\u0301\u0338é"), st.characters(codec="utf-8")), max_size=30), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_any_text_has_the_tokenizers_ids(some):
+    words, plain = packing.words_of(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    ids, sizes = words(pa.array(some, pa.string()))
+    assert ids.tolist() == [x for t in some for x in plain.encode(t, add_special_tokens=False).ids]
+
+
 def fewest(items, capacity):
     """Optimal number of bins by search."""
     items, best = sorted(items, reverse=True), [len(items)]

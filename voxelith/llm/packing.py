@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, materialize, ranges
+from .common import batches_by_bytes, materialize, ranges, string_buffer, trimmed
 
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _CACHE: dict[str, dict] = {}
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 _RANK_BITS = 40
 
 
@@ -44,27 +44,31 @@ def tokenizer_path() -> str:
 
 
 class Words:
-    """Ids of texts by way of their distinct words.
+    """Ids of texts by way of the distinct parts of their words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
-    words' ids in order; each distinct word is tokenized once while it is remembered.
-    New words are tokenized in one go with a mark between them that has one id.
+    words' ids in order.  It lower-cases, and takes letters and digits apart from other
+    marks: a word that ends in ASCII marks behind an ASCII letter or digit has the ids of
+    both parts.  (Apostrophes belong to contractions, and special strings hold bars and
+    are told apart by case, so words with either are parts of their own.)  Each distinct
+    part is tokenized once while it is remembered, new ones in one go with a mark between
+    them that has one id.
     """
 
     MARK = "|"
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known = pa.array([""], pa.large_string())
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
     def learn(self, new: pa.Array) -> None:
         marked = pc.match_substring(new, self.MARK)
@@ -84,22 +88,46 @@ class Words:
         self.flat = np.concatenate([self.flat, *parts])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
+    def parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The two parts of each word; the second may be empty."""
+        whole = pc.match_substring_regex(words, "['|]")
+        low = pc.if_else(whole, words, pc.ascii_lower(words))
+        base = pc.ascii_rtrim(low, characters=self.TAIL)
+        base = pc.if_else(pc.and_(pc.invert(whole), pc.match_substring_regex(base, "[a-z0-9]$")), base, low)
+        raw, offsets = string_buffer(low)
+        size = np.asarray(pc.binary_length(base), dtype=np.int64)
+        rest = np.diff(offsets) - size
+        ends = np.concatenate([[0], np.cumsum(rest)])
+        tail = pa.LargeStringArray.from_buffers(len(rest), pa.py_buffer(ends), pa.py_buffer(raw[ranges(offsets[:-1] + size, rest)]))
+        return base, tail
+
+    def codes(self, parts: pa.Array) -> np.ndarray:
+        """The number of each part; those not known are learnt."""
+        parts = parts.dictionary_encode()
+        found = pc.index_in(parts.dictionary, value_set=self.known)
+        if found.null_count:
+            self.learn(parts.dictionary.filter(pc.is_null(found)))
+            found = pc.index_in(parts.dictionary, value_set=self.known)
+        return np.asarray(found, dtype=np.int64)[np.asarray(parts.indices)]
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
         lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         words = lists.flatten().dictionary_encode()
-        found = pc.index_in(words.dictionary, value_set=self.known)
-        if found.null_count:
-            if len(self.known) > _CACHE_WORDS:
-                self.forget()
-                found = pc.index_in(words.dictionary, value_set=self.known)
-            self.learn(words.dictionary.filter(pc.is_null(found)))
-            found = pc.index_in(words.dictionary, value_set=self.known)
-        code = np.asarray(found, dtype=np.int64)[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
+        if len(self.known) > _CACHE_WORDS:
+            self.forget()
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        code = self.codes(pa.concat_arrays(self.parts(words.dictionary))).reshape(2, -1).T.ravel()
+        # the ids of each distinct word of these texts, then of all words
         sizes = (self.ends[1:] - self.ends[:-1])[code]
-        before = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.flat[ranges(self.ends[code], sizes)]
+        sizes = sizes[::2] + sizes[1::2]
+        first = np.cumsum(sizes) - sizes
+        word = np.asarray(words.indices)
+        before = np.concatenate([[0], np.cumsum(sizes[word])])
         offsets = np.asarray(lists.offsets, dtype=np.int64)
-        return self.flat[ranges(self.ends[code], sizes)], before[offsets[1:]] - before[offsets[:-1]]
+        return flat[ranges(first[word], sizes[word])], before[offsets[1:]] - before[offsets[:-1]]
 
 
 def words_of(path: str) -> Words:
@@ -117,22 +145,23 @@ def cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = words_of(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches_by_bytes(batches, "text", 8 << 20):
+        for batch in batches_by_bytes(batches, "text", 4 << 20):
             ids, sizes = words(batch.column(1))
-            at, rows = 0, []
-            for doc_id, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
-                own = np.append(ids[at : at + n], np.uint32(END_ID)).astype("<u4")
-                at += n
-                for k, s in enumerate(range(0, n + 1, capacity)):
-                    piece = own[s : s + capacity]
-                    rows.append((doc_id, k, s, len(piece), zlib.crc32(piece.tobytes()), part, int(seen[len(piece)])))
-                    seen[len(piece)] += 1
+            ends = np.cumsum(sizes + 1)
+            own = np.full(len(ids) + len(sizes), END_ID, "<u4")
+            own[ranges(ends - sizes - 1, sizes)] = ids
+            rows, raw = [], memoryview(own).cast("B")
+            for doc_id, n, end in zip(batch.column(0).to_pylist(), (sizes + 1).tolist(), ends.tolist(), strict=True):
+                for k, s in enumerate(range(0, n, capacity)):
+                    length, at = min(capacity, n - s), 4 * (end - n + s)
+                    rows.append((doc_id, k, s, length, zlib.crc32(raw[at : at + 4 * length]), part, int(seen[length])))
+                    seen[length] += 1
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "local")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return run
+    return trimmed(run)
 
 
 def reduce(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
