@@ -15,10 +15,11 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts hold 1000 rows, not 10000: they bound a worker's memory."""
+    """Arrow batches hold at most 1000 rows and 16 MB: they bound the memory of a worker and its JVM."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > 1000:
         spark.conf.set(key, "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

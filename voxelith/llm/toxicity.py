@@ -8,11 +8,12 @@ climbed instead, so the classifier cannot fit the unlabelled positives as negati
 Features are words and the beginnings and ends of words (lower case), as 64-bit hashes;
 a text has each once.  Whole texts are read, in training and in scoring.
 
-Training reads a bounded sample: at most ``SAMPLE_P`` and ``SAMPLE_U`` texts, and
-``FEATURES`` features come to the driver.  Everything else covers all rows.
+Training reads a bounded sample: at most ``SAMPLE_P`` and ``SAMPLE_U`` texts, those of least
+hash, and ``FEATURES`` features come to the driver.  Everything else covers all rows.
 
 Null or empty text: the score of a text without features.  Null doc_id: held out.
-Repeated rows: equal scores.  A label row without document, or with null label, is left
+Repeated rows: equal scores.  Very long
+texts are read whole, like others.  A label row without document, or with null label, is left
 out; if labels of a doc_id differ, it counts as toxic.  Empty table: no rows.  Without
 any usable toxic label every score is 0.
 """
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, batches_by_bytes, materialize, string_buffer
+from .common import PrefixHash, batches_by_bytes, materialize, string_buffer, trimmed
 
 SAMPLE_P = 3000
 SAMPLE_U = 9000
@@ -89,7 +90,7 @@ class Chosen:
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (feature, texts of P, texts of U) of each batch."""
-    for batch in batches_by_bytes(batches, "text", 6 << 20):
+    for batch in batches_by_bytes(batches, "text"):
         rows, hashes = features(batch.column(0))
         order = np.lexsort((rows, hashes))
         rows, hashes = rows[order], hashes[order]
@@ -115,7 +116,7 @@ def extract(hashes: np.ndarray):
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(k.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], ["toxic", "found"])
 
-    return run
+    return trimmed(run)
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, steps: int = 250, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -165,15 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
         return none
     prior = min(max(sizes["p"] / sizes["n"], 0.01), 0.9)
     place = F.pmod(F.xxhash64(F.lit(7), F.col("label_id")), F.lit(1 << 30)) / float(1 << 30)
-    ids = known.filter((F.col("toxic") == 1) & (place < SAMPLE_P / sizes["p"])).select("label_id").limit(SAMPLE_P)
+    ids = known.filter((F.col("toxic") == 1) & (place < SAMPLE_P / sizes["p"])).orderBy(place, "label_id").limit(SAMPLE_P).select("label_id")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).filter(~held_out(F.col("id")))
     # at most SAMPLE_P ids: a fixed bound, so they may be broadcast
     p = texts.join(F.broadcast(ids), F.col("id") == F.col("label_id")).select("text", F.lit(1).cast("long").alias("toxic"))
     n = docs.count()
     share = F.pmod(F.xxhash64(F.lit(11), F.col("id"), F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    u = texts.filter(share < SAMPLE_U / max(n, 1)).select("text", F.lit(0).cast("long").alias("toxic")).limit(SAMPLE_U)
+    u = texts.filter(share < SAMPLE_U / max(n, 1)).orderBy(share, "id", "text").limit(SAMPLE_U).select("text", F.lit(0).cast("long").alias("toxic"))
     sample = materialize(p.unionByName(u).repartition(12), "toxicity-sample")
-    counts = sample.mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInArrow(trimmed(count), "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     got = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not got.get(1) or not got.get(0):
         return none
@@ -195,7 +196,7 @@ def scorer(model):
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "toxicity"])
 
-    return run
+    return trimmed(run)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
