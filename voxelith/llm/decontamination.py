@@ -8,15 +8,20 @@ q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, so one
 holds all of them; bands that reach the bound are verified by an alignment that stays
 within k diagonals of the band.  q is 8, less for items too short for that bound.
 
-The benchmark is read in parts of at most ``ITEM_BYTES``; each part is broadcast.
+The benchmark is read in parts of about ``ITEM_BYTES``; each part is broadcast, and indexed
+once a worker (about 40 bytes a character).  Shared q-grams are counted in slices of at most
+``_HITS``, and bands that no later place can reach are verified and forgotten, so memory does
+not grow with the repeats in a text or an item.
 
 Null or empty text: no match; an empty item matches nothing.  Null doc_id or item_id stay
-null in the result.  Repeated rows give repeated results.  Columns other than doc_id and
+null in the result.  Repeated documents give repeated results, repeated rows of the
+benchmark count once.  Very long texts are searched whole.  Columns other than doc_id and
 text (item_id and text of the benchmark) are not read.  Empty tables: no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, ranges, string_buffer
+from .common import batches_by_bytes, ranges, string_buffer, trimmed
 
 Q, ERROR = 8, 10
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 8 << 20
 _BLOCK = 1 << 20
+_HITS = 1 << 20
 _BITS = 22
+_INDEX: dict[str, list] = {}
 
 
 def normalized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +71,13 @@ class Items:
         self.size, self.k = size, size // ERROR
         self.least = size + 1 - q * (self.k + 1)
         code = np.concatenate([grams(t, q) for t in texts])
-        item = np.repeat(np.arange(len(texts)), size - q + 1)
-        place = np.concatenate([np.arange(n - q + 1) for n in size])
-        order = np.argsort(code, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.codes, self.first = np.unique(code[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(code)))
+        order = np.argsort(code, kind="stable").astype(np.int32)
+        self.item = np.repeat(np.arange(len(texts), dtype=np.int32), size - q + 1)[order]
+        self.place = np.concatenate([np.arange(n - q + 1, dtype=np.int32) for n in size])[order]
+        code = code[order]
+        self.first = np.flatnonzero(np.append(True, code[1:] != code[:-1])).astype(np.int32)
+        self.codes = code[self.first]
+        self.count = np.diff(np.append(self.first, np.int32(len(code))))
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[self._cell(self.codes)] = True
 
@@ -77,16 +85,23 @@ class Items:
     def _cell(code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def hits(self, text: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the text, place in the item) of shared q-grams."""
-        code = grams(text, self.q)
-        where = np.flatnonzero(self.bits[self._cell(code)])
-        code = code[where]
-        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        same = self.codes[k] == code
-        where, k = where[same], k[same]
-        post = ranges(self.first[k], self.count[k])
-        return self.item[post], np.repeat(where + at, self.count[k]), self.place[post]
+    def hits(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Slices of (item, place in the text, place in the item) of shared q-grams, by place
+        in the text, each with the place from which the next slice goes on."""
+        for s in range(0, len(text), _BLOCK):
+            code = grams(text[s : s + _BLOCK + self.q - 1], self.q)
+            where = np.flatnonzero(self.bits[self._cell(code)])
+            code = code[where]
+            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            same = self.codes[k] == code
+            where, k = where[same] + s, k[same]
+            total = np.cumsum(self.count[k], dtype=np.int64)
+            at = 0
+            while at < len(k):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _HITS, "right")))
+                post = ranges(self.first[k[at:to]], self.count[k[at:to]])
+                yield self.item[post], np.repeat(where[at:to], self.count[k[at:to]]), self.place[post].astype(np.int64), int(where[to - 1]) + 1
+                at = to
 
 
 def prepare(texts: list[str]) -> list[Items]:
@@ -130,56 +145,73 @@ def align(text: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, begin
 def matches(text: np.ndarray, offsets: np.ndarray, items: Items) -> dict[tuple[int, int], int]:
     """{(row, item number): least edits} of the documents in the buffer."""
     found: dict[tuple[int, int], int] = {}
-    reach = int((items.size + 4 * items.k).max()) + 8
     w = items.k + 1
-    for s in range(0, max(len(text), 1), _BLOCK):
-        part = text[s : s + _BLOCK + reach]
-        item, p, ip = items.hits(part, s)
-        row = np.searchsorted(offsets, p, "right") - 1
-        within = p + items.q <= offsets[row + 1]
-        item, row, diagonal = item[within], row[within], (p - ip)[within]
-        band = diagonal // w[item]
-        # (row, item, band); every q-gram counts in two bands that overlap by half
-        low = int(band.min(initial=0)) - 1
-        span = int(band.max(initial=0)) - low + 2
-        if not len(item):
-            continue
-        key = (row * len(items.texts) + item) * span + band - low
-        key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+    low, span = -int(items.size.max()) - 2, len(text) + int(items.size.max()) + 4
+
+    def verify(key: np.ndarray, n: np.ndarray) -> None:
         pair, band = key // span, key % span + low
         row, item = pair // len(items.texts), pair % len(items.texts)
         enough = n >= items.least[item]
         row, item, band = row[enough], item[enough], band[enough]
-        for t in np.unique(item):
+        for t in np.unique(item).tolist():
+            number, k = int(items.numbers[t]), int(items.k[t])
+            width = 2 * (k + 1) + 2 * k
             mine = np.flatnonzero(item == t)
-            k = int(items.k[t])
-            for c in range(0, len(mine), 256):
-                some = mine[c : c + 256]
+            step = max(1, min(256, (1 << 19) // width))
+            for c in range(0, len(mine), step):
+                some = mine[c : c + step]
+                # fewer than no edits are not to be found
+                some = some[[found.get((r, number), 1) > 0 for r in row[some].tolist()]]
+                if not len(some):
+                    continue
                 r = row[some]
-                edits = align(text, items.texts[t], band[some] * w[t] - k, 2 * (k + 1) + 2 * k, offsets[r], offsets[r + 1])
+                edits = align(text, items.texts[t], band[some] * w[t] - k, width, offsets[r], offsets[r + 1])
                 for x, e in zip(r[edits <= k].tolist(), edits[edits <= k].tolist(), strict=True):
-                    pair_ = (x, int(items.numbers[t]))
-                    found[pair_] = min(e, found.get(pair_, e))
+                    found[x, number] = min(e, found.get((x, number), e))
+
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for item, p, ip, to in items.hits(text):
+        row = np.searchsorted(offsets, p, "right") - 1
+        within = p + items.q <= offsets[row + 1]
+        item, row, diagonal = item[within].astype(np.int64), row[within], (p - ip)[within]
+        # (row, item, band); every q-gram counts in two bands that overlap by half
+        key = (row * len(items.texts) + item) * span + diagonal // w[item] - low
+        key, which = np.unique(np.concatenate([held[0], key, key - 1]), return_inverse=True)
+        n = np.bincount(which, np.concatenate([held[1], np.ones(2 * len(item), np.int64)]), len(key)).astype(np.int64)
+        pair, band = key // span, key % span + low
+        row, item = pair // len(items.texts), pair % len(items.texts)
+        closed = ((band + 2) * w[item] + items.size[item] <= to) | (offsets[row + 1] <= to)
+        verify(key[closed], n[closed])
+        held = key[~closed], n[~closed]
+    verify(*held)
     return found
 
 
+def indexed(shared) -> list[Items]:
+    """The index of a broadcast part of the benchmark; a worker keeps one."""
+    name, _, texts = shared.value
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = prepare(texts)
+    return _INDEX[name]
+
+
 def search(shared):
     """mapInArrow: (doc_id, text) to (doc_id, item_id, edits, item_chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        groups = prepare(texts)
+        groups, ids = indexed(shared), shared.value[1]
+        sizes = [dict(zip(items.numbers.tolist(), items.size.tolist(), strict=True)) for items in groups]
         for batch in batches_by_bytes(batches, "text"):
             text, offsets = normalized(batch.column(1))
             out = []
-            for items in groups:
-                size = dict(zip(items.numbers.tolist(), items.size.tolist(), strict=True))
+            for items, size in zip(groups, sizes, strict=True):
                 out += [(batch.column(0)[r].as_py(), ids[i], e, size[i]) for (r, i), e in sorted(matches(text, offsets, items).items())]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "item_chars"])
 
-    return run
+    return trimmed(run)
 
 
 MATCHES = "doc_id long, item_id long, edits int, item_chars int"
@@ -198,7 +230,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         got = sorted({(r["item_id"], r["text"]) for r in own.collect()}, key=str)
         if not got:
             continue
-        shared = spark.sparkContext.broadcast(([i for i, _ in got], [t for _, t in got]))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [i for i, _ in got], [t for _, t in got]))
         found = rows.mapInArrow(search(shared), MATCHES)
         result = found if result is None else result.unionByName(found)
     return spark.createDataFrame([], MATCHES) if result is None else result
