@@ -2,16 +2,18 @@
 
 Equal vectors are indexed once, with the smallest ids that carry them (as many as can be
 in a result).  Distinct vectors are dealt by hash into shards of about ``SHARD``.  A
-shard's graph has geometric levels; on each level a node keeps the diverse nearest nodes
-(a candidate is passed over if it lies nearer to one kept already) and the links back.
-It is stored as flat neighbour arrays, one fixed-width array a level.  A query descends
-greedily and searches the lowest level with a beam of ``BEAM``; the shards' results are
-merged.  As a shard is bounded, a level's candidates come from all its nodes at once
-rather than from a search of the unfinished graph.
+shard's graph has geometric levels and is built by insertion: a new node searches the
+graph so far and keeps diverse near nodes (a candidate is passed over if it lies nearer to
+one kept already); they link back, and choose again where that is one too many.  It is
+stored as flat neighbour arrays, one fixed-width array a level.  A query descends greedily
+and searches the lowest level with a beam of ``BEAM``, which is then ranked by exact
+distances; the shards' results are merged.  Every query goes to every shard: embeddings
+spread over a sphere have their neighbours in all regions of it.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-rows without vec_id; vectors of different lengths are never compared.  A query's own row
-(by vec_id) is left out.  Empty table: no rows.  Other columns are not read.
+rows without vec_id; vectors of different lengths are never compared.  A query's own rows
+(by vec_id) are left out.  Where a vec_id repeats with different vectors, its least distance
+counts.  Empty table: no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,116 +27,151 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SHARD, LINKS, BUILD, BEAM = 4000, 16, 64, 128
-QUERY_BLOCK = 1024
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances (for ranking inside a shard)."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-
-
-def scale(*arrays: np.ndarray) -> float:
-    """What to divide vectors by so that their squares are finite: 1 unless components are huge."""
-    top = max(float(np.abs(a).max(initial=0)) for a in arrays)
-    return top if top > 1e140 else 1.0
-
-
-def neighbours(d: np.ndarray, links: int, build: int) -> np.ndarray:
-    """(nodes, links) flat neighbour array of one level, -1 where there are fewer."""
-    n = len(d)
-    if n == 1:
-        return np.full((1, links), -1, np.int32)
-    own = d.copy()
-    np.fill_diagonal(own, np.inf)
-    c = min(build, n - 1)
-    near = np.argpartition(own, c - 1, axis=1)[:, :c]
-    near = np.take_along_axis(near, np.argsort(np.take_along_axis(own, near, 1), axis=1, kind="stable"), 1)
-    dist = np.take_along_axis(own, near, 1)
-    kept = np.zeros((n, c), bool)
-    for j in range(c):
-        between = d[near[:, j][:, None], near[:, :j]] if j else np.zeros((n, 0))
-        diverse = ~((between < dist[:, j][:, None]) & kept[:, :j]).any(axis=1)
-        kept[:, j] = diverse & (kept[:, :j].sum(1) < links // 2)
-    # diverse ones first, then the nearest of the rest, then links back as far as there is room
-    rank = np.where(kept, 0, c) + np.arange(c)[None, :]
-    order = np.argsort(rank, axis=1)[:, : links // 2]
-    chosen = np.take_along_axis(near, order, 1)
-    src, dst = np.repeat(np.arange(n), chosen.shape[1]), chosen.ravel()
-    first = np.concatenate([np.zeros(len(src), np.int8), np.ones(len(src), np.int8)])
-    src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
-    order = np.lexsort((d[src, dst], first, src))
-    src, dst = src[order], dst[order]
-    pair = src.astype(np.int64) * n + dst
-    _, once = np.unique(pair, return_index=True)
-    once.sort()
-    src, dst = src[once], dst[once]
-    place = np.arange(len(src)) - np.searchsorted(src, src)
-    out = np.full((n, links), -1, np.int32)
-    fits = place < links
-    out[src[fits], place[fits]] = dst[fits]
-    return out
+SHARD, LINKS, BUILD, BEAM = 8000, 16, 64, 128
+#: Candidates that a choice of links looks at, nodes opened and nodes inserted at once.
+CANDIDATES, OPEN, BATCH = 48, 4, 512
+QUERY_BLOCK = 512
 
 
-def build_graph(vectors: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """[(nodes of the level, their neighbours as places in that list)] from the lowest level up."""
-    d, out = distances(vectors, vectors), []
-    for at in range(int(level.max(initial=0)) + 1):
-        nodes = np.flatnonzero(level >= at)
-        out.append((nodes.astype(np.int32), neighbours(d[np.ix_(nodes, nodes)] if at else d, LINKS if at else 2 * LINKS, BUILD)))
-    return out
+def centred(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """What to subtract from vectors and then to divide them by, for ranking inside a shard.
+
+    The median of each component, so that an offset costs no digits and single far vectors
+    move nothing; and 1, unless components are so large that squares would overflow.
+    """
+    middle = np.median(vectors, axis=0)
+    top = max(float(np.abs(vectors).max(initial=0)), float(np.abs(middle).max(initial=0)))
+    return middle, top if top > 1e140 else 1.0
+
+
+def squared(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of ``queries`` to lists of vectors, infinite where an id is -1."""
+    d = ((vectors[np.maximum(ids, 0)] - queries[:, None, :]) ** 2).sum(2)
+    return np.where(ids >= 0, d, np.inf)
 
 
-def search_level(vectors: np.ndarray, nodes: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
-    """(queries, beam) places in ``nodes``, nearest first, -1 where there are fewer.
+def search_level(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
+    """(queries, beam) nodes of a level, nearest first, -1 where there are fewer.
 
-    All queries take a step at once: each opens its nearest unopened candidate.
+    All queries take a step at once: each opens its ``OPEN`` nearest unopened nodes.
     """
-    q = len(queries)
-    rows = np.arange(q)
-    best = np.full((q, beam), np.inf)
-    found = np.full((q, beam), -1, np.int64)
-    opened = np.zeros((q, beam), bool)
-    seen = np.zeros((q, len(nodes)), bool)
-    width = min(entry.shape[1], beam)
-    e = entry[:, :width]
-    ok = e >= 0
-    dist = ((vectors[nodes[np.maximum(e, 0)]] - queries[:, None, :]) ** 2).sum(2)
-    best[:, :width], found[:, :width] = np.where(ok, dist, np.inf), e
-    seen[np.repeat(rows, width)[ok.ravel()], e.ravel()[ok.ravel()]] = True
-    live = rows
-    while len(live):
-        waiting = np.where(opened[live] | (found[live] < 0), np.inf, best[live])
-        k = waiting.argmin(1)
-        go = np.isfinite(waiting[np.arange(len(live)), k])
-        live, k = live[go], k[go]
+    q, n = len(queries), len(vectors)
+    entry = entry[:, :beam]
+    first = squared(vectors, entry, queries)
+    order = np.argsort(first, axis=1, kind="stable")
+    best, found = np.full((q, beam), np.inf), np.full((q, beam), -1, np.int64)
+    best[:, : entry.shape[1]], found[:, : entry.shape[1]] = np.take_along_axis(first, order, 1), np.take_along_axis(entry, order, 1)
+    opened = found < 0
+    seen = np.zeros(q * n, bool)
+    rows, at = np.nonzero(found >= 0)
+    seen[rows * n + found[rows, at]] = True
+    while True:
+        waiting = ~opened
+        rows, at = np.nonzero(waiting & (np.cumsum(waiting, axis=1) <= OPEN))
+        if not len(rows):
+            return found
+        opened[rows, at] = True
+        near = links[found[rows, at]]
+        key = (rows[:, None] * n + near)[near >= 0]
+        key = np.unique(key[~seen[key]])
+        seen[key] = True
+        r, v = key // n, key % n
+        d = ((vectors[v] - queries[r]) ** 2).sum(1)
+        better = d < best[r, -1]
+        r, v, d = r[better], v[better], d[better]
+        live, start, count = np.unique(r, return_index=True, return_counts=True)
         if not len(live):
-            break
-        opened[live, k] = True
-        near = links[found[live, k]].astype(np.int64)
-        new = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-        seen[np.repeat(live, near.shape[1])[new.ravel()], near[new]] = True
-        dist = ((vectors[nodes[np.maximum(near, 0)]] - queries[live][:, None, :]) ** 2).sum(2)
-        dist = np.where(new, dist, np.inf)
-        near = np.where(new, near, -1)
-        both, who = np.concatenate([best[live], dist], 1), np.concatenate([found[live], near], 1)
-        was = np.concatenate([opened[live], np.zeros_like(new)], 1)
+            continue
+        width = int(count.max())
+        row, place = np.repeat(np.arange(len(live)), count), np.arange(len(r)) - np.repeat(start, count)
+        more, who = np.full((len(live), width), np.inf), np.full((len(live), width), -1, np.int64)
+        more[row, place], who[row, place] = d, v
+        both = np.concatenate([best[live], more], 1)
         order = np.argsort(both, axis=1, kind="stable")[:, :beam]
-        best[live], found[live], opened[live] = (np.take_along_axis(x, order, 1) for x in (both, who, was))
-    return found
+        best[live] = np.take_along_axis(both, order, 1)
+        found[live] = np.take_along_axis(np.concatenate([found[live], who], 1), order, 1)
+        opened[live] = np.take_along_axis(np.concatenate([opened[live], who < 0], 1), order, 1)
+
+
+def diverse(vectors: np.ndarray, nodes: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """(nodes, most) of their candidates ``near`` (-1: none): those that lie nearer to the node
+    than to any one kept before, then the nearest of the rest."""
+    d = squared(vectors, near, vectors[nodes])
+    order = np.argsort(d, axis=1, kind="stable")[:, :CANDIDATES]
+    near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+    v = vectors[np.maximum(near, 0)] - vectors[nodes][:, None, :]
+    own = (v * v).sum(2)
+    between = own[:, :, None] + own[:, None, :] - 2 * v @ v.transpose(0, 2, 1)
+    kept = np.zeros(near.shape, bool)
+    for j in range(near.shape[1]):
+        blocked = ((between[:, j, :j] < d[:, j][:, None]) & kept[:, :j]).any(axis=1)
+        kept[:, j] = ~blocked & (near[:, j] >= 0) & (kept[:, :j].sum(1) < most)
+    rank = np.where(kept, 0, near.shape[1]) + np.arange(near.shape[1])
+    return np.take_along_axis(near, np.argsort(rank, axis=1)[:, :most], 1)
+
+
+def connect(vectors: np.ndarray, links: np.ndarray, nodes: np.ndarray, near: np.ndarray) -> None:
+    """Link new nodes of a level to diverse ones among ``near`` and each other, and back."""
+    width = links.shape[1]
+    if len(nodes) > 1:
+        v = vectors[nodes]
+        d = (v * v).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * v @ v.T
+        np.fill_diagonal(d, np.inf)
+        c = min(width, len(nodes) - 1)
+        near = np.concatenate([near, nodes[np.argpartition(d, c - 1, axis=1)[:, :c]]], axis=1)
+    chosen = diverse(vectors, nodes, near, width // 2)
+    links[nodes, : chosen.shape[1]] = chosen
+    ok = chosen.ravel() >= 0
+    src, dst = np.repeat(nodes, chosen.shape[1])[ok], chosen.ravel()[ok]
+    # a node that many new ones chose looks at the nearest of them
+    order = np.lexsort((((vectors[src] - vectors[dst]) ** 2).sum(1), dst))
+    src, dst = src[order], dst[order]
+    to, start, count = np.unique(dst, return_index=True, return_counts=True)
+    place = np.arange(len(dst)) - np.repeat(start, count)
+    use = place < CANDIDATES
+    more = np.full((len(to), int(min(count.max(initial=0), CANDIDATES))), -1, np.int64)
+    more[np.repeat(np.arange(len(to)), count)[use], place[use]] = src[use]
+    twice = (more[:, :, None] == links[to][:, None, :]).any(axis=2)
+    more[twice] = -1
+    both = np.concatenate([links[to], more], axis=1)
+    fits = (both >= 0).sum(1) <= width
+    rest = np.argsort(both[fits] < 0, axis=1, kind="stable")[:, :width]
+    links[to[fits]] = np.take_along_axis(both[fits], rest, 1)
+    if not fits.all():
+        links[to[~fits]] = diverse(vectors, to[~fits], both[~fits], width)
+
+
+def build_graph(vectors: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(nodes of the level, their neighbours)] from the lowest level up.
+
+    Nodes of high levels are inserted first; the others follow in batches no larger than what
+    is there already, each linked to what a search of the growing graph finds.
+    """
+    n, top = len(vectors), int(level.max(initial=0))
+    order = np.argsort(-level, kind="stable")
+    links = [np.full((n, LINKS if at else 2 * LINKS), -1, np.int64) for at in range(top + 1)]
+    at = 1
+    while at < n:
+        new = order[at : at + min(at, BATCH)]
+        entry = np.full((len(new), 1), order[0])
+        for l in range(top, -1, -1):
+            mine = level[new] >= l
+            near = search_level(vectors, links[l], vectors[new], entry, BUILD if mine.any() else 8)
+            entry = near[:, :8]
+            if mine.any():
+                connect(vectors, links[l], new[mine], near[mine])
+        at += len(new)
+    return [(np.flatnonzero(level >= l).astype(np.int32), links[l][level >= l].astype(np.int32)) for l in range(top + 1)]
 
 
 def search_graph(vectors: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, beam: int) -> np.ndarray:
     """(queries, beam) places of near vectors, -1 where there are fewer."""
-    entry = None
+    entry = np.full((len(queries), 1), int(graph[-1][0][0]))
     for at in range(len(graph) - 1, -1, -1):
-        nodes, links = graph[at]
-        if entry is None:
-            places = np.zeros((len(queries), 1), np.int64)
-        else:
-            places = np.where(entry >= 0, np.searchsorted(nodes, np.maximum(entry, 0)), -1)
-        got = search_level(vectors, nodes, links, queries, places, beam if at == 0 else 8)
-        entry = np.where(got >= 0, nodes[np.maximum(got, 0)], -1)
+        nodes, some = graph[at]
+        links = np.full((len(vectors), some.shape[1]), -1, np.int64)
+        links[nodes] = some
+        entry = search_level(vectors, links, queries, entry, beam if at == 0 else 8)
     return entry
 
 
@@ -146,7 +183,8 @@ def index_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     vectors = np.asarray(table.column("embedding").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
     u = (np.asarray(table.column("place")).view(np.uint64) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
     level = np.floor(-np.log(np.maximum(u, 1e-16)) / np.log(LINKS)).astype(np.int64)
-    graph = build_graph(vectors / scale(vectors), level)
+    middle, unit = centred(vectors)
+    graph = build_graph((vectors - middle) / unit if unit == 1 else vectors / unit - middle / unit, level)
     levels = [x for nodes, links in graph for x in (nodes.tobytes(), links.tobytes())]
     return pa.table(
         [pa.array([dim], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))), pa.array([vectors.tobytes()]), pa.array([levels], pa.list_(pa.binary()))],
@@ -158,7 +196,7 @@ def search_shards(k: int, beam: int):
     """mapInArrow over (an index row, a block of queries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches:  # a few rows each: both sides are blocks
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 dim = row["dim"].as_py()
@@ -168,14 +206,19 @@ def search_shards(k: int, beam: int):
                 ids = row["ids"].as_py()
                 own = np.asarray(row["query_ids"].values)
                 queries = np.asarray(row["queries"].values.flatten(), dtype=np.float64).reshape(-1, dim)
-                unit = scale(vectors, queries)
+                middle, unit = centred(vectors)
+                unit = max(unit, top) if (top := float(np.abs(queries).max())) > 1e140 else unit
                 vectors, queries = vectors / unit, queries / unit
-                near = search_graph(vectors, graph, queries, beam)[:, : k + 1]
+                near = search_graph(vectors - middle / unit, graph, queries - middle / unit, beam)
                 exact = np.sqrt(((vectors[np.maximum(near, 0)] - queries[:, None, :]) ** 2).sum(2)) * unit
                 out = []
                 for q, places, d in zip(own.tolist(), near.tolist(), exact.tolist(), strict=True):
-                    mine = sorted((s, v) for p, s in zip(places, d, strict=True) if p >= 0 for v in ids[p] if v != q)[:k]
-                    out += [(q, v, s) for s, v in mine]
+                    mine: dict[int, float] = {}
+                    for s, v in sorted((s, v) for p, s in zip(places, d, strict=True) if p >= 0 for v in ids[p] if v != q):
+                        if len(mine) == k:
+                            break
+                        mine.setdefault(v, s)
+                    out += [(q, v, s) for v, s in mine.items()]
                 cols = list(zip(*out, strict=True)) if out else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
@@ -211,7 +254,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = asked.groupBy("dim", "block").agg(F.collect_list("vec_id").alias("query_ids"), F.collect_list("embedding").alias("queries"))
     # the stated queries, in blocks, go to each shard
-    tasks = asked.join(index.select("dim", "shard"), "dim").join(index, ["dim", "shard"]).select("dim", "ids", "vectors", "levels", "query_ids", "queries")
-    found = tasks.mapInArrow(search_shards(k, beam), "query_id long, vec_id long, score double").distinct()
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    tasks = asked.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).join(index, ["dim", "shard"])
+    tasks = tasks.select("dim", "ids", "vectors", "levels", "query_ids", "queries")
+    found = tasks.mapInArrow(search_shards(k, beam), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
