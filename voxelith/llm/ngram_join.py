@@ -19,7 +19,7 @@ built from representatives:
 
 1. A block's leader is its most central set, the one that shares most with others for its
    size; every other set of the block is verified against it: one pair a row at most.
-2. Blocks that still hold several components are looked at by bit sketches (8 to 16 bits
+2. Blocks that without their leaders still hold several components are looked at by bit sketches (4 to 8 bits
    an element, one flipped a hash; the Hamming distance is again a lower bound).  Of what
    may link across components, a block sends a forest only (least distance first), so
    again one pair a row at most.  Blocks of the same sets are looked at once.
@@ -46,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PrefixHash, batches_by_bytes, discard, lower_ascii, materialize, mix, string_buffer, trimmed
@@ -56,6 +56,8 @@ from .components import components
 _BUCKET_BYTES = 10 << 20
 #: Sets of one component of a block that one task compares, and the sketch bytes it holds.
 _CELL, _CELL_BYTES = 4_000, 32 << 20
+#: Low bits of the hashes of texts by which texts are told apart before they are shuffled.
+_LOW_BITS = 20
 #: Members of one leader that are verified in one task.
 _MEMBERS = 20_000
 #: Bits of a block's content that tell it from others: 32 beside those of its bucket.
@@ -259,8 +261,8 @@ def counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Words of a set's bit sketch: 8 to 16 bits an element, one flipped by each."""
-    bits = max(64, 16 << int(band(np.array([len(h)]))[0]))
+    """Words of a set's bit sketch: 4 to 8 bits an element, one flipped by each."""
+    bits = max(64, 8 << int(band(np.array([len(h)]))[0]))
     flips = np.bincount(((h >> np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -274,22 +276,22 @@ def folded(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def tokens(n: int):
-    """mapInArrow over texts: (k, tokens, sketch) of each set, once a task."""
+    """mapInArrow over (text, id, k): (id, size, tokens, sketch) of each text whose set is k, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
+        sent: set[int] = set()
         for batch in batches_by_bytes(batches, "text"):
             row, h = shingles(batch.column(0), n)
             keys, size = keys_of(row, h, batch.num_rows)
             ends = np.cumsum(size)
-            out = []
+            ids, ks, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
             for i in np.flatnonzero(size).tolist():
-                k = keys[i].tobytes()
-                if k not in sent:
-                    sent.add(k)
+                if ids[i] not in sent and keys[i].tobytes() == ks[i]:
+                    sent.add(ids[i])
                     own = h[ends[i] - size[i] : ends[i]]
-                    out.append((k, own.tobytes(), sketch(own).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.binary()) for c in range(3)], ["k", "tokens", "sketch"])
+                    out.append((ids[i], len(own), own.tobytes(), sketch(own).tobytes()))
+            columns = zip(*out, strict=True) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "size", "tokens", "sketch"])
 
     return trimmed(run)
 
@@ -299,12 +301,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: the pairs whose sketches do not show that they differ in too much."""
+    for batch in batches:
+        keep = []
+        for na, nb, x, y in zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist(), batch.column("of_a"), batch.column("of_b"), strict=True):
+            a, b = (np.frombuffer(z.as_buffer(), np.uint64)[None, :] for z in (x, y))
+            width = min(a.shape[1], b.shape[1])
+            keep.append(7 * int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum()) <= na + nb)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def verify(percent: int):
     """mapInArrow: (a, b, their tokens) to the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column("ta"), batch.column("tb")
+            ta, tb = batch.column("of_a"), batch.column("of_b")
             keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(ta, tb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -418,7 +431,7 @@ def open_cells(shared: DataFrame, roots: DataFrame) -> DataFrame:
     blocks = blocks.filter("roots > 1").groupBy("n", "sizes", "x", "y").agg(F.min("content").alias("content"), F.min("main").alias("main"))
 
     def parts(n: Column, sizes: Column) -> Column:
-        return F.ceil(F.greatest(n / _CELL, 2 * sizes / _CELL_BYTES)).cast("int")
+        return F.ceil(F.greatest(n / _CELL, sizes / _CELL_BYTES)).cast("int")
 
     blocks = blocks.select("content", F.col("main.root").alias("main"), parts(F.col("main.n"), F.col("main.sizes")).alias("g"), parts(F.col("n") - F.col("main.n"), F.col("sizes") - F.col("main.sizes")).alias("o"))
     rows = named.join(blocks, "content")
@@ -435,13 +448,16 @@ def candidates(counted_: DataFrame, sets: DataFrame) -> DataFrame:
 
     The score is how often the set meets others in them, for its size.
     """
-    held = counted_.filter("rank is not null").groupBy("set").agg(F.sort_array(F.collect_list("rank")).alias("held"))
-    held = held.select(F.expr("set & -2").alias("set"), F.expr("set & 1").alias("part"), "held")
+    low = F.expr("set & -2")
+    held = counted_.filter("rank is not null").select("set", F.col("rank").alias("content"))
+    held = held.join(sets.withColumnRenamed("set", "own"), low == F.col("own"))
+    # both parts of a set are where the join left them
+    own = Window.partitionBy("own", "set")
     # blocks that occur once come first, and were not sent here
-    many = F.greatest(F.size("held") + F.when(F.col("part") == 0, F.col("spare0")).otherwise(F.col("spare1")), F.lit(0))
-    met = held.join(sets, "set").select("id", "size", F.slice("held", 1, many).alias("held"))
-    score = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, _CONTENT_BITS) - 1) / F.col("size")
-    return met.select("id", "size", score.cast("float").alias("score"), F.explode("held").alias("content"))
+    many = F.count("*").over(own) + F.when(F.expr("set & 1 = 0"), F.col("spare0")).otherwise(F.col("spare1"))
+    held = held.select("own", "set", "id", "size", "content", F.row_number().over(own.orderBy("content")).alias("place"), many.alias("many")).filter("place <= many")
+    score = F.sum(F.shiftright("content", _CONTENT_BITS) - 1).over(own) / F.col("size")
+    return held.select("id", "size", score.cast("float").alias("score"), "content")
 
 
 def similar_sets(met: DataFrame, known: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -452,26 +468,35 @@ def similar_sets(met: DataFrame, known: DataFrame, texts: DataFrame, n: int, per
     spark = met.sparkSession
     leaders = met.groupBy("content").agg(F.max(F.struct("score", "id", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
     leaders = leaders.select("content", F.col("leader.id").alias("leader"), F.col("leader.size").alias("leader_size"))
-    shared = materialize(met.drop("score").join(leaders, "content"), "shared")
-    # only sets that share a block with another one send their tokens; the list of their
-    # texts is written, so Spark knows its size and broadcasts it only where it is small
+    shared = met_ = materialize(met.drop("score").join(leaders, "content"), "shared")
+    # only sets that share a block with another one send their tokens; the low bits of their
+    # texts' hashes, 2^20 at most, keep most other texts from being shuffled
     wanted = materialize(known.join(shared.select("id").distinct(), "id", "left_semi"), "wanted")
-    sets = texts.join(wanted.select("t").distinct(), "t", "left_semi").select("text").mapInArrow(tokens(n), "k binary, tokens binary, sketch binary")
-    sets = sets.groupBy("k").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-    sets = materialize(sets.join(wanted.select("id", "k"), "k").drop("k"), "sets")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link; a set that meets very many others is sent several times."""
+    low = (F.col("t").bitwiseAND((1 << _LOW_BITS) - 1)).alias("low")
+    some = texts.withColumn("low", low).join(F.broadcast(wanted.select(low).distinct()), "low", "left_semi").select("t", "text")
+    sets = materialize(some.join(wanted, "t").select("text", "id", "k").mapInArrow(tokens(n), "id long, size long, tokens binary, sketch binary"), "sets")
+    if sets.count() > wanted.count():
+        # equal texts were read by several tasks
+        sets = materialize(sets.groupBy("id").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
+
+    def met_by(pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs (a, b) with a column of both; a set that meets very many others is sent several times."""
         heat = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).cast("int").alias("salts"))
-        first = sets.join(heat, F.col("id") == F.col("a")).select("a", F.col("tokens").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        first = sets.join(heat, F.col("id") == F.col("a")).select("a", F.col("size").alias("size_a"), F.col(column).alias("of_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         salted = pairs.join(heat, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-        second = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-        return materialize(salted.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(verify(percent), "a long, b long"), "links")
+        second = sets.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col(column).alias("of_b"))
+        return salted.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "size_a", "size_b", "of_a", "of_b")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: by sketches first, what they leave by the sets themselves."""
+        may = materialize(met_by(pairs, "sketch").mapInArrow(trimmed(bounded), "a long, b long"), "may")
+        return materialize(met_by(may, "tokens").mapInArrow(verify(percent), "a long, b long"), "links")
 
     fits = (F.col("id") != F.col("leader")) & (4 * F.least("size", "leader_size") >= 3 * F.greatest("size", "leader_size"))
     tried = materialize(shared.filter(fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     roots = components(check(tried))
-    shared = shared.select("content", "id", "size")
+    # a leader has met all others of its block
+    shared = shared.filter("id != leader").select("content", "id", "size")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cell = ("content", "left", "right")
     left = shared
@@ -491,7 +516,7 @@ def similar_sets(met: DataFrame, known: DataFrame, texts: DataFrame, n: int, per
         if more.isEmpty():
             break
         left = shared.join(more, "content", "left_semi")
-    for done in (shared, wanted, sets):
+    for done in (met_, wanted, sets):
         discard(done)
     return roots
 
