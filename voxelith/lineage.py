@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to spark.checkpoint.dir (a local folder only where the session names none), read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir.
+
+    A local folder is made only where the session names none and runs in one process; on a
+    cluster its files would stay on single machines.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("voxelith.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxelith-")
         spark.conf.set("voxelith.scratch", root)
-    path = f"{root.rstrip('/')}/voxelith/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/voxelith/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write to the shared folder, read back."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,8 @@ from .neighbours import ranked, region_adjacency, region_index
 STRATEGIES = ("mean", "open_mean", "open_fraction")
 #: Edges of a graph that the strict order may take over from rounds.
 GREEDY_EDGES = 500_000
+#: Edges of a graph from which merging goes in batches.
+BATCH_EDGES = 200_000
 
 
 @dataclass(frozen=True)
@@ -131,7 +133,7 @@ class Graph:
         """Merge two neighbours; the one with more neighbours stays, then higher rank, then smaller id."""
         best = max((a, b), key=lambda r: (len(self.near[r]), self.rank[r], -r))
         gone = b if best == a else a
-        self.rank[best] = max(self.rank[best], self.rank[gone] + 1)
+        self.rank[best] += self.rank[best] == self.rank[gone]
         self.parent[gone] = best
         self.n[best] += self.n[gone]
         for other, edge in self.near.pop(gone).items():
@@ -169,17 +171,35 @@ class Graph:
                 offer(kept, other)
 
     def cleanup(self) -> None:
-        """The smallest region that may merge joins its best neighbour, again and again."""
-        o = self.o
-        while o.cleanup_size > 0:
-            for r in sorted((r for r in self.near if self.n[r] < o.cleanup_size), key=lambda r: (self.n[r], r)):
-                allowed = [b for b in self.near[r] if self.score(r, b, False) > -o.protection and self.evidence(r, b) > 0]
-                if allowed:
-                    self.join(r, max(allowed, key=lambda b: (self.score(r, b, False), self.n[b], -b)))
-                    self.cleanups += 1
-                    break
-            else:
+        """The smallest region that may merge joins its best neighbour, again and again.
+
+        Of equally small ones the one with the better score goes first, then the lower id.
+        A region's entry in the queue is renewed whenever it or a neighbour has changed.
+        """
+        o, queue, turn = self.o, [], {}
+        if o.cleanup_size <= 0:
+            return
+
+        def offer(r: int) -> None:
+            turn[r] = turn.get(r, 0) + 1
+            if self.n[r] >= o.cleanup_size:
                 return
+            allowed = [(self.score(r, b, False), self.n[b], -b) for b in self.near[r] if self.evidence(r, b) > 0]
+            allowed = [k for k in allowed if k[0] > -o.protection]
+            if allowed:
+                best = max(allowed)
+                heapq.heappush(queue, (self.n[r], -best[0], r, turn[r], -best[2]))
+
+        for r in self.near:
+            offer(r)
+        while queue:
+            _, _, r, at, to = heapq.heappop(queue)
+            if r not in self.near or turn[r] != at:
+                continue
+            kept = self.join(r, to)
+            self.cleanups += 1
+            for changed in (kept, *self.near[kept]):
+                offer(changed)
 
     def root(self, r: int) -> int:
         while self.parent[r] != r:
@@ -212,6 +232,11 @@ def agglomerate_graph(regions: DataFrame, edges: DataFrame, o: Options) -> DataF
     return nodes.unionByName(e).groupBy("component").applyInArrow(run, "region_id long, root long, merges long, cleanups long")
 
 
+def goes_in_batches(edges: int, o: Options, preview: bool = False, least: int = BATCH_EDGES) -> bool:
+    """Large graphs merge in batches, unless sizes count in the scores or it is a preview."""
+    return edges >= least and not preview and not (o.bias_size > 0 and o.bias_strength)
+
+
 def batched_roots(regions: DataFrame, edges: DataFrame, o: Options) -> DataFrame:
     """region_id, root by rounds of edges that are the best of both their ends.
 
@@ -258,11 +283,15 @@ def rag_of(vox: DataFrame, grid: Grid, apply_mask: bool = True) -> tuple[DataFra
     return regions, written(e.select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"), "total_b", "total_a", "open_b", "open_a"), "rag")
 
 
-def agglomerate(vox: DataFrame, grid: Grid, o: Options | None = None, batched: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(x, y, z, label: 1.. in ascending surviving region, inactive 0; one row of statistics)."""
+def agglomerate(vox: DataFrame, grid: Grid, o: Options | None = None, batched: bool | None = None, preview: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(x, y, z, label: 1.. in ascending surviving region, inactive 0; one row of statistics).
+
+    Unless ``batched`` says how, the number of edges decides (see ``goes_in_batches``).
+    """
     o = o or Options()
     regions, edges = rag_of(vox, grid)
-    roots = batched_roots(regions, edges, o).withColumns({"merges": F.lit(0), "cleanups": F.lit(0)}) if batched else agglomerate_graph(regions, edges, o)
+    batched = goes_in_batches(edges.count(), o, preview) if batched is None else batched
+    roots = batched_roots(regions, edges, o) if batched else agglomerate_graph(regions, edges, o)
     roots = written(roots, "roots")
     names = ranked(roots.select(F.col("root").alias("r")).distinct(), "r").select("r", F.col("edge_id").alias("cluster"))
     of = regions.join(roots, "region_id").join(names, F.col("root") == F.col("r")).select(F.col("label").alias("_l"), "cluster")

@@ -35,49 +35,51 @@ def landscape(crop: DataFrame, grid: Grid, variance: float = 1.0) -> DataFrame:
     return soft.join(crop, list(AXES)).select(*AXES, "mask", (-F.col("smooth")).alias("cost"))
 
 
-def barrier_path(cost: np.ndarray, domain: np.ndarray, start: tuple[int, ...], end: tuple[int, ...]) -> list[tuple[int, ...]] | None:
-    """Face-connected path of least highest cost, then of least length (indices z, y, x)."""
-    best = {start: (float(cost[start]), 0)}
+def barrier_tree(cost: np.ndarray, domain: np.ndarray, start: tuple[int, ...], ends: set[tuple[int, ...]], spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> dict[tuple[int, ...], tuple[int, ...]] | None:
+    """Predecessors on face-connected paths from ``start`` to all ``ends``: least highest cost,
+    then least physical length (indices and spacing z, y, x); None if one is out of reach."""
+    best = {start: (float(cost[start]), 0.0)}
     back: dict[tuple[int, ...], tuple[int, ...]] = {}
-    todo = [(float(cost[start]), 0, start)]
-    while todo:
+    todo, left = [(float(cost[start]), 0.0, start)], set(ends) - {start}
+    while todo and left:
         high, length, at = heapq.heappop(todo)
-        if at == end:
-            path = [at]
-            while path[-1] in back:
-                path.append(back[path[-1]])
-            return path[::-1]
         if (high, length) > best[at]:
             continue
+        left.discard(at)
         for d in SIX:
             to = tuple(a + b for a, b in zip(at, d, strict=True))
             if all(0 <= t < n for t, n in zip(to, cost.shape, strict=True)) and domain[to]:
-                key = (max(high, float(cost[to])), length + 1)
-                if key < best.get(to, (np.inf, 0)):
+                step = sum(abs(k) * s for k, s in zip(d, spacing, strict=True))
+                key = (max(high, float(cost[to])), length + step)
+                if key < best.get(to, (np.inf, 0.0)):
                     best[to], back[to] = key, at
                     heapq.heappush(todo, (*key, to))
-    return None
+    return None if left else back
 
 
-def connect_seeds(cost: np.ndarray, domain: np.ndarray, seeds: list[tuple[int, ...]]) -> set[tuple[int, ...]]:
-    """Seeds of a class and the paths that join each to the one before."""
+def connect_seeds(cost: np.ndarray, domain: np.ndarray, seeds: list[tuple[int, ...]], spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> set[tuple[int, ...]]:
+    """Seeds of a class and the paths that join each to the first."""
     out = {tuple(s) for s in seeds}
-    for a, b in zip(seeds, seeds[1:], strict=False):
-        path = barrier_path(cost, domain, tuple(a), tuple(b))
-        if path is None:
+    if len(out) > 1:
+        first = tuple(seeds[0])
+        back = barrier_tree(cost, domain, first, out, spacing)
+        if back is None:
             raise ValueError("seeds of a class lie in parts that do not meet")
-        out |= set(path)
+        for at in set(out):
+            while at != first:
+                at = back[at]
+                out.add(at)
     return out
 
 
-def split_markers(cost: np.ndarray, domain: np.ndarray, first: list, second: list, connect: bool = True) -> np.ndarray:
+def split_markers(cost: np.ndarray, domain: np.ndarray, first: list, second: list, connect: bool = True, spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
     """Marker array of two classes; a seed outside, an empty class or a shared voxel is an error."""
     if not first or not second:
         raise ValueError("each class needs a seed")
     for s in [*first, *second]:
         if not (all(0 <= t < n for t, n in zip(s, cost.shape, strict=True)) and domain[tuple(s)]):
             raise ValueError("a seed lies outside the object")
-    a, b = (connect_seeds(cost, domain, c) if connect else {tuple(s) for s in c} for c in (first, second))
+    a, b = (connect_seeds(cost, domain, c, spacing) if connect else {tuple(s) for s in c} for c in (first, second))
     if a & b:
         raise ValueError("the classes share a voxel")
     out = np.zeros(cost.shape, np.int64)
@@ -87,11 +89,11 @@ def split_markers(cost: np.ndarray, domain: np.ndarray, first: list, second: lis
     return out
 
 
-def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, connect: bool = True, allow_parts: bool = False) -> DataFrame:
+def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, connect: bool = True, allow_parts: bool = False, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """x, y, z, part (1 or 2) of the object's voxels.
 
     ``crop``: x, y, z, mask, cost; ``seeds``: x, y, z, part in the order of ``seq``.  The
-    flood is geodesic without compactness.  Both parts must be there, together be the
+    flood is geodesic without compactness; ``spacing`` (x, y, z) is that of connecting paths.  Both parts must be there, together be the
     object, and hang together unless ``allow_parts``.  One object is one task.
     """
     s = seeds.select(*AXES, F.struct("seq", "part").alias("_s"))
@@ -103,7 +105,7 @@ def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, co
         if ((b["part"] != 0) & ~domain).any():
             raise ValueError("a seed lies outside the object")
         order = sorted((int(b["seq"][p]), int(b["part"][p]), p) for p in map(tuple, np.argwhere(b["part"] != 0)))
-        marks = split_markers(b["cost"], domain, *([p for _, k, p in order if k == c] for c in (1, 2)), connect)
+        marks = split_markers(b["cost"], domain, *([p for _, k, p in order if k == c] for c in (1, 2)), connect, spacing[::-1])
         level = inverted_levels(b["cost"], domain)
         out = flood(level, marks, domain, 6, "compact" if compactness else "geodesic", compactness)
         for k in (1, 2):

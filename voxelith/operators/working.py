@@ -221,19 +221,21 @@ def merge_small(vox: DataFrame, grid: Grid, selected: DataFrame, largest: bool =
     return out, sets
 
 
-def merge_until(vox: DataFrame, grid: Grid, least: int, most: int = 50) -> DataFrame:
-    """Repeat ``merge_small`` until no label with a neighbour has fewer than ``least`` voxels."""
+def merge_until(vox: DataFrame, grid: Grid, least: int) -> DataFrame:
+    """Repeat ``merge_small`` until no label with a neighbour has fewer than ``least`` voxels.
+
+    Every round that merges leaves fewer small labels, so it ends by itself.
+    """
     from .statistics import labels_below
 
     vox, before = vox.select(*AXES, "label"), None
-    for _ in range(most):
+    while True:
         small = written(labels_below(vox, least, [0]), "small")
         n = small.count()
         if not n or n == before:
-            break
+            return vox
         before = n
         vox = written(merge_small(vox, grid, small)[0], "merged")
-    return vox
 
 
 def apply_partition(vox: DataFrame, grid: Grid, w: Working, group: int, parts: DataFrame) -> tuple[DataFrame, Working]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid, grid_of, voxels
 from ..operators import agglomeration, components, neighbours, statistics, working
+from ..lineage import written
 from ..operators.graph import connected
 from ..query import query
 from .table_queries import SCAN, TRUTH
@@ -411,11 +412,18 @@ def g23(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rag(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Regions and edges; sums of boundary values to nine places, as sums differ by the order of their terms."""
     vox = voxels(spark, d)
-    return agglomeration.rag_of(vox, grid_of(vox))
+    regions, edges = agglomeration.rag_of(vox, grid_of(vox))
+    return regions, edges.withColumns({c: F.round(c, 9) for c in ("total_b", "open_b")})
 
 
-INDEXED = OPEN + f", f AS (SELECT label, min({SCAN}) AS first, count(*) AS n FROM vox WHERE label <> 0 AND mask = 0 GROUP BY label), reg AS (SELECT row_number() OVER (ORDER BY first) - 1 AS id, label, n FROM f), re AS (SELECT least(a.id, b.id) AS r1, greatest(a.id, b.id) AS r2, total_b, total_a, open_b, open_a, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS n1, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS n2 FROM rag JOIN reg a ON a.label = lo JOIN reg b ON b.label = hi)"
+def _rounded(scored: DataFrame) -> DataFrame:
+    """Scores to twelve places: six would meet ties, as boundary values have few."""
+    return scored.withColumn("score", F.round("score", 12))
+
+
+INDEXED = OPEN + f", f AS (SELECT label, min({SCAN}) AS first, count(*) AS n FROM vox WHERE label <> 0 AND mask = 0 GROUP BY label), reg AS (SELECT row_number() OVER (ORDER BY first) - 1 AS id, label, n FROM f), re AS (SELECT least(a.id, b.id) AS r1, greatest(a.id, b.id) AS r2, round(total_b, 9) AS total_b, total_a, round(open_b, 9) AS open_b, open_a, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS n1, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS n2 FROM rag JOIN reg a ON a.label = lo JOIN reg b ON b.label = hi)"
 
 
 @query("r01_pair_keys", "lo hi key", "SELECT lo, hi, lo * 4294967296 + hi AS key FROM (SELECT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM edges) e")
@@ -431,28 +439,28 @@ for _name, _o, _sql in (
     ("open_fraction", agglomeration.Options(tau=0.3, strategy="open_fraction"), "(0.3::DOUBLE * open_a - open_b) / total_a"),
 ):
 
-    @query(f"r02_score_{_name}", "r1 r2; score", INDEXED + f" || SELECT r1, r2, {_sql} AS score FROM re")
+    @query(f"r02_score_{_name}", "r1 r2;; score", INDEXED + f" || SELECT r1, r2, round({_sql}, 12) AS score FROM re")
     def r02(spark: SparkSession, d: str, o=_o) -> DataFrame:
         regions, edges = _rag(spark, d)
-        return agglomeration.scored_edges(edges, regions, o)
+        return _rounded(agglomeration.scored_edges(edges, regions, o))
 
 
-@query("r03_sum_linkage", "r1 r2; score", INDEXED + " || SELECT r1, r2, 0.3::DOUBLE * total_a - total_b AS score FROM re")
+@query("r03_sum_linkage", "r1 r2;; score", INDEXED + " || SELECT r1, r2, round(0.3::DOUBLE * total_a - total_b, 12) AS score FROM re")
 def r03(spark: SparkSession, d: str) -> DataFrame:
     regions, edges = _rag(spark, d)
-    return agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3, linkage="sum"))
+    return _rounded(agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3, linkage="sum")))
 
 
-@query("r04_size_bias", "r1 r2; score", INDEXED + " || SELECT r1, r2, (0.3::DOUBLE * total_a - total_b) / total_a + 0.4::DOUBLE * greatest(CASE WHEN n1 < 80 THEN (80 - n1) / 80.0::DOUBLE ELSE 0 END, CASE WHEN n2 < 80 THEN (80 - n2) / 80.0::DOUBLE ELSE 0 END) AS score FROM re")
+@query("r04_size_bias", "r1 r2;; score", INDEXED + " || SELECT r1, r2, round((0.3::DOUBLE * total_a - total_b) / total_a + 0.4::DOUBLE * greatest(CASE WHEN n1 < 80 THEN (80 - n1) / 80.0::DOUBLE ELSE 0 END, CASE WHEN n2 < 80 THEN (80 - n2) / 80.0::DOUBLE ELSE 0 END), 12) AS score FROM re")
 def r04(spark: SparkSession, d: str) -> DataFrame:
     regions, edges = _rag(spark, d)
-    return agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3, bias_size=80, bias_strength=0.4))
+    return _rounded(agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3, bias_size=80, bias_strength=0.4)))
 
 
-@query("r05_initial_queue", "r1 r2; score", INDEXED + " || SELECT r1, r2, (0.3::DOUBLE * total_a - total_b) / total_a AS score FROM re WHERE (0.3::DOUBLE * total_a - total_b) / total_a > 0")
+@query("r05_initial_queue", "r1 r2;; score", INDEXED + " || SELECT r1, r2, round((0.3::DOUBLE * total_a - total_b) / total_a, 12) AS score FROM re WHERE (0.3::DOUBLE * total_a - total_b) / total_a > 0")
 def r05(spark: SparkSession, d: str) -> DataFrame:
     regions, edges = _rag(spark, d)
-    return agglomeration.initial_queue(agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3)))
+    return _rounded(agglomeration.initial_queue(agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3))))
 
 
 @query("r06_merge_direction", "r1 r2 kept", INDEXED + ", dg AS (SELECT r, count(*) AS d FROM (SELECT r1 AS r FROM re UNION ALL SELECT r2 FROM re) q GROUP BY r) || SELECT r1, r2, CASE WHEN a.d > b.d THEN r1 WHEN b.d > a.d THEN r2 ELSE least(r1, r2) END AS kept FROM re JOIN dg a ON a.r = r1 JOIN dg b ON b.r = r2")
@@ -477,6 +485,39 @@ def r09(spark: SparkSession, d: str) -> DataFrame:
     return agglomeration.batched_roots(*_rag(spark, d), agglomeration.Options(tau=0.25))
 
 
+_SETTLED = INDEXED + " || SELECT sum(n) AS voxels, count(*) AS regions, 0 AS positive FROM reg"
+
+
+def _settled(regions: DataFrame, edges: DataFrame, roots: DataFrame, o: agglomeration.Options) -> DataFrame:
+    """One row: voxels and regions covered, and contracted edges whose score is still positive."""
+    roots = written(roots.select("region_id", "root"), "roots")
+    sizes = regions.join(roots, "region_id").groupBy(F.col("root").alias("region_id")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    left = agglomeration.scored_edges(agglomeration.contract(edges, roots), sizes.select("region_id", "n"), o)
+    return sizes.agg(F.sum("n").alias("voxels"), F.sum("k").alias("regions")).crossJoin(left.agg(F.count(F.when(F.col("score") > 1e-9, 1)).alias("positive")))
+
+
+@query("r08_greedy_settles", "voxels regions positive", _SETTLED)
+def r08_settles(spark: SparkSession, d: str) -> DataFrame:
+    regions, edges = _rag(spark, d)
+    o = agglomeration.Options(tau=0.25)
+    return _settled(regions, edges, agglomeration.agglomerate_graph(regions, edges, o), o)
+
+
+@query("r09_batches_settle", "voxels regions positive", _SETTLED)
+def r09_settles(spark: SparkSession, d: str) -> DataFrame:
+    regions, edges = _rag(spark, d)
+    o = agglomeration.Options(tau=0.25)
+    return _settled(regions, edges, agglomeration.batched_roots(regions, edges, o), o)
+
+
+@query("r10_policy", "bias preview edges batched", INDEXED + ", o AS (SELECT unnest([0, 80]) AS bias), p AS (SELECT unnest([0, 1]) AS preview), l AS (SELECT unnest([1, 200000]) AS most) || SELECT bias, preview, most AS edges, CASE WHEN bias = 0 AND preview = 0 AND (SELECT count(*) FROM re) >= most THEN 1 ELSE 0 END AS batched FROM o, p, l")
+def r10(spark: SparkSession, d: str) -> DataFrame:
+    _, edges = _rag(spark, d)
+    n, bias = edges.count(), {k: agglomeration.Options(bias_size=k, bias_strength=0.4 if k else 0.0) for k in (0, 80)}
+    rows = [(k, int(preview), least, int(agglomeration.goes_in_batches(n, o, preview, least))) for k, o in bias.items() for preview in (False, True) for least in (1, 200_000)]
+    return spark.createDataFrame(rows, "bias int, preview int, edges long, batched int")
+
+
 @query("r11_cleanup", "region_id root merges cleanups")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     return agglomeration.agglomerate_graph(*_rag(spark, d), agglomeration.Options(tau=0.05, cleanup_size=90, protection=1.0))

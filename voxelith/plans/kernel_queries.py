@@ -10,14 +10,6 @@ from ..operators import components, distance, neighbours, projections, splits, s
 from ..query import query
 from . import workflow
 
-CROP = 12
-
-
-def _crop(spark: SparkSession, d: str) -> tuple[DataFrame, Grid]:
-    vox = voxels(spark, d).filter(f"x < {CROP} and y < {CROP} and z < {CROP}")
-    return vox, grid_of(vox)
-
-
 @query("m01_squared_distance", "x y z; d2", "s AS (SELECT x, y, z FROM vox WHERE mask = 1) || SELECT v.x, v.y, v.z, min((v.x - s.x) ** 2 + (v.y - s.y) ** 2 + 4.0 * (v.z - s.z) ** 2) AS d2 FROM vox v, s GROUP BY v.x, v.y, v.z")
 def m01(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
@@ -66,6 +58,25 @@ for _mode in ("arrival", "geodesic", "compact"):
         return statistics.label_counts(distance.run_watershed(*_marked(spark, d), "exact", mode=mode))
 
 
+_MARKS = "(x % 5 = 2 AND y % 5 = 2 AND z % 5 = 1)"
+
+
+def _kept(flooded: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row: voxels flooded, labels, markers, and markers that kept their label."""
+    m = marked.filter("seed <> 0").select(*AXES, "seed")
+    kept = m.join(flooded, list(AXES)).agg(F.count("*").alias("markers"), F.sum((F.col("label") == F.col("seed")).cast("long")).alias("kept"))
+    return flooded.agg(F.count(F.when(F.col("label") != 0, 1)).alias("flooded"), F.count_distinct("label").alias("labels")).crossJoin(kept)
+
+
+for _mode in ("arrival", "geodesic", "compact", "blockwise"):
+
+    @query(f"{dict(arrival='m06', geodesic='m07', compact='m08', blockwise='m09')[_mode]}_{_mode}_covers", "flooded labels markers kept", f"SELECT count(*) AS flooded, count(*) FILTER {_MARKS.replace('(', '(WHERE ', 1)} AS labels, count(*) FILTER {_MARKS.replace('(', '(WHERE ', 1)} AS markers, count(*) FILTER {_MARKS.replace('(', '(WHERE ', 1)} AS kept FROM vox")
+    def covers(spark: SparkSession, d: str, mode=_mode) -> DataFrame:
+        marked, g = _marked(spark, d)
+        how = {"edge": 16, "halo": 4} if mode == "blockwise" else {"mode": mode}
+        return _kept(distance.run_watershed(marked, g, "blockwise" if mode == "blockwise" else "exact", **how), marked)
+
+
 @query("m09_watershed_blockwise", "label n")
 def m09(spark: SparkSession, d: str) -> DataFrame:
     return statistics.label_counts(distance.run_watershed(*_marked(spark, d), "blockwise", edge=16, halo=4))
@@ -147,16 +158,26 @@ def x05(spark: SparkSession, d: str) -> DataFrame:
     return splits.seeded_split(land, seeds, allow_parts=True).groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query("x05_parts_cover", "voxels parts", "SELECT count(*) AS voxels, 2 AS parts FROM vox")
+def x05_cover(spark: SparkSession, d: str) -> DataFrame:
+    return x05(spark, d).agg(F.sum("n").alias("voxels"), F.count("*").alias("parts"))
+
+
+@query("x07_cut_sizes", "n", "SELECT count(*) AS n FROM vox GROUP BY x <= 5")
+def x07_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return x07(spark, d).select("n")
+
+
 @query("x04_ray_pick", "x y z")
 def x04(spark: SparkSession, d: str) -> DataFrame:
     _, dist, _ = _distance(spark, d)
     return splits.ray_pick(dist.filter("dist > 0"), (0.0, 7.0, 1.0), (1.0, 0.0, 0.0), 24.0)
 
 
-@query("x06_projected_cut", "part n", "SELECT CASE WHEN x <= 5 THEN 1 ELSE 2 END AS part, count(*) AS n FROM vox WHERE x < 12 AND y < 12 AND z < 12 GROUP BY 1")
+@query("x06_projected_cut", "part n", "SELECT CASE WHEN x <= 5 THEN 1 ELSE 2 END AS part, count(*) AS n FROM vox GROUP BY 1")
 def x06(spark: SparkSession, d: str) -> DataFrame:
-    vox, g = _crop(spark, d)  # as its twin reads it; x07 cuts the whole table
-    solid = vox.select(*AXES, F.lit(1).alias("label"))
+    vox = voxels(spark, d)
+    solid, g = vox.select(*AXES, F.lit(1).alias("label")), grid_of(vox)
     flat = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 0, 0], [0, 0, 0, 1]]
     return splits.projected_cut(solid, g, 1, flat, [(5.4, -1.0), (5.4, 20.0)], 0.9).groupBy("part").agg(F.count("*").alias("n"))
 
