@@ -30,13 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, local mode) a local folder is made.
+    Only where the session names none and runs in one process (tests) a local folder is made;
+    on a cluster its files would stay on single machines.
     """
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     got = spark.conf.get("voxelith.local.checkpoint", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="voxelith-")
         spark.conf.set("voxelith.local.checkpoint", got)
     return got
