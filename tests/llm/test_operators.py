@@ -70,7 +70,7 @@ def removal(pairs, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [20_000, 2, 0])
 def test_suffix_dedup(docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
     assert rows_of(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removal(texts(), 200)

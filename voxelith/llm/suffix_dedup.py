@@ -14,8 +14,14 @@ live in external files that every round reads and writes from front to back.  A
 repeats if its suffix shares ``width`` symbols with a neighbour in the list, or if its
 segment has a count over one.
 
-An anchor with more than ``HOT_SEGMENTS`` different segments is not gathered in one task:
-its windows are counted by 128-bit hashes instead.
+A collection of more than ``HOT_SEGMENTS`` different segments is not gathered in one task.
+It is dealt by longer contexts: equal windows hold the anchor at equal places, so the starts
+that lie ``low`` to ``low + span - 1`` bytes before it are a collection of their own for each
+text of the ``width - span + 1`` bytes that all their windows share.  These narrower segments
+go through the same construction; ``span`` falls to a quarter until every collection fits, and
+at span 1 a collection is one window, kept once with its count.  A collection's lists hold at
+most HOT_SEGMENTS * (width - ANCHOR + 1) rows of 8 bytes, whatever the corpus.  The folder of
+its lists is local to the task that builds it; a task run again builds them again.
 
 Null text: no bytes.  Texts shorter than ``width`` lose nothing.  Repeated rows are
 documents of their own (so they remove each other).  doc_id may be null.  Empty table: no
@@ -378,21 +384,44 @@ def cut_segments(width: int):
     return trimmed(run)
 
 
-def window_hashes(width: int):
-    """SEGMENTS to one row for each judged start: 128-bit hash of its window."""
+NARROWED = "p_h long, p_x1 long, p_x2 long, low int, " + SEGMENTS
+
+
+def narrowed(width: int, span: int):
+    """SEGMENTS to their parts by distance from the tail, each under the bytes its windows share.
+
+    A part's tail starts ``low`` bytes before that of its parent (p_h, p_x1, p_x2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = batch.column("body")
-            size = np.array([len(b) for b in body.to_pylist()], np.int64)
-            data = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
-            judged = np.asarray(batch.column("judged")).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), judged)
-            start = ranges(np.zeros(batch.num_rows, np.int64), judged)
-            at = (np.cumsum(size) - size)[row] + start
-            g = [pa.array(PrefixHash(data, k)(at, at + width).view(np.int64)) for k in (0, 1)]
-            start = (start - np.asarray(batch.column("before"))[row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*g, *(batch.column(c).take(pa.array(row)) for c in ("h", "x1", "x2", "n")), pa.array(start)], ["g1", "g2", "h", "x1", "x2", "n", "start"])
+            if not batch.num_rows:
+                continue
+            bodies = batch.column("body").to_pylist()
+            size = np.array([len(b) for b in bodies], np.int64)
+            data = b"".join(bodies)
+            raw, begin = np.frombuffer(data, np.uint8), np.cumsum(size) - size
+            before, judged = (np.asarray(batch.column(c)).astype(np.int64) for c in ("before", "judged"))
+            nearest = before - judged + 1
+            first = nearest // span
+            pieces = before // span - first + 1
+            row = np.repeat(np.arange(batch.num_rows), pieces)
+            low = ranges(first, pieces) * span
+            far = np.minimum(low + span - 1, before[row])
+            near = np.maximum(low, nearest[row])
+            tail = begin[row] + before[row] - low
+            lo, hi = begin[row] + before[row] - far, np.minimum(tail + width, (begin + size)[row])
+            hashes = [PrefixHash(raw, k) for k in (0, 1)]
+            parent = np.asarray(batch.column("h")).view(np.uint64)[row]
+            h = mix(hashes[0](tail, tail + width - span + 1) ^ mix(parent + low.astype(np.uint64)))
+            shape = ((far - low) * width + far - near).astype(np.uint64)
+            x1, x2 = mix(hashes[0](lo, hi) ^ mix(shape)), hashes[1](lo, hi)
+            own = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            cols = [
+                *(batch.column(c).take(pa.array(row)) for c in ("h", "x1", "x2")), pa.array(low.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (h, x1, x2)),
+                batch.column("n").take(pa.array(row)), pa.array((far - low).astype(np.int32)), pa.array((far - near + 1).astype(np.int32)), pa.array(own, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in NARROWED.split(", ")])
 
     return trimmed(run)
 
@@ -432,6 +461,49 @@ def finish(width: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+KEY = ["h", "x1", "x2"]
+
+
+def with_kinds(segments: DataFrame) -> DataFrame:
+    """Segments of collections with more than one member, with the count of different ones."""
+    kinds = segments.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("different")).filter("total > 1")
+    return segments.join(kinds, "h")
+
+
+def alone(segments: DataFrame) -> DataFrame:
+    """VERDICTS of segments without another in their collection: repeated as a whole."""
+    whole = F.struct((-F.col("before")).alias("lo"), (F.col("judged") - F.col("before")).alias("hi"))
+    return segments.filter("different = 1").select(*KEY, F.array(whole).alias("spans"))
+
+
+def built(bodies: DataFrame, width: int) -> DataFrame:
+    """VERDICTS of SEGMENTS whose collections fit a task."""
+    parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bodies.repartition(parts, "h").sortWithinPartitions(*KEY).mapInArrow(construct(width), VERDICTS)
+
+
+def built_narrower(hot: DataFrame, width: int, span: int) -> DataFrame:
+    """VERDICTS of SEGMENTS in larger collections, from collections of ``span`` distances."""
+    cut = materialize(hot.mapInArrow(narrowed(width, span), NARROWED), "narrowed")
+    kids = cut.groupBy(*KEY, "before", "judged").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
+    kids = materialize(with_kinds(kids), "parts")
+    columns = [c.split()[0] for c in SEGMENTS.split(", ")]
+    # at span 1 the segments of a collection are equal, so there is nothing left to deal
+    large = (F.col("different") > HOT_SEGMENTS) & F.lit(span > 1)
+    verdict = alone(kids).unionByName(built(kids.filter((F.col("different") > 1) & ~large).select(*columns), width))
+    more = kids.filter((F.col("different") > 1) & large).select(*columns)
+    if not more.isEmpty():
+        verdict = verdict.unionByName(built_narrower(more, width, -(-span // 4)))
+    back = cut.select("p_h", "p_x1", "p_x2", "low", *KEY).join(verdict, KEY).select(
+        F.col("p_h").alias("h"), F.col("p_x1").alias("x1"), F.col("p_x2").alias("x2"),
+        F.explode(F.transform("spans", lambda s: F.struct((s["lo"] - F.col("low")).alias("lo"), (s["hi"] - F.col("low")).alias("hi")))).alias("s"),
+    )
+    verdict = materialize(back.groupBy(*KEY).agg(F.collect_list("s").alias("spans")), "verdicts")
+    discard(cut)
+    discard(kids)
+    return verdict
+
+
 def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     """(t1, t2, spans of repeated starts) of every text that has any."""
     spark = docs.sparkSession
@@ -443,14 +515,10 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     discard(twice)
     # equal segments once, with a count and one place where their bytes can be read
     segments = found.groupBy("h", "x1", "x2", "before", "judged").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("place"))
-    segments = materialize(segments, "segments")
-    kinds = segments.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("different")).filter("total > 1")
-    segments = segments.join(kinds, "h")
-    key = ["h", "x1", "x2"]
-    # a segment that is the only one under its anchor repeats as a whole: nothing to compare it with
-    single = segments.filter("different = 1").select(*key, F.array(F.struct((-F.col("before")).alias("lo"), (F.col("judged") - F.col("before")).alias("hi"))).alias("spans"))
+    listed = materialize(segments, "segments")
+    segments = with_kinds(listed)
     asked = segments.filter("different > 1").select(
-        F.col("place.t1").alias("t1"), F.col("place.t2").alias("t2"), F.struct(*key, "n", F.col("place.at").alias("at"), "before", "judged").alias("w"), (F.col("different") > HOT_SEGMENTS).alias("hot")
+        F.col("place.t1").alias("t1"), F.col("place.t2").alias("t2"), F.struct(*KEY, "n", F.col("place.at").alias("at"), "before", "judged").alias("w"), (F.col("different") > HOT_SEGMENTS).alias("hot")
     )
     asked = materialize(asked.groupBy("t1", "t2", "hot").agg(F.collect_list("w").alias("wanted")), "asked")
     sources = texts.select("t1", "t2", "text").mapInArrow(listed_texts(share(Bitmap.of(asked, "t1"))), "t1 long, t2 long, text string")
@@ -458,16 +526,16 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     def bodies(hot: bool) -> DataFrame:
         return sources.join(asked.filter(F.col("hot") == hot), ["t1", "t2"]).select("text", "wanted").mapInArrow(cut_segments(width), SEGMENTS)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    built = bodies(False).repartition(parts, "h").sortWithinPartitions("h", "x1", "x2").mapInArrow(construct(width), VERDICTS)
-    verdict = materialize(single.unionByName(built), "verdicts")
+    verdict = materialize(alone(segments).unionByName(built(bodies(False), width)), "verdicts")
     if not asked.filter("hot").isEmpty():
-        windows = materialize(bodies(True).dropDuplicates(key).mapInArrow(window_hashes(width), "g1 long, g2 long, h long, x1 long, x2 long, n long, start int"), "windows")
-        again = windows.groupBy("g1", "g2").agg(F.sum("n").alias("total")).filter("total > 1").select("g1", "g2")
-        starts = windows.join(again, ["g1", "g2"], "left_semi").groupBy(*key).agg(F.collect_list(F.struct(F.col("start").alias("lo"), (F.col("start") + 1).alias("hi"))).alias("spans"))
-        verdict = verdict.unionByName(starts)
-    marks = found.select("t1", "t2", *key, "at").join(verdict, key).select("t1", "t2", F.explode(F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi")))).alias("s"))
-    return materialize(marks.groupBy("t1", "t2").agg(F.collect_set("s").alias("spans")), "marks")
+        distances = width - ANCHOR + 1
+        verdict = verdict.unionByName(built_narrower(bodies(True).dropDuplicates(KEY), width, -(-distances // 4)))
+    discard(asked)
+    discard(listed)
+    marks = found.select("t1", "t2", *KEY, "at").join(verdict, KEY).select("t1", "t2", F.explode(F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi")))).alias("s"))
+    marks = materialize(marks.groupBy("t1", "t2").agg(F.collect_set("s").alias("spans")), "marks")
+    discard(found)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
