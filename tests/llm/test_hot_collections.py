@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.test_operators import removal, rows_of
+from test_operators import removal, rows_of
 from voxelith.llm import suffix_dedup
 
 

@@ -121,10 +121,18 @@ _TABLE = np.random.default_rng(20240601).integers(1, 2**63, size=(2, 256), dtype
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+_KEPT: dict[int, np.ndarray] = {}
+_KEPT_LENGTH = 1 << 19
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 to base^(n-1); short lists are views of one that is kept."""
+    if n <= _KEPT_LENGTH:
+        if int(base) not in _KEPT:
+            _KEPT[int(base)] = np.cumprod(np.append(np.uint64(1), np.full(_KEPT_LENGTH - 1, base)), dtype=np.uint64)
+        return _KEPT[int(base)][:n]
     out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
+    out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 

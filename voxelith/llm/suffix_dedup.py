@@ -46,6 +46,8 @@ ANCHOR = 50
 HOT_SEGMENTS = 20_000
 COLLECTION = 6_000
 _POSITION_BITS = 24
+#: Bytes of text whose arrays are worked on at once: few enough to stay in a core's cache.
+_AT_ONCE = 128 << 10
 _LONGEST = 8 << 20
 
 
@@ -100,7 +102,7 @@ def buffers(batch: pa.RecordBatch, width: int):
 
 def anchor_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", _AT_ONCE):
             for raw, offsets, _, _ in buffers(batch, width):
                 h, n = np.unique(anchors(raw, offsets, width)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
@@ -120,7 +122,7 @@ def occurrences(width: int, bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = Bitmap(bitmap.value)
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", _AT_ONCE):
             t1, t2 = (np.asarray(batch.column(c)) for c in ("t1", "t2"))
             for raw, offsets, rows, base in buffers(batch, width):
                 h, at, lo, hi = anchors(raw, offsets, width)
