@@ -68,15 +68,19 @@ def components(vox: DataFrame, grid: Grid, connectivity: int = 6, background: It
         out = b.rows(b.own, **{n: b[n] for n in names}, scan=scan, local=local)
         at = np.nonzero(b.own)
         found = links[at]
-        lists = pa.array([r[r >= 0].tolist() if (r >= 0).any() else None for r in found], pa.list_(pa.int64()))
+        ends = np.concatenate([[0], np.cumsum((found >= 0).sum(axis=1))])
+        none = np.append(ends[1:] == ends[:-1], False)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=none), pa.array(found[found >= 0]))
         return out.append_column("links", lists)
 
     rows = vox.filter(~F.col(names[0]).isin(background))
     rows = rows.select(*AXES, *(F.col(c).cast("long").alias(c) for c in names), F.xxhash64(*(F.col(c).cast("long") for c in names)).alias("_k"))
     kinds = ", ".join(f"{c} long" for c in names)
     local = written(by_block(rows, grid, kernel, f"x int, y int, z int, {kinds}, scan long, local long, links array<long>", edge), "local")
-    across = local.filter("links is not null").select(F.col("local").alias("a"), F.explode("links").alias("other"))
-    met = across.join(local.select(F.col("scan").alias("other"), F.col("local").alias("b")), "other").select("a", "b").distinct()
+    # a voxel that another block's voxel meets also meets that one: only faces are joined
+    faces = local.filter("links is not null")
+    across = faces.select(F.col("local").alias("a"), F.explode("links").alias("other"))
+    met = across.join(faces.select(F.col("scan").alias("other"), F.col("local").alias("b")), "other").select("a", "b").distinct()
     roots = connected(met)
     return local.join(roots, F.col("local") == F.col("node"), "left").select(*AXES, *names, F.coalesce("root", "local").alias("component"))
 

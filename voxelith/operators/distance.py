@@ -19,45 +19,64 @@ FAR = 1e20
 LEVELS = 65535
 
 
-def lower_envelope(f: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """min over j of f[j] + (at[i] - at[j])^2 by the envelope of parabolas."""
-    known = np.flatnonzero(f < FAR)
-    if not len(known):
-        return np.full(len(f), FAR)
-    v, z = [int(known[0])], [-np.inf]
-    for q in known[1:].tolist():
-        while True:
-            p = v[-1]
-            s = ((f[q] + at[q] ** 2) - (f[p] + at[p] ** 2)) / (2 * (at[q] - at[p]))
-            if s > z[-1]:
-                break
-            v.pop()
-            z.pop()
-        v.append(q)
-        z.append(s)
-    k = np.searchsorted(np.array(z), at, "right") - 1
-    best = np.array(v)[k]
-    return f[best] + (at - at[best]) ** 2
+def lower_envelopes(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """min over j of f[l, j] + (at[i] - at[j])^2 for every line l, by envelopes of parabolas.
+
+    All lines advance together: a step looks at one place of each.
+    """
+    lines, n = f.shape
+    own = np.arange(lines)
+    v, z, top = np.zeros((lines, n), np.int64), np.full((lines, n + 1), np.inf), np.full(lines, -1)
+    for q in range(n):
+        known = np.flatnonzero(f[:, q] < FAR)
+        cross = np.full(len(known), -np.inf)
+        open_ = np.flatnonzero(top[known] >= 0)
+        while len(open_):
+            r = known[open_]
+            p = v[r, top[r]]
+            s = ((f[r, q] + at[q] ** 2) - (f[r, p] + at[p] ** 2)) / (2 * (at[q] - at[p]))
+            cross[open_] = s
+            covered = s <= z[r, top[r]]
+            top[r[covered]] -= 1
+            open_ = open_[covered]
+        top[known] += 1
+        v[known, top[known]], z[known, top[known]] = q, cross
+    z[np.arange(n + 1)[None, :] > top[:, None]] = np.inf
+    out, k = np.full((lines, n), FAR), np.zeros(lines, np.int64)
+    some = top >= 0
+    for i in range(n):
+        while (step := z[own, k + 1] <= at[i]).any():
+            k += step
+        best = v[own, k]
+        out[some, i] = (f[own, best] + (at[i] - at[best]) ** 2)[some]
+    return out
+
+
+#: Lines of a bundle along each of the two other axes, as a power of two.
+BUNDLE = 4
 
 
 def squared_distance(vox: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
     """x, y, z, d2: exact squared distance to the nearest site (x, y, z), spacing-aware.
 
-    Three passes over the lines of an axis each; a line is the unit of work, so no task
-    needs a volume.  Without sites d2 is null.
+    Three passes over the lines of an axis each; a bundle of 16 x 16 lines is the unit of
+    work, so no task needs a volume.  Without sites d2 is null.
     """
     marked = vox.select(*AXES).join(sites.select(*AXES).distinct().withColumn("_s", F.lit(0.0)), list(AXES), "left")
     d = marked.select(*AXES, F.coalesce("_s", F.lit(FAR)).alias("d2"))
     for a, s in zip(AXES, (grid.sx, grid.sy, grid.sz), strict=True):
-
-        def run(table: pa.Table, a=a, s=s) -> pa.Table:
-            i = np.asarray(table.column(a))
-            order = np.argsort(i)
-            f = np.asarray(table.column("d2"))[order]
-            out = lower_envelope(f, i[order].astype(np.float64) * s)
-            return pa.table({**{b: table.column(b).take(pa.array(order)) for b in AXES}, "d2": pa.array(np.minimum(out, FAR))})
-
-        d = d.groupBy(*(b for b in AXES if b != a)).applyInArrow(_typed(run), "x int, y int, z int, d2 double")
+        b, c = (o for o in AXES if o != a)
+
+        def run(table: pa.Table, a=a, b=b, c=c, s=s) -> pa.Table:
+            at, i = np.unique(np.asarray(table.column(a)), return_inverse=True)
+            across = np.asarray(table.column(b)).astype(np.int64) << 32 | np.asarray(table.column(c)).astype(np.int64) & 0xFFFFFFFF
+            names, line = np.unique(across, return_inverse=True)
+            f = np.full((len(names), len(at)), FAR)
+            f[line, i] = np.asarray(table.column("d2"))
+            out = lower_envelopes(f, at.astype(np.float64) * s)[line, i]
+            return pa.table({**{o: table.column(o) for o in AXES}, "d2": pa.array(np.minimum(out, FAR))})
+
+        d = d.groupBy(F.shiftright(b, BUNDLE).alias("_b"), F.shiftright(c, BUNDLE).alias("_c")).applyInArrow(_typed(run), "x int, y int, z int, d2 double")
     return d.select(*AXES, F.when(F.col("d2") < FAR / 2, F.col("d2")).alias("d2"))
 
 
