@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, neighbours, ngram_join, packing, secrets, sharding, suffix_dedup, toxicity
+from . import chat, decontamination, fingerprints, licenses, neighbours, ngram_join, packing, quarantine, secrets, sharding, suffix_dedup, toxicity, trie
 from .common import table
 
 
@@ -58,7 +58,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_sharding, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_toxicity, op7_license_scan, op8_secret_scan, op9_best_fit_packing, op10_benchmark_decontamination)}
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digests(fingerprints.edited_pairs(table(spark, sf_dir, "documents")))
+
+
+def op12_quarantine_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    released = quarantine.replay(quarantine.scheduled(table(spark, sf_dir, "conversations")))
+    return released.select("conv_id", "turn", "status", "attempts", "first_at", "last_at", "release_no", "state")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.grafted(trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_sharding, op4_ngram_jaccard_join, op5_nearest_neighbours, op6_toxicity, op7_license_scan, op8_secret_scan, op9_best_fit_packing, op10_benchmark_decontamination, op11_document_fingerprints, op12_quarantine_release, op13_prefix_trie)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: DuckDB twins.  The others have none: ring positions, floods of tokens, learned scores,
