@@ -140,15 +140,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     after = ids.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("copies").alias("next_copies"), F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.lit(last)).alias("at"))
     order = ids.join(after, "at").select("doc_id", "hash", F.floor(F.col("n") / 4).cast("int").alias("cut"), "next_id", "next_hash", "next_copies")
     made = fingerprinted(rows, "text", "kept")
-    follows = made.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("next"), F.col("kept").alias("next_kept")).hint("shuffle_merge")
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    texts = made.hint("shuffle_merge")  # the same columns by the same key, twice: shuffled once
 
     def met_by(order: DataFrame) -> DataFrame:
-        tails = follows.join(order.withColumnsRenamed({"next_id": "_id", "next_hash": "_hash"}), F.col("next_id").eqNullSafe(F.col("_id")) & (F.col("next_hash") == F.col("_hash")))
-        return tails.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "cut", F.left("next", F.col("cut")).alias("tail"), hashes(F.col("next_kept")).alias("next_hashes"))
+        tails = texts.join(order.withColumnsRenamed({"doc_id": "of_id", "hash": "of_hash", "next_id": "_id", "next_hash": "_hash"}), key)
+        return tails.select(F.col("of_id").alias("_id"), F.col("of_hash").alias("_hash"), "cut", F.left("text", F.col("cut")).alias("tail"), hashes(F.col("kept")).alias("next_hashes"))
 
     # a next document that is repeated comes once
     tails = met_by(order.filter("next_copies = 1")).unionByName(met_by(order.filter("next_copies > 1")).dropDuplicates(["_id", "_hash"]))
-    met = made.hint("shuffle_merge").join(tails, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).drop("_id", "_hash", "hash")
+    met = texts.join(tails, key).drop("_id", "_hash", "hash")
     met = met.withColumns({"n_chars": F.length("text"), "start": F.left("text", F.length("text") - F.col("cut"))})
     met = met.withColumn("edited", F.concat("start", "tail")).drop("tail", "text", "cut")
     met = rewinnowed(met, "kept", F.col("start"), F.col("edited"), "edited_kept").drop("start")
