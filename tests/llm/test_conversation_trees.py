@@ -153,3 +153,13 @@ def test_queries_on_given_tables(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert as_rows(queries.op12_quarantine_release(spark, sf_dir)) == sorted(replayed(rows), key=key)
     assert as_rows(queries.op13_prefix_trie(spark, sf_dir)) == sorted(trie_rows(rows), key=key)
+
+
+def test_sql_twins(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    rows = c.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    assert sorted(c.execute(queries.SQL["op12_quarantine_release"]).fetchall(), key=key) == sorted(replayed(rows), key=key)
+    assert sorted(c.execute(queries.SQL["op13_prefix_trie"]).fetchall(), key=key) == sorted(trie_rows(rows), key=key)

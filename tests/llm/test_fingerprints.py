@@ -83,3 +83,16 @@ def test_shared_passages_are_met(spark):
     df = spark.createDataFrame([(k, f"{t} {passage} {t}") for k, t in enumerate(texts)], "doc_id long, text string")
     kept = [set(r["h"]) for r in fp.fingerprinted(df, "text", "f").select(fp.hashes(F.col("f")).alias("h")).collect()]
     assert set.intersection(*kept)
+
+
+def test_query_and_its_sql(spark, sf_dir):
+    import duckdb
+
+    from voxelith.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted(expected(rows))
+    assert sorted(tuple(r) for r in queries.op11_document_fingerprints(spark, sf_dir).collect()) == want
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert sorted(c.execute(queries.SQL["op11_document_fingerprints"]).fetchall()) == want
