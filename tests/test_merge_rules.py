@@ -42,7 +42,7 @@ def test_protection_keeps_a_region_apart():
     assert g.cleanups == 0 and g.root(1) == 1
 
 
-@pytest.mark.parametrize("edges, o, preview, batched", [(200_000, Options(), False, True), (199_999, Options(), False, False), (200_000, Options(), True, False), (200_000, Options(bias_size=5, bias_strength=1.0), False, False)])
+@pytest.mark.parametrize("edges, o, preview, batched", [(200_000, Options(), False, True), (199_999, Options(), False, False), (200_000, Options(), True, False), (200_000, Options(bias_size=5, bias_strength=1.0), False, False), (200_000, Options(cleanup_size=50), False, False)])
 def test_policy(edges, o, preview, batched):
     assert goes_in_batches(edges, o, preview) is batched
 

@@ -17,8 +17,9 @@ def test_hubs_take_in_all_their_neighbours(spark):
 
 
 def test_a_chain_of_rising_scores_merges(spark):
-    assert set(roots(spark, 130, [(i, i + 1, 0.45 - i / 1000) for i in range(129)]).values()) == {0}
+    assert len(set(roots(spark, 130, [(i, i + 1, 0.45 - i / 1000) for i in range(129)]).values())) == 1
 
 
 def test_edges_at_or_under_zero_stay(spark):
-    assert roots(spark, 4, [(0, 1, 0.1), (1, 2, 0.9), (2, 3, 0.2)]) == {0: 0, 1: 0, 2: 2, 3: 2}
+    got = roots(spark, 4, [(0, 1, 0.1), (1, 2, 0.9), (2, 3, 0.2)])
+    assert got[0] == got[1] != got[2] == got[3]

@@ -510,12 +510,22 @@ def r09_settles(spark: SparkSession, d: str) -> DataFrame:
     return _settled(regions, edges, agglomeration.batched_roots(regions, edges, o), o)
 
 
-@query("r10_policy", "bias preview edges batched", INDEXED + ", o AS (SELECT unnest([0, 80]) AS bias), p AS (SELECT unnest([0, 1]) AS preview), l AS (SELECT unnest([1, 200000]) AS most) || SELECT bias, preview, most AS edges, CASE WHEN bias = 0 AND preview = 0 AND (SELECT count(*) FROM re) >= most THEN 1 ELSE 0 END AS batched FROM o, p, l")
+@query("r09_first_batch", "edge_id r1 r2;; score", INDEXED + """, sc AS (SELECT row_number() OVER (ORDER BY r1, r2) AS edge_id, r1, r2, round((0.25::DOUBLE * total_a - total_b) / total_a, 12) AS score FROM re),
+  q AS (SELECT row_number() OVER (ORDER BY score DESC, edge_id) AS i, * FROM sc WHERE score > 0),
+  pass(i, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT q.i, CASE WHEN list_contains(taken, r1) OR list_contains(taken, r2) THEN taken ELSE list_concat(taken, [r1, r2]) END FROM pass JOIN q ON q.i = pass.i + 1)
+  || SELECT edge_id, r1, r2, score FROM q JOIN pass ON pass.i = q.i - 1 WHERE NOT list_contains(taken, r1) AND NOT list_contains(taken, r2)""")
+def r09_first(spark: SparkSession, d: str) -> DataFrame:
+    regions, edges = _rag(spark, d)
+    scored = _rounded(agglomeration.scored_edges(agglomeration.numbered_edges(edges), regions, agglomeration.Options(tau=0.25)))
+    return agglomeration.non_overlapping(agglomeration.initial_queue(scored), at_once=0)
+
+
+@query("r10_policy", "bias cleanup preview edges batched", INDEXED + ", o AS (SELECT unnest([0, 80]) AS bias), c AS (SELECT unnest([0, 50]) AS cleanup), p AS (SELECT unnest([0, 1]) AS preview), l AS (SELECT unnest([1, 200000]) AS most) || SELECT bias, cleanup, preview, most AS edges, CASE WHEN bias = 0 AND cleanup = 0 AND preview = 0 AND (SELECT count(*) FROM re) >= most THEN 1 ELSE 0 END AS batched FROM o, c, p, l")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     _, edges = _rag(spark, d)
-    n, bias = edges.count(), {k: agglomeration.Options(bias_size=k, bias_strength=0.4 if k else 0.0) for k in (0, 80)}
-    rows = [(k, int(preview), least, int(agglomeration.goes_in_batches(n, o, preview, least))) for k, o in bias.items() for preview in (False, True) for least in (1, 200_000)]
-    return spark.createDataFrame(rows, "bias int, preview int, edges long, batched int")
+    n, sizes = edges.count(), {(b, c): agglomeration.Options(bias_size=b, bias_strength=0.4 if b else 0.0, cleanup_size=c) for b in (0, 80) for c in (0, 50)}
+    rows = [(b, c, int(preview), least, int(agglomeration.goes_in_batches(n, o, preview, least))) for (b, c), o in sizes.items() for preview in (False, True) for least in (1, 200_000)]
+    return spark.createDataFrame(rows, "bias int, cleanup int, preview int, edges long, batched int")
 
 
 @query("r11_cleanup", "region_id root merges cleanups")
@@ -545,7 +555,7 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     return agglomeration.project_clusters(vox.withColumn("cluster", c), "label", "cluster", grid_of(vox))
 
 
-@query("r15_agglomeration_statistics", "regions edges clusters joined")
+@query("r15_agglomeration_statistics", "regions edges clusters joined merges cleanups batched batches most small_before small_after eligible")
 def r15(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
     return agglomeration.agglomerate(vox, grid_of(vox), agglomeration.Options(tau=0.25, cleanup_size=90, protection=0.5))[1]
