@@ -7,11 +7,12 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, shifted, stencil, with_blocks
 from ..lineage import written
+from . import fronts
 from .components import components
 from .neighbours import boundary_background, local_maxima
 
@@ -157,6 +158,13 @@ def quantized(cost: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip(np.floor((cost - low) / (high - low) * LEVELS + 0.5), 0, LEVELS).astype(np.int64)
 
 
+def levels(cost: Column, low: float | None, high: float | None) -> Column:
+    """``quantized`` as a column."""
+    if low is None or high is None or high <= low:
+        return F.lit(0)
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor((cost - low) / (high - low) * LEVELS + 0.5))).cast("int")
+
+
 def inverted_levels(cost: np.ndarray, domain: np.ndarray) -> np.ndarray:
     """Levels of a cost array over its domain."""
     inside = cost[domain]
@@ -230,9 +238,19 @@ def flood(cost: np.ndarray, markers: np.ndarray, domain: np.ndarray, connectivit
     return label.reshape(shape)[inner]
 
 
-def watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "seed", connectivity: int = 6, mode: str = "arrival", compactness: float = 0.05) -> DataFrame:
-    """x, y, z, label: exact flood.  Its order is global, so the volume is one group: for
-    crops and single objects; whole volumes go through ``blockwise_watershed``."""
+def watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "seed", connectivity: int = 6, mode: str = "arrival", compactness: float = 0.05, edge: int = 64) -> DataFrame:
+    """x, y, z, label: exact flood of a volume of any size; where no marker comes the label is 0.
+
+    ``geodesic`` and ``arrival`` run in blocks that come to the flood of the whole (see
+    ``fronts``).  What arrives at one level after as many steps on it goes to the lower label;
+    a queue would decide that by its own order of voxels.  ``compact`` has no key that a block
+    could tell another (a voxel's turn depends on all maxima behind it), so there the rows are
+    one group: for crops and single objects.
+    """
+    if mode != "compact":
+        r = vox.agg(F.min(F.col(cost).cast("double")).alias("lo"), F.max(F.col(cost).cast("double")).alias("hi")).first()
+        flooded = fronts.flood(vox.select(*AXES, levels(F.col(cost).cast("double"), r["lo"], r["hi"]).alias("level"), F.col(markers).cast("long").alias("marker")), grid, mode, connectivity, edge)
+        return flooded.select(*AXES, "label")
 
     def run(table: pa.Table) -> pa.Table:
         b = Block(table, {"_c": 0.0, "_m": 0})

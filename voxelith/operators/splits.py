@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..grid import AXES, SIX, Block, Grid, shifted
+from ..grid import AXES, SIX, Block, Grid, grid_of
 from ..lineage import written
-from .components import boundary_consistent, components, dense_components
+from . import fronts
+from .components import boundary_consistent, components
 from .distance import _typed, flood, inverted_levels, squared_distance, watershed
 from .neighbours import smoothed
 from .projections import inverted
@@ -92,9 +93,12 @@ def split_markers(cost: np.ndarray, domain: np.ndarray, first: list, second: lis
 def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, connect: bool = True, allow_parts: bool = False, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """x, y, z, part (1 or 2) of the object's voxels.
 
-    ``crop``: x, y, z, mask, cost; ``seeds``: x, y, z, part in the order of ``seq``.  The
-    flood is geodesic without compactness; ``spacing`` (x, y, z) is that of connecting paths.  Both parts must be there, together be the
-    object, and hang together unless ``allow_parts``.  One object is one task.
+    ``crop``: x, y, z, mask, cost; ``seeds``: x, y, z, part in the order of ``seq``; ``spacing``
+    (x, y, z) is that of connecting paths.  Both parts must be there, together be the object,
+    and hang together unless ``allow_parts``.
+
+    Without compactness the flood is geodesic and runs in blocks.  Seeds of a class are
+    connected, and compact floods run, with the object as one group.
     """
     s = seeds.select(*AXES, F.struct("seq", "part").alias("_s"))
     rows = crop.select(*AXES, F.col("mask").cast("int").alias("mask"), F.col("cost").cast("double").alias("cost"), F.lit(True).alias("own")).join(s, list(AXES), "left").select("*", F.coalesce("_s.part", F.lit(0)).alias("part"), F.coalesce("_s.seq", F.lit(0)).cast("long").alias("seq"))
@@ -106,17 +110,32 @@ def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, co
             raise ValueError("a seed lies outside the object")
         order = sorted((int(b["seq"][p]), int(b["part"][p]), p) for p in map(tuple, np.argwhere(b["part"] != 0)))
         marks = split_markers(b["cost"], domain, *([p for _, k, p in order if k == c] for c in (1, 2)), connect, spacing[::-1])
-        level = inverted_levels(b["cost"], domain)
-        out = flood(level, marks, domain, 6, "compact" if compactness else "geodesic", compactness)
-        for k in (1, 2):
-            parts = len(np.unique(dense_components(out, out == k, 6)[out == k]))
-            if not parts or (parts > 1 and not allow_parts):
-                raise ValueError("a part is empty or does not hang together")
-        if (out[domain] == 0).any():
-            raise ValueError("the parts do not cover the object")
-        return b.rows(domain, part=out)
-
-    return rows.select(*AXES, "mask", "cost", "part", "seq", "own").groupBy(F.lit(0).alias("object")).applyInArrow(_typed(run), "x int, y int, z int, part long")
+        if not compactness:
+            return b.rows(domain & (marks != 0), part=marks)
+        return b.rows(domain, part=flood(inverted_levels(b["cost"], domain), marks, domain, 6, "compact", compactness))
+
+    inside = rows.filter("mask <> 0")
+    if connect or compactness:
+        marked = rows.select(*AXES, "mask", "cost", "part", "seq", "own").groupBy(F.lit(0).alias("object")).applyInArrow(_typed(run), "x int, y int, z int, part long")
+    else:
+        # markers as they are: an error where one lies outside, or a class has none
+        found = rows.filter("part <> 0").agg(F.count_if(F.col("mask") == 0), F.count_if(F.col("part") == 1), F.count_if(F.col("part") == 2)).first()
+        if found[0] or not found[1] or not found[2]:
+            raise ValueError("a seed lies outside the object" if found[0] else "each class needs a seed")
+        marked = inside.filter("part <> 0").select(*AXES, F.col("part").cast("long").alias("part"))
+    if not compactness:
+        marked = watershed(inside.select(*AXES, "cost").join(marked.withColumnRenamed("part", "seed"), list(AXES), "left").withColumn("seed", F.coalesce("seed", F.lit(0))), grid_of(crop), mode="geodesic").withColumnRenamed("label", "part")
+    out = written(marked, "parts")
+    parts = {r["part"] for r in out.select("part").distinct().limit(4).collect()}
+    if not parts >= {1, 2}:
+        raise ValueError("a part is empty or does not hang together")
+    if 0 in parts or out.count() != inside.count():
+        raise ValueError("the parts do not cover the object")
+    if not allow_parts:
+        pieces = components(out.withColumnRenamed("part", "label"), grid_of(crop)).agg(F.count_distinct("component")).first()[0]
+        if pieces != 2:
+            raise ValueError("a part is empty or does not hang together")
+    return out
 
 
 def ray_pick(dist: DataFrame, origin: tuple[float, float, float], direction: tuple[float, float, float], length: float, samples: int = 4) -> DataFrame:
@@ -172,44 +191,21 @@ def projected_cut(vox: DataFrame, grid: Grid, label: int, matrix: list[list[floa
     return spread(marked.select(*AXES), parts.join(ids, "component").select(*AXES, "part"))
 
 
-def spread(domain: DataFrame, sources: DataFrame) -> DataFrame:
-    """x, y, z, part: multi-source breadth-first spread over faces; ties go to the lower part."""
-    rows = domain.select(*AXES, F.lit(True).alias("own")).join(sources.select(*AXES, F.col("part").cast("long").alias("part")), list(AXES), "left").select(*AXES, "own", F.coalesce("part", F.lit(0)).alias("part"))
+def _steps(domain: DataFrame, sources: DataFrame) -> DataFrame:
+    """x, y, z, steps, label: breadth-first over faces inside the domain, in blocks; ties go to the lower part."""
+    marks = sources.groupBy(*AXES).agg(F.min(F.col("part").cast("long")).alias("marker"))
+    rows = domain.select(*AXES).join(marks, list(AXES), "left").select(*AXES, F.lit(0).alias("level"), F.coalesce("marker", F.lit(0)).alias("marker"))
+    return fronts.flood(rows, grid_of(domain), "geodesic")
 
-    def run(table: pa.Table) -> pa.Table:
-        b = Block(table, {"part": 0})
-        part, far = b["part"], np.iinfo(np.int64).max
-        while True:
-            best = np.full(part.shape, far)
-            for d in SIX:
-                n = shifted(part, *d, 0)
-                best = np.minimum(best, np.where(n > 0, n, far))
-            take = b.present & (part == 0) & (best < far)
-            if not take.any():
-                return b.rows(b.own & (part > 0), part=part)
-            part = np.where(take, best, part)
 
-    return rows.groupBy(F.lit(0).alias("object")).applyInArrow(_typed(run), "x int, y int, z int, part long")
+def spread(domain: DataFrame, sources: DataFrame) -> DataFrame:
+    """x, y, z, part: multi-source breadth-first spread over faces; ties go to the lower part."""
+    return _steps(domain, sources).filter("label <> 0").select(*AXES, F.col("label").alias("part"))
 
 
 def geodesic_levels(domain: DataFrame, sources: DataFrame) -> DataFrame:
     """x, y, z, dist: steps over faces inside the domain from the sources (null if unreachable)."""
-    rows = domain.select(*AXES, F.lit(True).alias("own")).join(sources.select(*AXES).distinct().withColumn("_s", F.lit(1)), list(AXES), "left").select(*AXES, "own", F.coalesce("_s", F.lit(0)).alias("s"))
-
-    def run(table: pa.Table) -> pa.Table:
-        b = Block(table, {"s": 0})
-        dist = np.where(b["s"] > 0, 0, -1)
-        front, k = b["s"] > 0, 0
-        while front.any():
-            near, k = np.zeros_like(front), k + 1
-            for d in SIX:
-                near |= shifted(front, *d, False)
-            front = near & b.present & (dist < 0)
-            dist[front] = k
-        return b.rows(b.own & (dist >= 0), dist=dist)
-
-    reached = rows.groupBy(F.lit(0).alias("object")).applyInArrow(_typed(run), "x int, y int, z int, dist long")
-    return domain.select(*AXES).join(reached, list(AXES), "left")
+    return _steps(domain, sources.select(*AXES, F.lit(1).alias("part"))).select(*AXES, F.col("steps").alias("dist"))
 
 
 def geodesic_sides(vox: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid, grid_of, voxels
-from ..operators import components, distance, neighbours, projections, splits, statistics, working
+from ..lineage import written
+from ..operators import components, distance, fronts, neighbours, projections, splits, statistics, working
 from ..query import query
 from . import workflow
 
@@ -77,6 +78,23 @@ for _mode in ("arrival", "geodesic", "compact", "blockwise"):
         return _kept(distance.run_watershed(marked, g, "blockwise" if mode == "blockwise" else "exact", **how), marked)
 
 
+for _mode in ("arrival", "geodesic"):
+
+    @query(f"{dict(arrival='m06', geodesic='m07')[_mode]}_{_mode}_keys", "voxels unequal", "SELECT count(*) AS voxels, 0 AS unequal FROM vox")
+    def keys(spark: SparkSession, d: str, mode=_mode) -> DataFrame:
+        """Each voxel's key is the least that its neighbours hand on: the equations have one solution (see ``fronts``)."""
+        marked, g = _marked(spark, d)
+        r = marked.agg(F.min("cost").alias("lo"), F.max("cost").alias("hi")).first()
+        vox = marked.select(*AXES, distance.levels(F.col("cost"), r["lo"], r["hi"]).alias("own"), F.col("seed").cast("long").alias("marker"))
+        out = written(fronts.flood(vox.select(*AXES, F.col("own").alias("level"), "marker"), g, mode, edge=8).join(vox, list(AXES)), "keys")
+        near = out.select(F.explode(F.array(*(F.struct(*((F.col(a) + (k if a == b else 0)).alias(a) for a in AXES)) for b in AXES for k in (-1, 1)))).alias("p"), F.struct("level", "steps", "label").alias("k")).select("p.*", "k")
+        rises = F.col("own") > F.col("k.level")
+        steps = F.when(rises & F.lit(mode == "arrival"), 0).otherwise(F.col("k.steps") + 1)
+        least = out.select(*AXES, "own").join(near, list(AXES)).groupBy(*AXES).agg(F.min(F.struct(F.greatest("own", "k.level").alias("level"), steps.cast("long").alias("steps"), F.col("k.label").alias("label"))).alias("least"))
+        right = F.when(F.col("marker") != 0, F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("steps"), F.col("marker").alias("label"))).otherwise(F.col("least"))
+        return out.join(least, list(AXES), "left").agg(F.count("*").alias("voxels"), F.count_if(~F.struct("level", "steps", "label").eqNullSafe(right)).alias("unequal"))
+
+
 @query("m09_watershed_blockwise", "label n")
 def m09(spark: SparkSession, d: str) -> DataFrame:
     return statistics.label_counts(distance.run_watershed(*_marked(spark, d), "blockwise", edge=16, halo=4))
