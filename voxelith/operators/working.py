@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid
@@ -18,6 +18,7 @@ from ..lineage import written
 from .components import components, group_components
 from .graph import connected
 from .neighbours import one_sided, ranked, two_sided
+from .paths import shortest
 
 
 @dataclass(frozen=True)
@@ -108,58 +109,65 @@ def label_volume(vox: DataFrame, w: Working) -> DataFrame:
     return vox.select(*AXES, "label").join(m, F.col("label") == F.col("_l"), "left").select(*AXES, F.coalesce("working", F.lit(0).cast("long")).alias("label"))
 
 
+def _apart(a: str, b: str) -> Column:
+    """Distance of two centres (structs x, y, z)."""
+    return F.sqrt(sum((F.pow(F.col(f"{a}.{k}") - F.col(f"{b}.{k}"), F.lit(2)) for k in AXES), F.lit(0.0)))
+
+
+def cut_lengths(w: Working, edge_id: int, centres: DataFrame, edge_centres: DataFrame) -> DataFrame:
+    """label, lower, upper of the members of a group: lengths of the shortest paths from the ends of an edge inside it.
+
+    Paths run over edges inside the group, without the cut one, and are as long as centres of
+    mass lie apart; a path starts one unit from the edge's centre toward its end.  Null where
+    none leads; no rows if the ends are in different groups.
+    """
+    cut = w.edges.filter(F.col("edge_id") == edge_id).select("lo", "hi")  # one row
+    m = w.members.select("label", "working")
+    ends = cut.join(m.select(F.col("label").alias("lo"), F.col("working").alias("wl")), "lo").join(m.select(F.col("label").alias("hi"), F.col("working").alias("wh")), "hi").filter("wl = wh")
+    group = written(m.join(F.broadcast(ends.select("lo", "hi", "wl")), F.col("working") == F.col("wl")).select("label", "lo", "hi"), "group")
+    at = centres.select("label", F.struct(*(F.col(f"c{k}").cast("double").alias(k) for k in AXES)).alias("at"))
+    inner = w.edges.filter(F.col("edge_id") != edge_id).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    for k in "ab":
+        inner = inner.join(group.select(F.col("label").alias(k)), k, "left_semi").join(at.select(F.col("label").alias(k), F.col("at").alias(f"at_{k}")), k)
+    ways = inner.select("a", "b", _apart("at_a", "at_b").alias("weight"))
+    middle = edge_centres.filter(F.col("edge_id") == edge_id).select(F.struct(*(F.col(f"c{k}").cast("double").alias(k) for k in AXES)).alias("middle"))
+    both = group.filter("label = lo or label = hi").select("label", (F.col("label") == F.col("lo")).alias("source")).join(at, "label").crossJoin(F.broadcast(middle))
+    far = both.withColumn("d", _apart("middle", "at"))
+    begin = far.withColumn("start", F.when(F.col("d") == 0, F.col("middle")).otherwise(F.struct(*((F.col(f"middle.{k}") + (F.col(f"at.{k}") - F.col(f"middle.{k}")) / F.col("d")).alias(k) for k in AXES))))
+    found = shortest(ways, begin.select(F.col("label").alias("node"), "source", _apart("start", "at").alias("dist")))
+    lengths = found.groupBy("node").agg(F.min(F.when(F.col("source"), F.col("dist"))).alias("lower"), F.min(F.when(~F.col("source"), F.col("dist"))).alias("upper"))
+    return group.join(lengths, F.col("label") == F.col("node"), "left").select("label", "lower", "upper", "lo", "hi")
+
+
+def split_group(w: Working, sides: DataFrame, cut: DataFrame | None = None) -> Working:
+    """Members are parted by ``sides`` (label, side: 0 or 1), then split where parts do not hang together.
+
+    ``cut``: edges (edge_id) that join nothing.
+    """
+    a = w.next_free
+    moved = sides.select(F.col("label").alias("_l"), (F.col("side") + a).cast("long").alias("_s"))
+    members = w.members.join(moved, F.col("label") == F.col("_l"), "left").select("label", F.coalesce("_s", "working").alias("working"))
+    both = w.members.sparkSession.range(a, a + 2).select(F.col("id").alias("working"))
+    edges = w.edges if cut is None else w.edges.join(cut.select("edge_id"), "edge_id", "left_anti")
+    return resplit(replace(w, members=members, next_free=a + 2).written(), edges, both)
+
+
 def unmerge(w: Working, edge_id: int, centres: DataFrame, edge_centres: DataFrame) -> Working:
     """Cut a group in two at an edge (status -2).
 
-    Every member goes to the nearer end of the edge: paths run over edges inside the
-    group, without the cut one, and are as long as centres of mass lie apart; a path
-    starts one unit from the edge's centre toward its end.  Ties go to the upper end.
-    ``centres``: label, cx, cy, cz; ``edge_centres``: edge_id, cx, cy, cz.  Both halves are
-    then split where they do not hang together.  One group comes to the driver.
+    Every member goes to the end of the edge to which its path is shorter (see
+    ``cut_lengths``), ties and what no path reaches to the upper end; then both halves are
+    split where they do not hang together.  ``centres``: label, cx, cy, cz; ``edge_centres``:
+    edge_id, cx, cy, cz.
     """
-    import heapq
-    import math
-
-    e = w.edges.filter(F.col("edge_id") == edge_id).first()
-    marked = replace(w, status=_with_status(w, w.edges.filter(F.col("edge_id") == edge_id), -2))
-    if e is None:
-        return marked
-    ends = {r["label"]: r["working"] for r in w.members.filter(F.col("label").isin(e["lo"], e["hi"])).collect()}
-    if ends.get(e["lo"]) != ends.get(e["hi"]):
+    cut = w.edges.filter(F.col("edge_id") == edge_id).select("edge_id")
+    marked = replace(w, status=_with_status(w, cut, -2))
+    lengths = written(cut_lengths(w, edge_id, centres, edge_centres), "sides")
+    if lengths.isEmpty():
         return marked
-    group = w.members.filter(F.col("working") == ends[e["lo"]])
-    at = {r["label"]: (r["cx"], r["cy"], r["cz"]) for r in centres.join(group, "label", "left_semi").collect()}
-    near: dict[int, list[int]] = {k: [] for k in at}
-    inner = w.edges.join(group.select(F.col("label").alias("lo")), "lo", "left_semi").join(group.select(F.col("label").alias("hi")), "hi", "left_semi")
-    for r in inner.filter(F.col("edge_id") != edge_id).collect():
-        near[r["lo"]].append(r["hi"])
-        near[r["hi"]].append(r["lo"])
-    c = edge_centres.filter(F.col("edge_id") == edge_id).first()
-    middle = (c["cx"], c["cy"], c["cz"])
-
-    def paths(end: int) -> dict[int, float]:
-        d = math.dist(middle, at[end])
-        start = middle if d == 0 else tuple(m + (p - m) / d for m, p in zip(middle, at[end], strict=True))
-        best, queue = {end: math.dist(start, at[end])}, [(math.dist(start, at[end]), end)]
-        while queue:
-            far, node = heapq.heappop(queue)
-            if far > best[node]:
-                continue
-            for other in near[node]:
-                there = far + math.dist(at[node], at[other])
-                if there < best.get(other, math.inf):
-                    best[other] = there
-                    heapq.heappush(queue, (there, other))
-        return best
-
-    lo, hi = paths(e["lo"]), paths(e["hi"])
-    lower = {k for k in at if k != e["hi"] and (k == e["lo"] or lo.get(k, math.inf) < hi.get(k, math.inf))}
-    a, b = w.next_free, w.next_free + 1
-    side = F.when(F.col("label").isin(sorted(lower)), F.lit(a).cast("long")).otherwise(F.lit(b).cast("long"))
-    members = w.members.withColumn("working", F.when(F.col("working") == ends[e["lo"]], side).otherwise(F.col("working")))
-    both = w.members.sparkSession.range(a, b + 1).select(F.col("id").alias("working"))
-    cut = w.edges.filter(F.col("edge_id") != edge_id)
-    return resplit(replace(marked, members=members, next_free=b + 1).written(), cut, both)
+    nearer = F.coalesce(F.col("lower") < F.col("upper"), F.col("lower").isNotNull())
+    lower = (F.col("label") == F.col("lo")) | ((F.col("label") != F.col("hi")) & nearer)
+    return split_group(marked, lengths.select("label", F.when(lower, 0).otherwise(1).alias("side")), cut)
 
 
 def agreeing_edges(edges: DataFrame, majority: DataFrame, least: float = 0.75) -> DataFrame:

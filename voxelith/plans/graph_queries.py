@@ -305,14 +305,54 @@ def g05b(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d, 7)[1].status
 
 
-@query("g06_unmerge", "label working")
-def g06(spark: SparkSession, d: str) -> DataFrame:
+#: Lengths of paths inside the merged group of edge 3, without that edge, from both of its ends.
+LENGTHS = MERGED.format(k=3) + f""", cen AS (SELECT label, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM vox WHERE label <> 0 GROUP BY label), {SIDES},
+  cut AS (SELECT lo, hi FROM edges WHERE edge_id = 3), mid AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM sides JOIN cut ON least(label, neighbour) = lo AND greatest(label, neighbour) = hi),
+  grp AS (SELECT label FROM mem WHERE working = (SELECT working FROM mem JOIN cut ON label = lo)),
+  way AS (SELECT a.label AS a, b.label AS b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) AS weight
+          FROM (SELECT lo, hi FROM edges WHERE edge_id <> 3 UNION ALL SELECT hi, lo FROM edges WHERE edge_id <> 3) e JOIN cen a ON a.label = lo JOIN cen b ON b.label = hi WHERE lo IN (SELECT label FROM grp) AND hi IN (SELECT label FROM grp)),
+  d AS (SELECT c.label, c.label = lo AS source, c.cx, c.cy, c.cz, m.cx AS mx, m.cy AS my, m.cz AS mz, sqrt((c.cx - m.cx) ** 2 + (c.cy - m.cy) ** 2 + (c.cz - m.cz) ** 2) AS d FROM cen c, cut, mid m WHERE c.label IN (lo, hi)),
+  len(label, source, dist) USING KEY (label, source) AS (
+    SELECT label, source, CASE WHEN d = 0 THEN 0.0 ELSE abs(d - 1.0) END::DOUBLE FROM d UNION
+    SELECT b, l.source, min(l.dist + weight) FROM len l JOIN way ON a = l.label LEFT JOIN recurring.len k ON k.label = b AND k.source = l.source WHERE k.dist IS NULL OR l.dist + weight < k.dist GROUP BY 1, 2),
+  lengths AS (SELECT g.label, min(dist) FILTER (source) AS lower, min(dist) FILTER (NOT source) AS upper FROM grp g LEFT JOIN len USING (label) GROUP BY 1),
+  halves AS (SELECT label, CASE WHEN label = lo OR (label <> hi AND coalesce(lower < upper, lower IS NOT NULL)) THEN 0 ELSE 1 END AS side FROM lengths, cut)"""
+#: Least label of each part of the groups: ``part`` (label, k), edges inside parts but for edge {cut}.
+PARTS = ", ways AS (SELECT lo AS a, hi AS b FROM edges JOIN part p ON p.label = lo JOIN part q ON q.label = hi WHERE p.k = q.k AND edge_id <> {cut} UNION SELECT hi, lo FROM edges JOIN part p ON p.label = lo JOIN part q ON q.label = hi WHERE p.k = q.k AND edge_id <> {cut}), far(root, label) AS (SELECT label, label FROM part UNION SELECT f.root, b FROM far f JOIN ways ON a = f.label) || SELECT label, min(root) AS least FROM far GROUP BY label"
+
+
+def _cut_centres(spark: SparkSession, d: str) -> tuple[working.Working, DataFrame, DataFrame]:
+    """Groups after every third edge merged; centres of labels and of edges."""
     vox, w = _merged(spark, d, 3)
-    g = grid_of(vox)
-    sides = neighbours.one_sided(vox, g)
-    c = statistics.centroids(vox)
+    sides = neighbours.one_sided(vox, grid_of(vox))
     e = sides.select(F.least("label", "neighbour").alias("lo"), F.greatest("label", "neighbour").alias("hi"), *AXES).join(w.edges.select("edge_id", "lo", "hi"), ["lo", "hi"]).groupBy("edge_id").agg(*(F.avg(a).alias(f"c{a}") for a in AXES))
-    return working.unmerge(w, 3, c, e).members
+    return w, statistics.centroids(vox), e
+
+
+def _least(members: DataFrame) -> DataFrame:
+    """label, least label of its group: what does not depend on how groups are named."""
+    least = members.groupBy("working").agg(F.min("label").alias("least"))
+    return members.join(least, "working").select("label", "least")
+
+
+@query("g06_unmerge", "label least", LENGTHS + ", part AS (SELECT label, 1000000 + side AS k FROM halves UNION ALL SELECT label, working FROM mem WHERE label NOT IN (SELECT label FROM grp))" + PARTS.format(cut=3))
+def g06(spark: SparkSession, d: str) -> DataFrame:
+    w, c, e = _cut_centres(spark, d)
+    return _least(working.unmerge(w, 3, c, e).members)
+
+
+@query("g07_path_lengths", "label; lower upper", LENGTHS + " || SELECT * FROM lengths")
+def g07(spark: SparkSession, d: str) -> DataFrame:
+    w, c, e = _cut_centres(spark, d)
+    return working.cut_lengths(w, 3, c, e)
+
+
+@query("g08_split_group", "label least", MERGED.format(k=3) + ", part AS (SELECT label, CASE WHEN working = (SELECT working FROM mem WHERE label = 7) THEN 1000000 + label % 2 ELSE working END AS k FROM mem)" + PARTS.format(cut=0))
+def g08(spark: SparkSession, d: str) -> DataFrame:
+    _, w = _merged(spark, d, 3)
+    group = w.members.filter("label = 7").select("working")
+    sides = w.members.join(group, "working", "left_semi").select("label", (F.col("label") % 2).alias("side"))
+    return _least(working.split_group(w, sides).members)
 
 
 @query("g10_explode_groups", "label working", MERGED.format(k=7) + ", hit AS (SELECT DISTINCT working AS w FROM mem WHERE label IN (7, 12)) || SELECT label, CASE WHEN working IN (SELECT w FROM hit) THEN label ELSE working END AS working FROM mem")
@@ -321,10 +361,10 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
     return working.explode_groups(w, w.members.filter("label in (7, 12)")).members
 
 
-@query("g11_cut_out", "label working")
+@query("g11_cut_out", "label least", MERGED.format(k=3) + ", part AS (SELECT label, CASE WHEN label = 7 THEN 1000000 ELSE working END AS k FROM mem)" + PARTS.format(cut=0))
 def g11(spark: SparkSession, d: str) -> DataFrame:
     _, w = _merged(spark, d, 3)
-    return working.cut_out(w, 7).members
+    return _least(working.cut_out(w, 7).members)
 
 
 @query("g12_remove_node", "edge_id lo hi", "SELECT edge_id, lo, hi FROM edges WHERE lo <> 7 AND hi <> 7")
