@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import AXES, grid_of, voxels
+from ..grid import AXES, Grid, grid_of, voxels
 from ..lineage import shared_path
 from ..operators import statistics
 from ..query import query
@@ -31,6 +31,39 @@ def _dataset(spark: SparkSession, d: str, twice: bool) -> str:
     return path
 
 
+def _slabs(spark: SparkSession, d: str, columns: list[str], kind: str, packed: bool = False) -> str:
+    """The voxel table as NRRD slabs of 3 layers in the shared folder."""
+    vox, path = voxels(spark, d), shared_path(spark, "slabs")
+    volumes.write_slabs(vox, with_steps(grid_of(vox)), path, columns, kind, 3, packed).count()
+    return path
+
+
+def with_steps(grid: Grid) -> Grid:
+    return volumes.with_spacing(grid, 1.0, 1.0, 2.5)
+
+
+@query("s01_probed_headers", "dimension components dimx dimy dimz oz; sx sz; type", "SELECT 3 AS dimension, 1 AS components, (SELECT max(x) + 1 FROM vox) AS dimx, (SELECT max(y) + 1 FROM vox) AS dimy, count(DISTINCT z) AS dimz, 3 * (z // 3) AS oz, 1.0 AS sx, 2.5 AS sz, 'double' AS type FROM vox GROUP BY z // 3")
+def s01(spark: SparkSession, d: str) -> DataFrame:
+    return volumes.probe(spark, _slabs(spark, d, ["signal"], "double"))
+
+
+@query("s02_scanned_volume", "x y z; value", "SELECT x, y, z, signal AS value FROM vox")
+def s02(spark: SparkSession, d: str) -> DataFrame:
+    return volumes.read_volume(spark, _slabs(spark, d, ["signal"], "double"), segment=4096)
+
+
+@query("s02_scanned_labels", "x y z value", "SELECT x, y, z, label AS value FROM vox")
+def s02_packed(spark: SparkSession, d: str) -> DataFrame:
+    return volumes.read_volume(spark, _slabs(spark, d, ["label"], "uint32", True), kind="long")
+
+
+@query("s04_split_colours", "x y z value0 value1 value2", "SELECT x, y, z, label % 256 AS value0, mask AS value1, other AS value2 FROM vox")
+def s04(spark: SparkSession, d: str) -> DataFrame:
+    vox, path = voxels(spark, d), shared_path(spark, "colours")
+    volumes.write_slabs(vox.withColumn("label", F.col("label") % 256), grid_of(vox), path, ["label", "mask", "other"], "uint8", 5).count()
+    return volumes.read_volume(spark, path, segment=1000)
+
+
 @query("s09_volume_round_trip", "x y z label; signal", "SELECT x, y, z, label, signal FROM vox")
 def s09(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "volume")

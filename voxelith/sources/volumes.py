@@ -3,102 +3,167 @@
 from __future__ import annotations
 
 import gzip
-import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid
+from .layouts import TYPES, Layout, layout, nrrd_fields, nrrd_layout, opened
 
-#: Component types of NRRD headers and what they become in Spark (unsigned widen one step).
-TYPES = {
-    "uchar": ("u1", "short"), "uint8": ("u1", "short"), "unsigned char": ("u1", "short"), "signed char": ("i1", "byte"), "int8": ("i1", "byte"),
-    "short": ("i2", "short"), "int16": ("i2", "short"), "ushort": ("u2", "int"), "uint16": ("u2", "int"), "unsigned short": ("u2", "int"),
-    "int": ("i4", "int"), "int32": ("i4", "int"), "uint": ("u4", "long"), "uint32": ("u4", "long"), "unsigned int": ("u4", "long"),
-    "longlong": ("i8", "long"), "int64": ("i8", "long"), "ulonglong": ("u8", "decimal(20,0)"), "uint64": ("u8", "decimal(20,0)"),
-    "float": ("f4", "float"), "double": ("f8", "double"),
-}
+#: Bytes of a file that a task reads at once.
+SEGMENT = 16 << 20
+#: Voxels of a batch.
+BATCH = 1 << 18
 
 
 def parse_header(raw: bytes) -> tuple[dict[str, str], int]:
     """Fields of an NRRD header (lower-case keys) and where the data start."""
-    end = raw.find(b"\n\n")
-    if not raw.startswith(b"NRRD") or end < 0:
-        raise ValueError("not an NRRD file with attached data")
-    lines = raw[:end].decode("ascii", "replace").splitlines()[1:]
-    fields = dict(part.split(":", 1) for part in lines if ":" in part and not part.startswith("#"))
-    return {k.strip().lower(): v.strip() for k, v in fields.items()}, end + 2
-
-
-def describe(fields: dict[str, str]) -> dict:
-    """dimension, component type, components, sizes and spacing; what is not scalar 2-D or 3-D is an error."""
-    n, sizes = int(fields["dimension"]), [int(s) for s in fields["sizes"].split()]
-    kinds = fields.get("kinds", "").lower().split()
-    components = 1
-    if kinds and kinds[0] in ("vector", "rgb-color", "3-color", "list") and len(sizes) == n:
-        components, sizes, n = sizes[0], sizes[1:], n - 1
-    if n not in (2, 3):
-        raise ValueError(f"{n} dimensions")
-    if components not in (1, 3):
-        raise ValueError(f"{components} components")
-    if fields["type"].lower() not in TYPES:
-        raise ValueError(f"component type {fields['type']}")
-    if components == 3 and TYPES[fields["type"].lower()][0] not in ("u1", "i1", "u2", "i2"):
-        raise ValueError("colours have 8 or 16 bits")
-    steps = [float(s) if s.lower() != "nan" else 1.0 for s in fields.get("spacings", "").split()][-n:] if "spacings" in fields else [1.0] * n
-    return {"dimension": n, "type": fields["type"].lower(), "components": components, "sizes": sizes + [1] * (3 - n), "spacing": steps + [1.0] * (3 - n), "encoding": fields.get("encoding", "raw").lower(), "endian": fields.get("endian", "little").lower()}
+    return nrrd_fields(raw)
+
+
+def describe(fields: dict[str, str]) -> Layout:
+    """Layout by the fields of an NRRD header; what is not scalar or colour, 2-D or 3-D is an error."""
+    return nrrd_layout(fields, 0)
+
+
+_ROW = pa.schema([("path", pa.string()), ("dimension", pa.int32()), ("type", pa.string()), ("components", pa.int32()), *((f"dim{a}", pa.int32()) for a in AXES), *((f"s{a}", pa.float64()) for a in AXES), *((f"o{a}", pa.int32()) for a in AXES)])
+_PIECE = pa.schema([("path", pa.string()), ("type", pa.string()), ("components", pa.int32()), *((k, pa.int32()) for k in ("nx", "ny", "ox", "oy", "oz")), ("big", pa.bool_()), ("packed", pa.bool_()), ("at", pa.int64()), ("first", pa.int64()), ("voxels", pa.int64())])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path of each file: Spark lists them and does not read them here."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, dimension, type, components, dims and spacing."""
+    """One row per file: path, dimension, type, components, dims, spacing and origin (in voxels).
+
+    NRRD, TIFF and NIfTI-1; only headers are read, by the tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                d = describe(parse_header(bytes(memoryview(content.as_buffer())[:65536]))[0])
-                rows.append({"path": name, "dimension": d["dimension"], "type": d["type"], "components": d["components"], **{f"dim{a}": s for a, s in zip(AXES, d["sizes"], strict=True)}, **{f"s{a}": s for a, s in zip(AXES, d["spacing"], strict=True)}})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("dimension", pa.int32()), ("type", pa.string()), ("components", pa.int32()), *((f"dim{a}", pa.int32()) for a in AXES), *((f"s{a}", pa.float64()) for a in AXES)]))
+            for name in batch.column(0).to_pylist():
+                with opened(name) as file:
+                    d = layout(name, file)
+                rows.append({"path": name, "dimension": d.dimension, "type": d.type, "components": d.components, **{f"dim{a}": s for a, s in zip(AXES, d.sizes, strict=True)}, **{f"s{a}": s for a, s in zip(AXES, d.spacing, strict=True)}, **{f"o{a}": s for a, s in zip(AXES, d.origin, strict=True)}})
+            yield pa.RecordBatch.from_pylist(rows, _ROW)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, dimension int, type string, components int, dimx int, dimy int, dimz int, sx double, sy double, sz double")
+    return _files(spark, path).mapInArrow(run, "path string, dimension int, type string, components int, dimx int, dimy int, dimz int, sx double, sy double, sz double, ox int, oy int, oz int")
 
 
-def read_volume(spark: SparkSession, path: str, kind: str | None = None, column: str = "value", component: int | None = None) -> DataFrame:
-    """x, y, z, value of an NRRD volume (raw or gzip, attached data).
+def pieces(spark: SparkSession, path: str, segment: int = SEGMENT) -> DataFrame:
+    """Rows (path, type, ..., at, first, voxels): byte ranges of at most ``segment`` bytes.
 
-    ``kind`` forces a Spark type (labels: long).  Colour volumes give value0, value1,
-    value2 unless ``component`` picks one.
+    A compressed file can only be read from its beginning, so it is one range.
     """
-    head = probe(spark, path).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with opened(name) as file:
+                    d = layout(name, file)
+                voxel = np.dtype(TYPES[d.type][0]).itemsize * d.components
+                same = {"path": name, "type": d.type, "components": d.components, "nx": d.sizes[0], "ny": d.sizes[1], **{f"o{a}": s for a, s in zip(AXES, d.origin, strict=True)}, "big": d.big, "packed": d.packed}
+                yield pa.RecordBatch.from_pylist([same | {"at": at, "first": first, "voxels": n} for at, first, n in d.cut(voxel, segment)], _PIECE)
+
+    return _files(spark, path).mapInArrow(run, "path string, type string, components int, nx int, ny int, ox int, oy int, oz int, big boolean, packed boolean, at long, first long, voxels long")
+
+
+def read_volume(spark: SparkSession, path: str, kind: str | None = None, column: str = "value", component: int | None = None, segment: int = SEGMENT) -> DataFrame:
+    """x, y, z, value of a volume, in one file or a folder of slabs.
+
+    NRRD (raw or gzip, attached data), TIFF (uncompressed, pages as layers), NIfTI-1 (plain or
+    gzip).  Byte ranges are dealt to tasks, whatever a file's size; compressed files are one
+    task each.  ``kind`` forces a Spark type (labels: long).  Colour volumes give value0,
+    value1, value2 unless ``component`` picks one.
+    """
+    head = probe(spark, path).agg(F.min("type").alias("type"), F.max("type").alias("last"), F.min("components").alias("components"), F.max("components").alias("most")).first()
+    if head["type"] != head["last"] or head["components"] != head["most"]:
+        raise ValueError("files of different kinds")
+    if head["type"] is None:
+        raise ValueError(f"no files in {path}")
     own = kind or TYPES[head["type"]][1]
     many = head["components"] == 3 and component is None
     names = [f"{column}{k}" for k in range(3)] if many else [column]
     read_as = "double" if own in ("float", "double") else "long" if not own.startswith("decimal") else own
+    layers = range(3) if many else [component or 0]
+
+    def column_of(v: np.ndarray) -> pa.Array:
+        if read_as.startswith("decimal"):
+            return pa.array([int(i) for i in v], pa.decimal128(20, 0))
+        return pa.array(v.astype(np.float64 if read_as == "double" else np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                raw = bytes(content.as_buffer())
-                fields, at = parse_header(raw)
-                d = describe(fields)
-                body = gzip.GzipFile(fileobj=io.BytesIO(raw[at:])).read() if d["encoding"] in ("gz", "gzip") else raw[at:]
-                dtype = np.dtype(TYPES[d["type"]][0]).newbyteorder(">" if d["endian"] == "big" else "<")
-                nx, ny, nz = d["sizes"]
-                v = np.frombuffer(body, dtype, nx * ny * nz * d["components"]).reshape(nz, ny, nx, d["components"])
-                for z in range(nz):
-                    y, x = np.divmod(np.arange(nx * ny), nx)
-                    layers = range(3) if many else [component or 0]
-                    cols = [v[z, :, :, k].ravel() for k in layers]
-                    cast = [pa.array(c.astype(np.float64 if read_as == "double" else np.int64 if read_as == "long" else object)) if not read_as.startswith("decimal") else pa.array([int(i) for i in c], pa.decimal128(20, 0)) for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(nx * ny, z, np.int32)), *cast], ["x", "y", "z", *names])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "x int, y int, z int, " + ", ".join(f"{n} {read_as}" for n in names))
+            for r in batch.to_pylist():
+                dtype = np.dtype(TYPES[r["type"]][0]).newbyteorder(">" if r["big"] else "<")
+                voxel, left, first = dtype.itemsize * r["components"], r["voxels"], r["first"]
+                with opened(r["path"]) as file:
+                    # in NIfTI files the header is packed too, in NRRD files it is not
+                    whole = r["packed"] and file.read(2) == b"\x1f\x8b"
+                    file.seek(0 if whole else r["at"])
+                    data = gzip.GzipFile(fileobj=file) if r["packed"] else file
+                    if whole:
+                        data.read(r["at"])
+                    while left:
+                        n = min(left, BATCH)
+                        raw = data.read(n * voxel)
+                        if len(raw) < n * voxel:
+                            raise ValueError(f"{r['path']} ends too early")
+                        v = np.frombuffer(raw, dtype).reshape(n, r["components"])
+                        row, x = np.divmod(np.arange(first, first + n), r["nx"])
+                        z, y = np.divmod(row, r["ny"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array((c + r[f"o{a}"]).astype(np.int32)) for a, c in zip(AXES, (x, y, z), strict=True)), *(column_of(v[:, k]) for k in layers)], ["x", "y", "z", *names])
+                        left, first = left - n, first + n
+
+    parts = pieces(spark, path, segment)
+    # a range a task, as far as there are slots; ranges are rows of 100 bytes
+    dealt = parts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "at")
+    rows = dealt.mapInArrow(run, "x int, y int, z int, " + ", ".join(f"{n} {read_as}" for n in names))
     return rows.select(*AXES, *(F.col(n).cast(own).alias(n) for n in names))
 
 
+def write_slabs(vox: DataFrame, grid: Grid, path: str, columns: list[str], kind: str = "float", planes: int = 8, packed: bool = False) -> DataFrame:
+    """NRRD files of ``planes`` layers each in a folder; one row (path, voxels) a file.
+
+    One column is a scalar volume, three are colours.  Voxels that are not in the table are 0.
+    A slab is one group: nx * ny * planes voxels.  A file appears whole or not at all, so a
+    task that runs again does no harm.
+    """
+    dims, steps, dtype = grid.dims, (grid.sx, grid.sy, grid.sz), np.dtype(TYPES[kind][0])
+
+    def run(table: pa.Table) -> pa.Table:
+        k = table.column("slab")[0].as_py()
+        low, high = k * planes, min((k + 1) * planes, dims[2])
+        v = np.zeros((high - low, dims[1], dims[0], len(columns)), dtype)
+        at = tuple(np.asarray(table.column(a)) for a in "zyx")
+        for i, c in enumerate(columns):
+            v[at[0] - low, at[1], at[2], i] = np.asarray(table.column(c)).astype(dtype)
+        colour = len(columns) == 3
+        sizes, spacing, mins = ([*(["3"] if colour else []), dims[0], dims[1], high - low], [*(["nan"] if colour else []), *steps], [*(["nan"] if colour else []), 0, 0, low])
+        head = ["NRRD0004", f"type: {kind}", f"dimension: {len(sizes)}", *([] if not colour else ["kinds: RGB-color space space space"])]
+        head += [f"{name}: {' '.join(map(str, values))}" for name, values in (("sizes", sizes), ("spacings", spacing), ("axis mins", mins))]
+        head += ["endian: little", f"encoding: {'gzip' if packed else 'raw'}"]
+        body = v.astype(dtype.newbyteorder("<")).tobytes()
+        store, folder = pafs.FileSystem.from_uri(path)
+        store.create_dir(folder)
+        name, draft = f"{folder}/slab-{k:06d}.nrrd", f"{folder}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as out:
+            out.write(("\n".join(head) + "\n\n").encode())
+            out.write(gzip.compress(body) if packed else body)
+        store.move(draft, name)
+        return pa.table({"path": [name], "voxels": [int(v[..., 0].size)]})
+
+    return vox.select(*AXES, *columns, F.floor(F.col("z") / planes).cast("long").alias("slab")).groupBy("slab").applyInArrow(run, "path string, voxels long")
+
+
 def write_volume(vox: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet with zstd, ranged by z, then sorted by scan order, so that a crop reads few row groups."""
     vox.repartitionByRange("z", "y").sortWithinPartitions("z", "y", "x").write.mode(mode).option("compression", "zstd").parquet(path)
