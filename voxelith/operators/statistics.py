@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid
+from ..lineage import discard, written
 
 
 def label_counts(vox: DataFrame) -> DataFrame:
@@ -126,12 +127,30 @@ def unit_histogram(vox: DataFrame, value: str, key: str = "label", bins: int = 2
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def quantiles(vox: DataFrame, value: str, key: str = "label") -> DataFrame:
-    """sorted[int(n * q)] for each q, without interpolation."""
-    w = Window.partitionBy(key).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = vox.select(key, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("r"), n.alias("n"))
-    return ranked.groupBy(key).agg(*(F.max(F.when(F.col("r") == F.floor(F.col("n") * F.lit(q)), F.col("v"))).alias(f"q{int(q * 100)}") for q in QUANTILES))
+def quantiles(vox: DataFrame, value: str, key: str = "label", bins: int = 1024) -> DataFrame:
+    """sorted[int(n * q)] for each q, without interpolation; null and non-finite values take no part.
+
+    A label's values are never sorted: they are counted in ``bins`` equal parts of their range,
+    the parts that hold the wanted ranks become the next ranges (from their least to their
+    largest value), and so on until a range is one value.  The ends of a range fall into
+    different parts, so a range gets narrower each time: by ``bins``, or by single values where
+    doubles lie no closer.
+    """
+    rows = vox.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null and v - v = 0")
+    wanted = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    names = F.explode(F.array(*(F.struct(F.lit(f"q{int(q * 100)}").alias("name"), F.floor(F.col("n") * F.lit(q)).alias("rank")) for q in QUANTILES))).alias("q")
+    wanted = written(wanted.select("k", "lo", "hi", names).select("k", "lo", "hi", "q.name", "q.rank"), "wanted")
+    while not wanted.filter("lo < hi").isEmpty():
+        ranges = wanted.filter("lo < hi").select(F.col("k").alias("_k"), "lo", "hi").distinct()
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        counted = rows.join(ranges, (F.col("k") == F.col("_k")) & F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("_k", "lo", "hi", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+        upto = F.sum("c").over(Window.partitionBy("_k", "lo", "hi").orderBy("part"))  # as many rows as bins
+        parts = counted.select("_k", F.col("lo").alias("_l"), F.col("hi").alias("_h"), "_lo", "_hi", (upto - F.col("c")).alias("_before"), upto.alias("_upto"))
+        met = (F.col("k") == F.col("_k")) & (F.col("lo") == F.col("_l")) & (F.col("hi") == F.col("_h")) & (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto"))
+        narrower = wanted.filter("lo < hi").join(parts, met).select("k", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "name", (F.col("rank") - F.col("_before")).alias("rank"))
+        old, wanted = wanted, written(wanted.filter("lo = hi").unionByName(narrower), "wanted")
+        discard(old)
+    return wanted.groupBy(F.col("k").alias(key)).agg(*(F.max(F.when(F.col("name") == f"q{int(q * 100)}", F.col("lo"))).alias(f"q{int(q * 100)}") for q in QUANTILES))
 
 
 def majority_label(vox: DataFrame, other: str, key: str = "label") -> DataFrame:

@@ -429,6 +429,53 @@ def g21(spark: SparkSession, d: str) -> DataFrame:
     return working.merge_small(vox, grid_of(vox), vox.filter("label % 3 = 0").select("label").distinct())[0]
 
 
+#: Requests for every third label over 40, on a segmentation that differs from the initial volume where ``other`` is 3.
+REQUESTS = """sg AS (SELECT x, y, z, CASE WHEN label <> 0 AND other = 3 AND label % 6 = 0 THEN label + 1000 ELSE label END AS label FROM vox),
+  fs AS (""" + " UNION ALL ".join(f"SELECT a.label AS la, b.label AS lb, a.x AS x, a.y AS y, a.z AS z, b.x AS x2, b.y AS y2, b.z AS z2 FROM sg a JOIN sg b ON b.x = a.x + {i} AND b.y = a.y + {j} AND b.z = a.z + {k}" for i, j, k in ((1, 0, 0), (0, 1, 0), (0, 0, 1))) + """),
+  c AS (SELECT label, count(*) AS n FROM sg WHERE label <> 0 GROUP BY label), rq AS (SELECT label FROM c WHERE label % {k} = 1 AND label < 1000),
+  tb AS (SELECT DISTINCT la AS label, lb AS neighbour FROM (SELECT la, lb FROM fs UNION ALL SELECT lb, la FROM fs) q WHERE la <> lb AND la <> 0 AND lb <> 0),
+  pn AS (SELECT label, neighbour FROM (SELECT tb.label, neighbour, row_number() OVER (PARTITION BY tb.label ORDER BY c.n, neighbour) AS r FROM tb JOIN c ON c.label = neighbour JOIN rq ON rq.label = tb.label) q WHERE r = 1),
+  us AS (SELECT label FROM pn UNION SELECT neighbour FROM pn),
+  vx AS (SELECT x + 25 * y + 500 * z AS i, label FROM sg JOIN us USING (label)), ad AS (SELECT x + 25 * y + 500 * z AS a, x2 + 25 * y2 + 500 * z2 AS b FROM fs WHERE la = lb AND la IN (SELECT label FROM us)),
+  ab AS (SELECT a, b FROM ad UNION ALL SELECT b, a FROM ad), wk(root, i) AS (SELECT i, i FROM vx UNION SELECT w.root, ab.b FROM wk w JOIN ab ON ab.a = w.i), cp AS (SELECT i, min(root) AS root FROM wk GROUP BY i),
+  dc AS (SELECT label, count(DISTINCT root) AS k FROM cp JOIN vx USING (i) GROUP BY label HAVING count(DISTINCT root) > 1),
+  ex AS (SELECT us.label FROM us WHERE (SELECT count(*) FROM sg WHERE sg.label = us.label) = (SELECT count(*) FROM sg JOIN vox v USING (x, y, z) WHERE sg.label = us.label AND v.label = us.label) AND (SELECT count(*) FROM sg WHERE sg.label = us.label) = (SELECT count(*) FROM vox v WHERE v.label = us.label)),
+  nums AS (SELECT (SELECT count(*) FROM rq) AS selected, (SELECT count(*) FROM pn) AS mergeable, (SELECT count(*) FROM us) AS consumed, (SELECT count(*) FROM dc) AS disconnected, coalesce((SELECT sum(k) FROM dc), 0) AS regions, (SELECT count(*) FROM us) - (SELECT count(*) FROM ex) AS missing)"""
+
+
+def _requests(spark: SparkSession, d: str, k: int, **options):
+    from ..operators.requests import merge_with_neighbours
+
+    vox = voxels(spark, d)
+    g = grid_of(vox)
+    seg = written(vox.select(*AXES, F.when((F.col("label") != 0) & (F.col("other") == 3) & (F.col("label") % 6 == 0), F.col("label") + 1000).otherwise(F.col("label")).alias("label")), "segmentation")
+    asked = seg.filter((F.col("label") % k == 1) & (F.col("label") < 1000)).select("label")
+    return merge_with_neighbours(seg, vox.select(*AXES, "label"), g, working.build(vox, g), asked, **options)
+
+
+_STATUS = "CASE WHEN mergeable = 0 THEN 'nothing to merge' WHEN disconnected > 0 THEN 'needs split' WHEN missing > 0 THEN 'needs insertion' ELSE 'merged' END"
+
+
+@query("g21_outcome", "selected mergeable skipped consumed disconnected regions insertions;; status", REQUESTS.format(k=5) + f" || SELECT {_STATUS} AS status, selected, mergeable, selected - mergeable AS skipped, consumed, disconnected, regions, CASE WHEN disconnected > 0 THEN 0 ELSE missing END AS insertions FROM nums")
+def g21_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return _requests(spark, d, 5).row()
+
+
+@query("g21_plan", "label neighbour", REQUESTS.format(k=5) + " || SELECT label, neighbour FROM pn")
+def g21_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _requests(spark, d, 5).plan
+
+
+@query("g21_merged_groups", "voxels differ", "SELECT count(*) AS voxels, 0 AS differ FROM vox WHERE label <> 0")
+def g21_groups(spark: SparkSession, d: str) -> DataFrame:
+    """With splitting and insertion allowed each merged label is exactly one working group."""
+    from ..operators.requests import exact_groups
+
+    done = _requests(spark, d, 5, allow_insertion=True, allow_split=True)
+    exact = exact_groups(done.segmentation, working.label_volume(done.initial, done.working), done.sets.select(F.col("new").alias("label")))
+    return done.segmentation.filter("label <> 0").agg(F.count("*").alias("voxels")).crossJoin(exact.agg((F.lit(done.merged_groups) - F.count("*")).alias("differ")))
+
+
 @query("u03_merge_sets", "old new", SMALL + " || SELECT old, new FROM gc JOIN f USING (root)")
 def u03(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
