@@ -30,9 +30,9 @@ def groups(roots):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("ties, at_once", [(False, 20), (True, 0)])
+@pytest.mark.parametrize("ties, at_once", [(False, 10), (True, 0)])
 def test_batches_of_tables_are_those_of_the_loop(spark, ties, at_once):
-    sizes, edges = random_graph(2, 50, ties)
+    sizes, edges = random_graph(2, 30, ties)
     g = Graph(sizes, edges, Options())
     g.batched()
     rows = ag.batched_roots(*frames(spark, sizes, edges), Options(), at_once).collect()
@@ -40,10 +40,9 @@ def test_batches_of_tables_are_those_of_the_loop(spark, ties, at_once):
     assert max(r["batches"] for r in rows) == g.batches and max(r["most"] for r in rows) == g.most
 
 
-@pytest.mark.parametrize("strategy", ["mean", "open_fraction"])
-def test_rounds_come_to_the_strict_partition(spark, strategy):
+def test_rounds_come_to_the_strict_partition(spark):
     """Hundreds of graphs at once: they are components of one."""
-    o, sizes, edges, want = Options(strategy=strategy, cleanup_size=60, protection=0.1), {}, [], []
+    o, sizes, edges, want = Options(strategy="open_fraction", cleanup_size=60, protection=0.1), {}, [], []
     for seed in range(300):
         s, e = random_graph(seed, 4 + seed % 20, False)
         base = seed * 1000

@@ -54,9 +54,9 @@ def test_settle_takes_keys_in_order(rule, connectivity):
         assert got == want
 
 
-@pytest.mark.parametrize("rule, connectivity, seed", [("geodesic", 6, 1), ("arrival", 6, 2), ("geodesic", 26, 3), ("arrival", 26, 4), ("geodesic", 6, 5)])
+@pytest.mark.parametrize("rule, connectivity, seed", [("geodesic", 6, 1), ("arrival", 6, 2), ("geodesic", 26, 3)])
 def test_blocks_come_to_the_flood_of_the_whole(spark, rule, connectivity, seed):
-    level, markers = volume(seed, (9, 10, 11), (5, 40, 12, 3, 1)[seed - 1], 6, 0.3)
+    level, markers = volume(seed, (9, 10, 11), (5, 40, 12)[seed - 1], 6, 0.3)
     sources = [(int(np.ravel_multi_index(p, level.shape)), 0, 0, int(v)) for p, v in np.ndenumerate(markers) if v]
     high, steps, label = fronts.settle(level, sources, connectivity, rule)
     out = fronts.flood(frame(spark, level, markers), Grid(11, 10, 9), rule, connectivity, edge=4).collect()

@@ -33,8 +33,8 @@ def test_nothing_happens(spark, asked, options, status):
 
 def test_smallest_or_largest_neighbour(spark):
     line = [1, 1, 1, 2, 2, 3, 3, 3, 3]
-    out, labels, groups = run(spark, line, line, [2, 2])
-    assert out.status == "merged" and labels == [4] * 5 + [3] * 4 and len(set(groups[:5])) == 1 != len(set(groups))
+    small, _, _ = run(spark, line, [0] * 9, [2, 2])
+    assert small.plan.first()["neighbour"] == 1 and small.status == "needs insertion"
     out, labels, groups = run(spark, line, line, [2], largest=True)
     assert labels == [1] * 3 + [4] * 6 and len(set(groups[3:])) == 1
 

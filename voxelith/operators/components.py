@@ -93,6 +93,12 @@ def component_counts(parts: DataFrame, requested: DataFrame | None = None) -> Da
     return requested.select(F.col("label").cast("long").alias("label")).distinct().join(n, "label", "left").select("label", F.coalesce("components", F.lit(0)).alias("components"))
 
 
+def component_order(parts: DataFrame) -> DataFrame:
+    """label, component, n, r: a label's components, largest first (ties: least scan index), from 1."""
+    sizes = parts.groupBy("label", "component").agg(F.count("*").alias("n"))
+    return sizes.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "component")))
+
+
 def split_disconnected(vox: DataFrame, grid: Grid, next_free: int, connectivity: int = 6, ignored: Iterable[int] = (0,)) -> DataFrame:
     """x, y, z, label: the largest component keeps its label (ties: least scan index).
 
@@ -101,9 +107,7 @@ def split_disconnected(vox: DataFrame, grid: Grid, next_free: int, connectivity:
     """
     ignored = sorted(set(ignored))
     parts = components(vox, grid, connectivity, ignored)
-    sizes = parts.groupBy("label", "component").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("label").orderBy(F.desc("n"), "component")
-    order = sizes.withColumn("r", F.row_number().over(w)).filter("r > 1")
+    order = component_order(parts).filter("r > 1")
     first = vox.agg(F.greatest(F.lit(next_free), F.max("label") + 1).cast("long").alias("first"))
     from .neighbours import ranked
 

@@ -159,6 +159,12 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
     return components.components(vox, grid_of(vox), edge=16)
 
 
+@query("w05_component_order", "label component n r", FACE_COMPONENTS + f" || SELECT label, component, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, component) AS r FROM vox JOIN comp ON i = {SCAN} GROUP BY label, component")
+def w05(spark: SparkSession, d: str) -> DataFrame:
+    vox = voxels(spark, d)
+    return components.component_order(components.components(vox, grid_of(vox)))
+
+
 @query("c01_component_counts", "label components", FACE_COMPONENTS + f", n AS (SELECT label, count(DISTINCT component) AS k FROM vox JOIN comp ON i = {SCAN} GROUP BY label) || SELECT r.label, coalesce(k, 0) AS components FROM range(1, 200) r(label) LEFT JOIN n ON n.label = r.label")
 def c01b(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
@@ -550,6 +556,15 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(agglomeration.initial_queue(agglomeration.scored_edges(edges, regions, agglomeration.Options(tau=0.3))))
 
 
+@query("w06_queue_order", "turn edge_id;; score", INDEXED + ", sc AS (SELECT row_number() OVER (ORDER BY r1, r2) AS edge_id, round((0.3::DOUBLE * total_a - total_b) / total_a, 12) AS score FROM re) || SELECT row_number() OVER (ORDER BY score DESC, edge_id) AS turn, edge_id, score FROM sc WHERE score > 0")
+def w06(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which a queue gives its edges away: score, then lower number; by range partitions, not one task."""
+    regions, edges = _rag(spark, d)
+    offers = agglomeration.initial_queue(_rounded(agglomeration.scored_edges(agglomeration.numbered_edges(edges), regions, agglomeration.Options(tau=0.3))))
+    order = offers.select((-F.col("score")).alias("down"), F.col("edge_id").alias("number"), "score")
+    return neighbours.ranked(order, "down", "number").select(F.col("edge_id").alias("turn"), F.col("number").alias("edge_id"), "score")
+
+
 @query("r06_merge_direction", "r1 r2 kept", INDEXED + ", dg AS (SELECT r, count(*) AS d FROM (SELECT r1 AS r FROM re UNION ALL SELECT r2 FROM re) q GROUP BY r) || SELECT r1, r2, CASE WHEN a.d > b.d THEN r1 WHEN b.d > a.d THEN r2 ELSE least(r1, r2) END AS kept FROM re JOIN dg a ON a.r = r1 JOIN dg b ON b.r = r2")
 def r06(spark: SparkSession, d: str) -> DataFrame:
     regions, edges = _rag(spark, d)

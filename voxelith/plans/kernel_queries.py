@@ -34,12 +34,34 @@ def _distance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Grid]:
     return vox, written(distance.signed_distance(vox, g), "distance"), g
 
 
-@query("m03_seeds_from_maxima", "x y z seed")
+#: Local maxima (26 neighbours) of the signed distance, and their face components.
+PEAKS = RIM + """, dd AS (SELECT v.x, v.y, v.z, CASE WHEN max(v.mask) = 0 THEN 1 ELSE -1 END * sqrt(min((v.x - s.x) ** 2 + (v.y - s.y) ** 2 + (v.z - s.z) ** 2)) AS dist FROM vox v, s GROUP BY v.x, v.y, v.z),
+  lo AS (SELECT DISTINCT v.x, v.y, v.z FROM dd v, o, dd w WHERE w.x = v.x + dx AND w.y = v.y + dy AND w.z = v.z + dz AND w.dist > v.dist),
+  pk AS (SELECT x, y, z, x + 25 * y + 500 * z AS i FROM dd ANTI JOIN lo USING (x, y, z) WHERE dist > 0),
+  ad AS (SELECT a.i AS a, b.i AS b FROM pk a JOIN pk b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
+  wk(root, i) AS (SELECT i, i FROM pk UNION SELECT w.root, ad.b FROM wk w JOIN ad ON ad.a = w.i), cp AS (SELECT i, min(root) AS root FROM wk GROUP BY i)"""
+
+
+@query("m03_seeds_from_maxima", "x y z seed", PEAKS + " || SELECT x, y, z, dense_rank() OVER (ORDER BY root) AS seed FROM pk JOIN cp USING (i)")
 def m03(spark: SparkSession, d: str) -> DataFrame:
     _, dist, g = _distance(spark, d)
     return distance.extract_seeds(dist, g, "maxima")
 
 
+@query("m05_seed_methods", "valid voxels;;method", PEAKS + " || SELECT 'maxima' AS method, 1 AS valid, (SELECT count(*) FROM pk) AS voxels UNION ALL SELECT 'all', 0, 0")
+def m05(spark: SparkSession, d: str) -> DataFrame:
+    """One of the methods by its name; "all" names none."""
+    _, dist, g = _distance(spark, d)
+    out = []
+    for method in ("maxima", "all"):
+        try:
+            seeds = distance.extract_seeds(dist, g, method).agg(F.lit(1).alias("valid"), F.count("*").alias("voxels"))
+        except ValueError:
+            seeds = dist.limit(1).select(F.lit(0).alias("valid"), F.lit(0).cast("long").alias("voxels"))
+        out.append(seeds.withColumn("method", F.lit(method)))
+    return out[0].unionByName(out[1])
+
+
 @query("m04_h_convex_seeds", "x y z seed")
 def m04(spark: SparkSession, d: str) -> DataFrame:
     _, dist, g = _distance(spark, d)
@@ -100,6 +122,20 @@ def m09(spark: SparkSession, d: str) -> DataFrame:
     return statistics.label_counts(distance.run_watershed(*_marked(spark, d), "blockwise", edge=16, halo=4))
 
 
+@query("m11_watershed_algorithms", "valid voxels;;algorithm", "SELECT unnest(['exact', 'blockwise', 'compact blockwise', 'other']) AS algorithm, unnest([1, 1, 0, 0]) AS valid, unnest([count(*), count(*), 0, 0]) AS voxels FROM vox")
+def m11(spark: SparkSession, d: str) -> DataFrame:
+    """Watersheds by name; compactness needs the exact one."""
+    marked, g = _marked(spark, d)
+    out = []
+    for name, algorithm, options in (("exact", "exact", {}), ("blockwise", "blockwise", {"edge": 16, "halo": 4}), ("compact blockwise", "blockwise", {"compactness": 0.1}), ("other", "other", {})):
+        try:
+            row = distance.run_watershed(marked, g, algorithm, **options).filter("label <> 0").agg(F.lit(1).alias("valid"), F.count("*").alias("voxels"))
+        except ValueError:
+            row = marked.limit(1).select(F.lit(0).alias("valid"), F.lit(0).cast("long").alias("voxels"))
+        out.append(row.withColumn("algorithm", F.lit(name)))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query("m10_automatic_edge", "voxels edge", "n AS (SELECT unnest([1000000, 135340944, 1000000000, 10000000000]) AS voxels) || SELECT voxels, least(256, greatest(128, 32 * floor(round(cbrt(voxels / 32.0), 9) / 32))) AS edge FROM n")
 def m10(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, distance.automatic_edge(n, 16)) for n in (1_000_000, 135_340_944, 1_000_000_000, 10_000_000_000)], "voxels long, edge long")
