@@ -233,3 +233,19 @@ def test_voxel_view_is_dense(spark, sf_dir):
     vox = voxels(spark, sf_dir)
     g = grid_of(vox)
     assert vox.count() == g.dimx * g.dimy * g.dimz
+
+
+def test_crofton_surface_of_a_ball(spark):
+    from voxelith.plans.segment_table import SHARES, crofton_surface
+
+    assert abs(3 * SHARES[1] + 6 * SHARES[2] + 4 * SHARES[3] - 1) < 1e-9
+    r, g = 9, Grid(21, 21, 21)
+    rows = [(x, y, z, int((x - 10) ** 2 + (y - 10) ** 2 + (z - 10) ** 2 <= r * r)) for x in range(21) for y in range(21) for z in range(21)]
+    got = crofton_surface(spark.createDataFrame(rows, "x int, y int, z int, label int"), g).first()
+    assert abs(got["surface"] / (4 * np.pi * (r + 0.05) ** 2) - 1) < 0.03 and abs(got["roundness"] - 1) < 0.03
+
+
+def test_maurer_distance_of_a_line(spark):
+    rows = [(x, 0, 0, int(2 <= x <= 6)) for x in range(9)]
+    got = {r["x"]: r["dist"] for r in distance.maurer_distance(spark.createDataFrame(rows, "x int, y int, z int, mask int")).collect()}
+    assert got == {0: 2, 1: 1, 2: 0, 3: -1, 4: -2, 5: -1, 6: 0, 7: 1, 8: 2}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, shifted, stencil, with_blocks
+from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, grid_of, shifted, stencil, with_blocks
 from ..lineage import written
 from . import fronts
 from .components import components
@@ -97,6 +97,19 @@ def signed_distance(vox: DataFrame, grid: Grid, mask: str = "mask") -> DataFrame
     return d.join(m, list(AXES)).select(*AXES, F.when(F.col("_m") == 0, root).otherwise(-root).alias("dist"))
 
 
+def maurer_distance(vox: DataFrame, mask: str = "mask") -> DataFrame:
+    """x, y, z, dist: negative inside the mask, positive outside; distance to the centres of the mask's own rim.
+
+    The rim are masked voxels with an unmasked one among their 26 neighbours (what lies outside
+    the volume is none), so it has distance 0.  In voxels, whatever the spacing; without a rim
+    the distance is null.
+    """
+    grid = grid_of(vox)
+    sites = boundary_background(vox.select(*AXES, F.when(F.col(mask) == 0, 1).otherwise(0).alias("_out")), grid, "_out")
+    m = vox.select(*AXES, (F.col(mask) == 0).alias("_open"))
+    return squared_distance(vox, sites, grid).join(m, list(AXES)).select(*AXES, F.when(F.col("_open"), F.sqrt("d2")).otherwise(-F.sqrt("d2")).alias("dist"))
+
+
 def seeds_from_maxima(dist: DataFrame, grid: Grid, value: str = "dist") -> DataFrame:
     """x, y, z, seed: face components of local maxima, numbered from 1 by first voxel."""
     peaks = local_maxima(dist, grid, value).withColumn("label", F.lit(1))

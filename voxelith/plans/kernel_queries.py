@@ -26,6 +26,11 @@ def m02(spark: SparkSession, d: str) -> DataFrame:
     return distance.signed_distance(vox, grid_of(vox))
 
 
+@query("m02_maurer_distance", "x y z; dist", RIM.replace("w.mask <> 0", "w.mask = 0").replace("v.mask = 0", "v.mask <> 0") + " || SELECT v.x, v.y, v.z, CASE WHEN max(v.mask) = 0 THEN 1 ELSE -1 END * sqrt(min((v.x - s.x) ** 2 + (v.y - s.y) ** 2 + (v.z - s.z) ** 2)) AS dist FROM vox v, s GROUP BY v.x, v.y, v.z")
+def m02_maurer(spark: SparkSession, d: str) -> DataFrame:
+    return distance.maurer_distance(voxels(spark, d))
+
+
 def _distance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Grid]:
     from ..lineage import written
 

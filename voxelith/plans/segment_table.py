@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..grid import AXES, Grid
+from ..grid import AXES, Block, Grid, by_block, shifted
 from ..operators import neighbours, statistics
 
 FLAGS = ("size", "physical", "centroid", "box", "border", "isolated", "elongation", "flatness", "principal", "ellipsoid", "radius", "faces", "roundness", "oriented")
@@ -119,3 +121,40 @@ def oriented_boxes(own: DataFrame, grid: Grid) -> DataFrame:
     wide = [sum(F.abs(F.col(f"v{k}{i}")) * s[i] for i in range(3)) for k in range(3)]
     e = j.groupBy("label").agg(*((F.max(p) - F.min(p) + F.max(w)).alias(f"obb{k + 1}") for k, (p, w) in enumerate(zip(along, wide, strict=True))))
     return e.withColumn("obb_volume", F.col("obb1") * F.col("obb2") * F.col("obb3"))
+
+
+#: Thirteen directions (x, y, z), each for itself and its opposite.
+DIRECTIONS = tuple((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (k, j, i) > (0, 0, 0))
+#: Share of the sphere of directions that an axis, a diagonal of a face and one of a
+#: cube stand for, with their opposites.
+SHARES = {1: 0.09155578240952, 2: 0.07396125575216, 3: 0.07039127956464}
+
+
+def line_exits(vox: DataFrame, grid: Grid, edge: int = 32) -> DataFrame:
+    """label, e0 .. e12: voxels after which a line in each direction leaves the label (0 has none)."""
+    names = [f"e{k}" for k in range(len(DIRECTIONS))]
+
+    def kernel(table: pa.Table) -> pa.Table:
+        b = Block(table, {"label": 0})
+        own = b.own & (b["label"] != 0)
+        labels, at = np.unique(b["label"][own], return_inverse=True)
+        left = [np.bincount(at, (shifted(b["label"], k, j, i, 0) != b["label"])[own], len(labels)) for i, j, k in DIRECTIONS]
+        return pa.table({"label": pa.array(labels.astype(np.int64)), **{n: pa.array(v.astype(np.int64)) for n, v in zip(names, left, strict=True)}})
+
+    counted = by_block(vox.select(*AXES, F.col("label").cast("long").alias("label")), grid, kernel, "label long, " + ", ".join(f"{n} long" for n in names), edge)
+    return counted.groupBy("label").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def crofton_surface(vox: DataFrame, grid: Grid) -> DataFrame:
+    """label, surface, roundness: surface area by how often lines of thirteen directions leave a label.
+
+    A line of direction d stands for an area of voxel volume / |d|; four times the mean over
+    the sphere of directions of the areas of its exits is the surface.  Roundness is the
+    surface of a ball of the same volume over it.  What lies outside the volume is no label.
+    """
+    voxel = grid.sx * grid.sy * grid.sz
+    terms = [4 * SHARES[abs(i) + abs(j) + abs(k)] * voxel / float(np.sqrt((i * grid.sx) ** 2 + (j * grid.sy) ** 2 + (k * grid.sz) ** 2)) * F.col(f"e{n}") for n, (i, j, k) in enumerate(DIRECTIONS)]
+    surface = sum(terms[1:], terms[0])
+    n = vox.filter("label <> 0").groupBy(F.col("label").cast("long").alias("_l")).agg((F.count("*") * voxel).alias("_v"))
+    rows = line_exits(vox, grid).select("label", surface.alias("surface")).join(n, F.col("label") == F.col("_l"))
+    return rows.select("label", "surface", (F.pow(F.lit(np.pi), F.lit(1 / 3)) * F.pow(6 * F.col("_v"), F.lit(2 / 3)) / F.col("surface")).alias("roundness"))

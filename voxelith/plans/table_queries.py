@@ -203,6 +203,24 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return segment_table.exposed_faces(vox, grid_of(vox))
 
 
+#: Exits of lines, by direction, from pairs of voxels that lie so to each other.
+EXITS = "d AS (SELECT n, dx, dy, dz FROM (VALUES " + ", ".join(f"({n}, {i}, {j}, {k})" for n, (i, j, k) in enumerate(segment_table.DIRECTIONS)) + """) t(n, dx, dy, dz)),
+  c AS (SELECT label, count(*) AS n FROM vox WHERE label <> 0 GROUP BY label), st AS (SELECT v.label, d.n, count(*) AS k FROM vox v, d, vox w WHERE w.x = v.x + dx AND w.y = v.y + dy AND w.z = v.z + dz AND v.label = w.label AND v.label <> 0 GROUP BY 1, 2),
+  ex AS (SELECT c.label, c.n AS size, d.n, abs(dx) + abs(dy) + abs(dz) AS l, sqrt(dx * dx + dy * dy + 4.0 * dz * dz) AS long, c.n - coalesce(k, 0) AS exits FROM c CROSS JOIN d LEFT JOIN st ON st.label = c.label AND st.n = d.n)"""
+
+
+@query("a26_crofton_surface", "label; surface roundness", EXITS + f" || SELECT label, surface, pi() ** (1 / 3.0::DOUBLE) * (12.0::DOUBLE * size) ** (2 / 3.0::DOUBLE) / surface AS roundness FROM (SELECT label, max(size) AS size, sum(4 * 2.0::DOUBLE * exits / long * CASE l WHEN 1 THEN {segment_table.SHARES[1]}::DOUBLE WHEN 2 THEN {segment_table.SHARES[2]}::DOUBLE ELSE {segment_table.SHARES[3]}::DOUBLE END) AS surface FROM ex GROUP BY label) q")
+def a26_crofton(spark: SparkSession, d: str) -> DataFrame:
+    vox = voxels(spark, d)
+    return segment_table.crofton_surface(vox, grid_of(vox, (1.0, 1.0, 2.0)))
+
+
+@query("a26_line_exits", "label " + " ".join(f"e{n}" for n in range(13)), EXITS + " || SELECT label, " + ", ".join(f"max(exits) FILTER (n = {n}) AS e{n}" for n in range(13)) + " FROM ex GROUP BY label")
+def a26_exits(spark: SparkSession, d: str) -> DataFrame:
+    vox = voxels(spark, d)
+    return segment_table.line_exits(vox, grid_of(vox))
+
+
 @query("a27_oriented_boxes", "label; obb1 obb2 obb3 obb_volume")
 def a27(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
