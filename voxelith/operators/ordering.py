@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+from .neighbours import ranked
+
 
 def table_sort(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """By a numeric column; values not computed count as -1, booleans as 0 and 1; ties by label."""
@@ -13,9 +16,15 @@ def table_sort(rows: DataFrame, column: str, descending: bool = False) -> DataFr
 
 
 def neighbours_in_order(rows: DataFrame, by: str) -> DataFrame:
-    """label, before, after: navigation through the table in the order of ``by``."""
-    w = Window.orderBy(F.col(by), F.col("label"))
-    return rows.select("label", F.lag("label").over(w).alias("before"), F.lead("label").over(w).alias("after"))
+    """label, before, after: navigation through the table in the order of ``by`` (ties by label).
+
+    Places come from range partitions, so no task sees the whole table.
+    """
+    place = ranked(rows.select("label", F.col(by).alias("_by")), "_by", "label").select("label", F.col("edge_id").alias("at"))
+    place = written(place, "places")
+    lower = place.select(F.col("label").alias("before"), (F.col("at") + 1).alias("at"))
+    upper = place.select(F.col("label").alias("after"), (F.col("at") - 1).alias("at"))
+    return place.join(lower, "at", "left").join(upper, "at", "left").select("label", "before", "after")
 
 
 def after_merge(rows: DataFrame, merged: DataFrame) -> DataFrame:

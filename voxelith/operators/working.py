@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid
 from ..lineage import written
-from .components import components, group_components
+from .components import components, group_components, split_disconnected
 from .graph import connected
 from .neighbours import one_sided, ranked, two_sided
 from .paths import shortest
@@ -170,6 +170,36 @@ def unmerge(w: Working, edge_id: int, centres: DataFrame, edge_centres: DataFram
     return split_group(marked, lengths.select("label", F.when(lower, 0).otherwise(1).alias("side")), cut)
 
 
+def split_and_rebuild(vox: DataFrame, grid: Grid, w: Working, connectivity: int = 6, ignored: Iterable[int] = (0,)) -> tuple[DataFrame, Working]:
+    """(initial volume, working graph) after labels that fall apart are split; groups are kept.
+
+    The largest piece of a label keeps it, others get fresh labels, and all stay in the
+    label's group.  Groups that do not hang together then fall into parts: the one with most
+    voxels keeps the group's id (ties: least label), others get fresh ids in the order of
+    (group, size, label).  Edges inside groups have status 2, others 0.  Where nothing falls
+    apart the graph stays as it is.
+    """
+    old = vox.select(*AXES, F.col("label").cast("long").alias("label"))
+    out = written(split_disconnected(old, grid, w.next_free, connectivity, ignored), "volume")
+    names = written(old.withColumnRenamed("label", "_old").join(out, list(AXES)).filter("_old <> 0").select("_old", "label").distinct(), "names")
+    if names.filter("_old <> label").isEmpty():
+        return out, w
+    free = max(w.next_free, (out.agg(F.max("label")).first()[0] or 0) + 1)
+    kept = names.join(w.members.select(F.col("label").alias("_old"), "working"), "_old", "left").select("label", F.coalesce("working", "label").alias("working"))
+    grouped = replace(build(out, grid), members=written(kept, "members"), next_free=free)
+    # a label hangs together, so it lies in one part of its group
+    parts = components(out.join(kept.withColumnRenamed("label", "_l"), F.col("label") == F.col("_l")).select(*AXES, "label", F.col("working").alias("group")), grid, connectivity, (), ("group",))
+    at = written(parts.join(out, list(AXES)).groupBy("group", "component", "label").agg(F.count("*").alias("n")), "parts")
+    sizes = at.groupBy("group", "component").agg(F.sum("n").alias("n"), F.min("label").alias("least"))
+    order = sizes.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "least")))
+    fresh = ranked(order.filter("r > 1").select("group", "r", "component"), "group", "r").select(F.col("component").alias("_c"), (F.col("edge_id") - 1 + free).alias("fresh"))
+    fresh = written(fresh, "fresh")
+    members = written(at.join(fresh, F.col("component") == F.col("_c"), "left").select("label", F.coalesce("fresh", "group").alias("working")), "members")
+    m = members.select(F.col("label").alias("lo"), F.col("working").alias("a"))
+    inside = grouped.edges.join(m, "lo").join(m.select(F.col("lo").alias("hi"), F.col("a").alias("b")), "hi").filter("a = b").select("edge_id")
+    return out, replace(grouped, members=members, next_free=free + fresh.count(), status=written(_with_status(grouped, inside, 2), "status"))
+
+
 def agreeing_edges(edges: DataFrame, majority: DataFrame, least: float = 0.75) -> DataFrame:
     """Edges whose ends have the same majority label, each by more than ``least``."""
     m = majority.filter(F.col("fraction") > least)
@@ -257,8 +287,6 @@ def apply_partition(vox: DataFrame, grid: Grid, w: Working, group: int, parts: D
     keyed = inside.join(parts.select(*AXES, "part"), list(AXES))
     pieces = written(components(keyed, grid, key=("label", "part")), "pieces")
     each = pieces.groupBy("label", "part", "component").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     order = each.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "component")))
     start = w.next_free
     fresh = ranked(order.filter("r > 1").select("label", "component"), "label", "component").select("component", (F.col("edge_id") - 1 + start).alias("fresh"))

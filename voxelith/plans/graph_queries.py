@@ -341,6 +341,33 @@ def _least(members: DataFrame) -> DataFrame:
     return members.join(least, "working").select("label", "least")
 
 
+#: Face components of the groups' voxels (gcp) and of the initial labels (comp), after every fifth edge merged.
+SPLIT = MERGED.format(k=5) + ", " + FACE_COMPONENTS.replace("reach", "lreach").replace("s AS (", "ls AS (").replace("FROM s ", "FROM ls ") + f""", gv AS (SELECT {SCAN} AS i, working FROM vox JOIN mem USING (label)),
+  ga AS (SELECT x + 25 * y + 500 * z AS a, x2 + 25 * y2 + 500 * z2 AS b FROM faces JOIN mem p ON p.label = la JOIN mem q ON q.label = lb WHERE p.working = q.working),
+  gb AS (SELECT a, b FROM ga UNION ALL SELECT b, a FROM ga), greach(root, i) AS (SELECT i, i FROM gv UNION SELECT r.root, gb.b FROM greach r JOIN gb ON gb.a = r.i), gcp AS (SELECT i, min(root) AS part FROM greach GROUP BY i)"""
+
+
+def _rebuilt(spark: SparkSession, d: str) -> tuple[DataFrame, working.Working, Grid]:
+    vox, w = _merged(spark, d, 5)
+    g = grid_of(vox)
+    return *working.split_and_rebuild(vox, g, w), g
+
+
+@query("c05_groups_after_split", "x y z part", SPLIT + f" || SELECT x, y, z, part FROM vox JOIN gcp ON i = {SCAN}")
+def c05_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A group by its least scan index."""
+    vox, w, g = _rebuilt(spark, d)
+    groups = working.label_volume(vox, w).filter("label <> 0").withColumn("i", g.scan_index())
+    return groups.join(groups.groupBy("label").agg(F.min("i").alias("part")), "label").select(*AXES, "part")
+
+
+@query("c05_status_after_split", "edges inside labels", SPLIT + """, pe AS (SELECT DISTINCT least(a.component, b.component) AS lo, greatest(a.component, b.component) AS hi, ga.part = gb2.part AS inside FROM faces JOIN comp a ON a.i = x + 25 * y + 500 * z JOIN comp b ON b.i = x2 + 25 * y2 + 500 * z2
+  JOIN gcp ga ON ga.i = a.i JOIN gcp gb2 ON gb2.i = b.i WHERE a.component <> b.component) || SELECT (SELECT count(*) FROM pe) AS edges, (SELECT count(*) FROM pe WHERE inside) AS inside, (SELECT count(DISTINCT component) FROM comp) AS labels""")
+def c05_status(spark: SparkSession, d: str) -> DataFrame:
+    _, w, _ = _rebuilt(spark, d)
+    return w.status.agg(F.count("*").alias("edges"), F.count_if(F.col("status") == 2).alias("inside")).crossJoin(w.members.agg(F.count_distinct("label").alias("labels")))
+
+
 @query("g06_unmerge", "label least", LENGTHS + ", part AS (SELECT label, 1000000 + side AS k FROM halves UNION ALL SELECT label, working FROM mem WHERE label NOT IN (SELECT label FROM grp))" + PARTS.format(cut=3))
 def g06(spark: SparkSession, d: str) -> DataFrame:
     w, c, e = _cut_centres(spark, d)
