@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, grid_of, shifted, stencil, with_blocks
-from ..lineage import written
+from ..lineage import discard, written
 from . import fronts
 from .components import components
 from .neighbours import boundary_background, local_maxima
@@ -148,8 +148,12 @@ def h_convex_seeds(dist: DataFrame, grid: Grid, height: float = 1.0, least: floa
         return b.rows(b.own, _v=v, _low=low, risen=(low > b["_low"]) & (not alone))
 
     state = dist.select(*AXES, F.col(value).cast("double").alias("_v"), (F.col(value).cast("double") - height).alias("_low"))
+    old = None
     while True:
         state = written(by_block(state, grid, kernel, "x int, y int, z int, _v double, _low double, risen boolean", edge, halo), "reconstruction")
+        if old is not None:
+            discard(old)
+        old = state
         if state.filter("risen").isEmpty():
             break
         state = state.drop("risen")
@@ -308,7 +312,8 @@ def blockwise_watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers:
                 return b.rows(b.own, _c=b["_c"], _m=out)
 
             seen = with_blocks(state, grid, edge, halo).withColumn("turn", colour == now)
-            state = written(seen.groupBy("bx", "by", "bz").applyInArrow(_typed(kernel), "x int, y int, z int, _c double, _m long"), "flood")
+            old, state = state, written(seen.groupBy("bx", "by", "bz").applyInArrow(_typed(kernel), "x int, y int, z int, _c double, _m long"), "flood")
+            discard(old)
         open_ = state.filter("_m = 0").count()
         if open_ == 0 or open_ == left:
             break

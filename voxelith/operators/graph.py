@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import written
+from ..lineage import discard, written
 
 #: Edges that a task joins at once; their arrays take about 100 bytes an edge.
 AT_ONCE = 1 << 20
@@ -71,7 +71,9 @@ def connected(links: DataFrame, most: int = 40, at_once: int = AT_ONCE) -> DataF
         sign = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if sign[0] <= at_once:
             roots = e.coalesce(1).mapInArrow(forests(sign[0] + 1, True), "u long, v long")
-            return written(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+            out = written(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+            discard(e)
+            return out
         if sign == last:
             roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -81,5 +83,6 @@ def connected(links: DataFrame, most: int = 40, at_once: int = AT_ONCE) -> DataF
         large = both.filter("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("t").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("t"))
         small = large.join(low, "u").filter("v <> t").select(F.col("v").alias("u"), F.col("t").alias("v"))
-        e = written(small.unionByName(low.select("u", F.col("t").alias("v"))).distinct(), "edges")
+        old, e = e, written(small.unionByName(low.select("u", F.col("t").alias("v"))).distinct(), "edges")
+        discard(old)
     raise RuntimeError("components did not settle")
