@@ -304,16 +304,18 @@ def apply_partition(vox: DataFrame, grid: Grid, w: Working, group: int, parts: D
     return out, replace(rebuilt, members=written(members, "members"), next_free=start + used + other.count())
 
 
-def insert_label(vox: DataFrame, grid: Grid, voxels: DataFrame, w: Working) -> tuple[DataFrame, Working]:
+def insert_label(vox: DataFrame, grid: Grid, voxels: DataFrame, w: Working, also: DataFrame | None = None) -> tuple[DataFrame, Working]:
     """Write a set of voxels (x, y, z) into the initial volume as a new label.
 
-    Groups that lose voxels fall back to their initial labels; nodes that vanish are
-    removed, edges rebuilt, and the new label is a group of its own.
+    Groups that lose voxels, and those of the labels in ``also``, fall back to their initial
+    labels; nodes that vanish are removed, edges rebuilt, and the new label is a group of its own.
     """
     new = w.next_free
     at = voxels.select(*AXES).distinct().withColumn("_in", F.lit(True))
     marked = vox.select(*AXES, F.col("label").cast("long").alias("label")).join(at, list(AXES), "left")
     touched = marked.filter("_in and label <> 0").select("label").distinct()
+    if also is not None:
+        touched = touched.unionByName(also.select("label")).distinct()
     out = written(marked.select(*AXES, F.when(F.col("_in"), F.lit(new).cast("long")).otherwise(F.col("label")).alias("label")), "volume")
     exploded = explode_groups(w, touched).members
     rebuilt = build(out, grid)
@@ -321,12 +323,31 @@ def insert_label(vox: DataFrame, grid: Grid, voxels: DataFrame, w: Working) -> t
     return out, replace(rebuilt, members=written(members, "members"), next_free=new + 1)
 
 
-def refine_at(vox: DataFrame, refinement: DataFrame, grid: Grid, at: tuple[int, int, int], w: Working) -> tuple[DataFrame, Working]:
-    """Insert the refinement's component at a point; background there changes nothing."""
+def groups_near(vox: DataFrame, w: Working, voxels: DataFrame, reach: int = 2) -> DataFrame:
+    """label: members of the groups in the bounding box of ``voxels``, ``reach`` wider, and of their neighbours."""
+    box = voxels.agg(*(f(a).alias(f"{f.__name__}{a}") for a in AXES for f in (F.min, F.max)))  # one row
+    inside = F.lit(True)
+    for a in AXES:
+        inside = inside & F.col(a).between(F.col(f"min{a}") - reach, F.col(f"max{a}") + reach)
+    near = written(label_volume(vox.join(F.broadcast(box), inside).select(*AXES, "label"), w).filter("label <> 0").select(F.col("label").alias("working")).distinct(), "near")
+    e = working_edges(w).select("w_lo", "w_hi")
+    beside = e.join(near, F.col("w_lo") == F.col("working")).select(F.col("w_hi").alias("working")).unionByName(e.join(near, F.col("w_hi") == F.col("working")).select(F.col("w_lo").alias("working")))
+    return w.members.join(near.unionByName(beside).distinct(), "working", "left_semi").select("label")
+
+
+def refine_at(vox: DataFrame, refinement: DataFrame, grid: Grid, at: tuple[int, int, int], w: Working, roi: tuple[tuple[int, int, int], tuple[int, int, int]] | None = None) -> tuple[DataFrame, Working]:
+    """Insert the refinement's component at a point; background there, or a point out of ``roi``, changes nothing.
+
+    The groups in its bounding box, two voxels wider, and their neighbours fall back to their
+    initial labels.  ``roi``: first and last voxel of the region that the refinement covers.
+    """
     from .components import flood
 
     x, y, z = at
+    if roi is not None and not all(lo <= c <= hi for lo, c, hi in zip(roi[0], at, roi[1], strict=True)):
+        return vox, w
     hit = refinement.filter((F.col("x") == x) & (F.col("y") == y) & (F.col("z") == z)).first()
     if hit is None or hit["label"] == 0:
         return vox, w
-    return insert_label(vox, grid, flood(refinement, grid, at), w)
+    part = written(flood(refinement, grid, at), "refinement")
+    return insert_label(vox, grid, part, w, groups_near(vox, w, part))

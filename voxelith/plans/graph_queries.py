@@ -419,6 +419,22 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     return statistics.label_counts(out)
 
 
+@query("g15_groups_near_refinement", "label least", MERGED.format(k=7) + f""", oa AS (SELECT a.x + 25 * a.y + 500 * a.z AS a, b.x + 25 * b.y + 500 * b.z AS b FROM faces f JOIN vox a ON a.x = f.x AND a.y = f.y AND a.z = f.z JOIN vox b ON b.x = x2 AND b.y = y2 AND b.z = z2 WHERE a.other = b.other),
+  ob AS (SELECT a, b FROM oa UNION ALL SELECT b, a FROM oa), fl(i) AS (SELECT 12 + 25 * 10 + 500 * 1 UNION SELECT b FROM fl JOIN ob ON a = fl.i), fv AS (SELECT x, y, z FROM vox JOIN fl ON fl.i = {SCAN}),
+  bx AS (SELECT min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1, min(z) - 2 AS z0, max(z) + 2 AS z1 FROM fv),
+  nr AS (SELECT DISTINCT working FROM vox JOIN mem USING (label), bx WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1),
+  we AS (SELECT p.working AS a, q.working AS b FROM edges JOIN mem p ON p.label = lo JOIN mem q ON q.label = hi WHERE p.working <> q.working),
+  nb AS (SELECT working FROM nr UNION SELECT b FROM we JOIN nr ON a = working UNION SELECT a FROM we JOIN nr ON b = working),
+  st AS (SELECT DISTINCT label FROM vox ANTI JOIN fv USING (x, y, z) WHERE label <> 0) || SELECT label, CASE WHEN working IN (SELECT working FROM nb) THEN label ELSE min(label) OVER (PARTITION BY working) END AS least FROM st JOIN mem USING (label)""")
+def g15_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups around a refinement fall apart, others stay; the new label is left out."""
+    vox, w = _merged(spark, d, 7)
+    g = grid_of(vox)
+    refinement = voxels(spark, d).select(*AXES, F.col("other").alias("label"))
+    _, after = working.refine_at(vox, refinement, g, (12, 10, 1), w)
+    return _least(after.members.filter(F.col("label") < w.next_free))
+
+
 @query("g16_insert_label", "label n", "t AS (SELECT max(label) + 1 AS top FROM vox) || SELECT CASE WHEN other = 3 AND x < 6 THEN top ELSE label END AS label, count(*) AS n FROM vox, t GROUP BY 1")
 def g16(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
