@@ -396,8 +396,11 @@ def _strict(state: State, o: Options, at_once: int) -> tuple[State, DataFrame]:
         state, old = merged(state, pairs), state
         _forget(old)
         discard(pairs)
-    component = connected(state.edges.select(F.col("r1").alias("a"), F.col("r2").alias("b")))
-    return state, _kernels(state.regions, state.edges, component, o, "greedy")
+    return state, _by_component(state.regions, state.edges, o)
+
+
+def _by_component(regions: DataFrame, edges: DataFrame, o: Options) -> DataFrame:
+    return _kernels(regions, edges, connected(edges.select(F.col("r1").alias("a"), F.col("r2").alias("b"))), o, "greedy")
 
 
 def agglomerate_graph(regions: DataFrame, edges: DataFrame, o: Options, at_once: int = GREEDY_EDGES) -> DataFrame:
@@ -416,8 +419,10 @@ def agglomerate_graph(regions: DataFrame, edges: DataFrame, o: Options, at_once:
     an edge without open faces hides a lower number.  Scores that are not reducible (sums,
     size bias) have no such rounds: there a component is one group whatever its size.
     """
-    start = _start(regions, edges)
-    rounds, last = _strict(start, o, at_once)
+    edges = written(numbered_edges(edges), "rag")
+    if not reducible(o) or edges.count() <= at_once:
+        return _by_component(with_ranks(regions), edges, o)
+    rounds, last = _strict(_start(regions, edges), o, at_once)
     return _through(rounds.roots, last)
 
 
