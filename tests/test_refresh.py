@@ -3,6 +3,8 @@
 import os
 import random
 
+import pytest
+
 from voxelith.grid import AXES, Grid
 from voxelith.operators import refresh, working
 
@@ -144,3 +146,12 @@ def test_refinement_equals_the_unstored_one(spark):
     assert got.next_free == want.next_free
     assert {r["label"] for r in got.members.collect()} == {r["label"] for r in want.members.collect()}
     assert refresh.refine_at(store, frame(spark, [(*k, 0) for k in cells]), (1, 1, 1), got) is got
+
+
+def test_a_new_label_may_not_be_a_group(spark):
+    store = refresh.create(frame(spark, [(x, 0, 0, x + 1) for x in range(4)]), Grid(4, 1, 1), 2)
+    w = refresh.graph(store)
+    w = working.merge(w, w.edges.filter("edge_id = 3"))  # 3 and 4 become group 5
+    with pytest.raises(ValueError):
+        refresh.refresh(store, frame(spark, [(0, 0, 0, 5)]), w)
+    assert sorted(r["label"] for r in store.voxels().collect()) == [1, 2, 3, 4]

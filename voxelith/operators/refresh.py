@@ -131,7 +131,8 @@ def refresh(store: Blocks, changes: DataFrame, w: Working, also: DataFrame | Non
     lost voxels are summed anew from parts; other edges and their status stay as they are.
     A pair keeps its number, new pairs are numbered on in the order of (lo, hi).  Groups of
     labels that lost voxels, of their neighbours and of the labels in ``also`` fall back to
-    their initial labels; labels without voxels vanish, new ones are groups of their own.
+    their initial labels; labels without voxels vanish, new ones are groups of their own
+    (a new label that is the id of a group is an error: use ``next_free`` and above).
 
     Of several changes of a voxel the greatest label counts; changes with a null, or of a
     voxel that the volume has no row for, do nothing.  New rows and the new graph are whole
@@ -201,6 +202,9 @@ def _carried(store: Blocks, parts: DataFrame, w: Working, lost: DataFrame, touch
     status = edges.select("edge_id").join(still, "edge_id", "left").select("edge_id", F.coalesce("status", F.lit(0)).alias("status"))
 
     sizes = parts.filter(F.col("neighbour").isNull() & ~F.col("label").isin(*store.ignored)).join(touched, "label", "left_semi").select("label").distinct()
+    fresh_labels = sizes.join(w.members, "label", "left_anti")
+    if not fresh_labels.join(w.members.select(F.col("working").alias("label")), "label", "left_semi").isEmpty():
+        raise ValueError("a new label is the id of a group")
     rest = w.members.join(touched, "label", "left_anti")
     members = rest.select("label", "working").unionByName(sizes.join(w.members, "label", "left").select("label", F.coalesce("working", "label").alias("working")))
     free = max(w.next_free, (sizes.agg(F.max("label").alias("m")).first()["m"] or 0) + 1)

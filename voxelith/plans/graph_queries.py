@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid, grid_of, voxels
-from ..operators import agglomeration, components, neighbours, statistics, working
+from ..operators import agglomeration, components, neighbours, refresh, statistics, working
 from ..lineage import written
 from ..operators.graph import connected
 from ..query import query
@@ -435,6 +435,18 @@ def g15_groups(spark: SparkSession, d: str) -> DataFrame:
     return _least(after.members.filter(F.col("label") < w.next_free))
 
 
+@query("g13_groups_after_insertion", "label least", MERGED.format(k=7) + """, lost AS (SELECT DISTINCT label FROM vox WHERE other = 3 AND x < 6 AND label <> 0),
+  hit AS (SELECT label FROM lost UNION SELECT hi FROM edges JOIN lost ON lo = label UNION SELECT lo FROM edges JOIN lost ON hi = label), fg AS (SELECT DISTINCT working FROM mem JOIN hit USING (label)),
+  st AS (SELECT DISTINCT label FROM vox WHERE label <> 0 AND NOT (other = 3 AND x < 6)) || SELECT label, CASE WHEN working IN (SELECT working FROM fg) THEN label ELSE min(label) OVER (PARTITION BY working) END AS least FROM st JOIN mem USING (label)""")
+def g13_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of labels that lost voxels, and of their neighbours, fall apart; the new label is left out."""
+    vox = voxels(spark, d)
+    store = refresh.create(vox, grid_of(vox), 16)
+    w = refresh.graph(store)
+    w = working.merge(w, w.edges.filter("edge_id % 7 = 0"))
+    return _least(refresh.insert(store, vox.filter("other = 3 and x < 6"), w).members.filter(F.col("label") < w.next_free))
+
+
 @query("g16_insert_label", "label n", "t AS (SELECT max(label) + 1 AS top FROM vox) || SELECT CASE WHEN other = 3 AND x < 6 THEN top ELSE label END AS label, count(*) AS n FROM vox, t GROUP BY 1")
 def g16(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)

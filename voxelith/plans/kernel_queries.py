@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid, grid_of, voxels
 from ..lineage import written
-from ..operators import components, distance, fronts, neighbours, projections, splits, statistics, working
+from ..operators import components, distance, fronts, neighbours, projections, refresh, splits, statistics, working
 from ..query import query
 from . import workflow
 
@@ -189,13 +189,37 @@ def g09(spark: SparkSession, d: str) -> DataFrame:
     return splits.geodesic_sides(own, own.filter("x = 0"), own.filter(F.col("x") == grid_of(vox).dimx - 1))
 
 
-@query("g13_refreshed_neighbours", "label neighbour n", "v2 AS (SELECT x, y, z, CASE WHEN other = 3 AND x < 6 THEN 500 ELSE label END AS label FROM vox), f2 AS (" + " UNION ALL ".join(f"SELECT a.x, a.y, a.z, a.label AS la, b.label AS lb, b.x AS x2, b.y AS y2, b.z AS z2 FROM v2 a JOIN v2 b ON b.x = a.x + {i} AND b.y = a.y + {j} AND b.z = a.z + {k}" for i, j, k in ((1, 0, 0), (0, 1, 0), (0, 0, 1))) + "), s2 AS (SELECT la AS label, lb AS neighbour, x, y, z FROM f2 WHERE la <> lb AND la <> 0 AND lb <> 0 UNION SELECT lb, la, x2, y2, z2 FROM f2 WHERE la <> lb AND la <> 0 AND lb <> 0) || SELECT label, neighbour, count(*) AS n FROM s2 GROUP BY 1, 2")
+#: Voxels of ``other`` 3 below x = 6 become label 500; s2 are the sides after it.
+REPAINTED = (
+    "v2 AS (SELECT x, y, z, CASE WHEN other = 3 AND x < 6 THEN 500 ELSE label END AS label FROM vox), f2 AS (" + " UNION ALL ".join(f"SELECT a.x, a.y, a.z, a.label AS la, b.label AS lb, b.x AS x2, b.y AS y2, b.z AS z2 FROM v2 a JOIN v2 b ON b.x = a.x + {i} AND b.y = a.y + {j} AND b.z = a.z + {k}" for i, j, k in ((1, 0, 0), (0, 1, 0), (0, 0, 1))) + "), s2 AS (SELECT la AS label, lb AS neighbour, x, y, z FROM f2 WHERE la <> lb AND la <> 0 AND lb <> 0 UNION SELECT lb, la, x2, y2, z2 FROM f2 WHERE la <> lb AND la <> 0 AND lb <> 0)"
+)
+
+
+@query("g13_refreshed_neighbours", "label neighbour n", REPAINTED + " || SELECT label, neighbour, count(*) AS n FROM s2 GROUP BY 1, 2")
 def g13(spark: SparkSession, d: str) -> DataFrame:
     vox = voxels(spark, d)
     new = projections.paint(vox, vox.filter("other = 3 and x < 6"), 500, 0)
     return neighbours.one_sided(new, grid_of(vox)).groupBy("label", "neighbour").agg(F.count("*").alias("n"))
 
 
+def _repainted(spark: SparkSession, d: str) -> tuple[refresh.Blocks, working.Working]:
+    vox = voxels(spark, d)
+    store = refresh.create(vox, grid_of(vox), 16)
+    changes = vox.filter("other = 3 and x < 6").select(*AXES, F.lit(500).cast("long").alias("label"))
+    return store, refresh.refresh(store, changes, refresh.graph(store))
+
+
+@query("g13_stored_sides", "label neighbour n", REPAINTED + " || SELECT label, neighbour, count(*) AS n FROM s2 GROUP BY 1, 2")
+def g13_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Sides of a volume kept by block, after an edit that reads and writes the blocks it reaches."""
+    return refresh.sides(_repainted(spark, d)[0])
+
+
+@query("g13_stored_edges", "lo hi voxels", REPAINTED + " || SELECT least(label, neighbour) AS lo, greatest(label, neighbour) AS hi, count(*) AS voxels FROM s2 GROUP BY 1, 2")
+def g13_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _repainted(spark, d)[1].edges
+
+
 def _object(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Grid]:
     vox = voxels(spark, d)
     g, solid = grid_of(vox), vox.select(*AXES, F.lit(1).alias("label"))
