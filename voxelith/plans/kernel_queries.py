@@ -141,9 +141,11 @@ def m11(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("m10_automatic_edge", "voxels edge", "n AS (SELECT unnest([1000000, 135340944, 1000000000, 10000000000]) AS voxels) || SELECT voxels, least(256, greatest(128, 32 * floor(round(cbrt(voxels / 32.0), 9) / 32))) AS edge FROM n")
+@query("m10_automatic_edge", "voxels edge", "n AS (SELECT count(*) * f * f * f AS voxels FROM vox, (SELECT unnest([1, 16, 64, 128]) AS f) q GROUP BY f) || SELECT voxels, least(256, greatest(128, 32 * floor(round(cbrt(voxels / 32.0), 9) / 32))) AS edge FROM n")
 def m10(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, distance.automatic_edge(n, 16)) for n in (1_000_000, 135_340_944, 1_000_000_000, 10_000_000_000)], "voxels long, edge long")
+    """Block edges for the volume as it is and at finer resolutions."""
+    n = voxels(spark, d).count()
+    return spark.createDataFrame([(n * f**3, distance.automatic_edge(n * f**3, 16)) for f in (1, 16, 64, 128)], "voxels long, edge long")
 
 
 @query("m12_workflow", "label n")

@@ -76,10 +76,12 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return datasets.read_features(spark, _dataset(spark, d, False))
 
 
-@query("s11_empty_dataset", "entries features labels", "SELECT 0 AS entries, 2 AS features, 1 AS labels")
+@query("s11_empty_dataset", "entries features labels", "SELECT 0 AS entries, count(DISTINCT event_type) AS features, 1 AS labels FROM events")
 def s11(spark: SparkSession, d: str) -> DataFrame:
+    """A data set whose features are the types of events, before it has rows."""
+    kinds = [r[0] for r in spark.read.parquet(f"{d}/events.parquet").filter("event_type is not null").select("event_type").distinct().sort("event_type").collect()]
     path = shared_path(spark, "empty")
-    datasets.write_empty_dataset(spark, path, ["gap", "rest"])
+    datasets.write_empty_dataset(spark, path, kinds)
     head = datasets.read_header(spark, path)
     return spark.createDataFrame([(head["entries"] + datasets.read_features(spark, path).count(), head["features"], int(head["labels"]))], "entries long, features int, labels int")
 

@@ -66,24 +66,36 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", names.stem(F.col("path")).alias("stem"), names.sanitized(names.first_filled(F.lit(" "), F.col("p_name"))).alias("clean"), names.numbered(F.col("p_name"), k).alias("numbered"))
 
 
-@query("s20_checkerboard", "x y z label mask; boundary", "g AS (SELECT CAST(i AS BIGINT) AS i FROM range(4096) t(i)) || SELECT i % 16 AS x, (i // 16) % 16 AS y, i // 256 AS z, i + 1 AS label, CASE WHEN (i // 1024) % 4 = 3 THEN 1 ELSE 0 END AS mask, CAST((i % 16 + (i // 16) % 16 + i // 256) % 2 AS DOUBLE) AS boundary FROM g")
+#: Numbers i of the voxels of the least cube, n on an edge, that holds as many as the volume.
+CUBE = "e AS (SELECT CAST(ceil(round(cbrt(count(*)), 9)) AS BIGINT) AS n FROM vox), c AS (SELECT n, unnest(range(n * n * n)) AS i FROM e), g AS (SELECT n, i, i % n AS x, (i // n) % n AS y, i // (n * n) AS z FROM c)"
+
+
+def _cube(spark: SparkSession, d: str) -> int:
+    voxels_ = voxels(spark, d).count()
+    n = max(round(voxels_ ** (1 / 3)) - 1, 0)
+    while n**3 < voxels_:
+        n += 1
+    return n
+
+
+@query("s20_checkerboard", "x y z label mask; boundary", CUBE + " || SELECT x, y, z, i + 1 AS label, CASE WHEN (z // 4) % 4 = 3 THEN 1 ELSE 0 END AS mask, CAST((x + y + z) % 2 AS DOUBLE) AS boundary FROM g")
 def s20(spark: SparkSession, d: str) -> DataFrame:
-    return volumes.checkerboard(spark, 16)
+    return volumes.checkerboard(spark, _cube(spark, d))
 
 
-@query("s20_shells", "mask n", "g AS (SELECT i % 24 - 11.5 AS x, (i // 24) % 24 - 11.5 AS y, i // 576 - 11.5 AS z FROM range(13824) t(i)) || SELECT CASE WHEN floor(sqrt(x * x + y * y + z * z)) % 8 = 0 THEN 1 ELSE 0 END AS mask, count(*) AS n FROM g GROUP BY 1")
+@query("s20_shells", "mask n", CUBE + ", r AS (SELECT x - (n - 1) / 2.0::DOUBLE AS x, y - (n - 1) / 2.0::DOUBLE AS y, z - (n - 1) / 2.0::DOUBLE AS z FROM g) || SELECT CASE WHEN floor(sqrt(x * x + y * y + z * z)) % 8 = 0 THEN 1 ELSE 0 END AS mask, count(*) AS n FROM r GROUP BY 1")
 def s20_shells(spark: SparkSession, d: str) -> DataFrame:
-    return volumes.shells(spark, 24).groupBy("mask").agg(F.count("*").alias("n"))
+    return volumes.shells(spark, _cube(spark, d)).groupBy("mask").agg(F.count("*").alias("n"))
 
 
-@query("s20_spheres", "mask n", "g AS (SELECT (i % 32) % 16 - 7.5 AS x, ((i // 32) % 32) % 16 - 7.5 AS y, (i // 1024) % 16 - 7.5 AS z FROM range(32768) t(i)) || SELECT CASE WHEN x * x + y * y + z * z >= 64 THEN 1 ELSE 0 END AS mask, count(*) AS n FROM g GROUP BY 1")
+@query("s20_spheres", "mask n", CUBE + ", r AS (SELECT x % 16 - 7.5 AS x, y % 16 - 7.5 AS y, z % 16 - 7.5 AS z FROM g) || SELECT CASE WHEN x * x + y * y + z * z >= 64 THEN 1 ELSE 0 END AS mask, count(*) AS n FROM r GROUP BY 1")
 def s20_spheres(spark: SparkSession, d: str) -> DataFrame:
-    return volumes.spheres(spark, 32).groupBy("mask").agg(F.count("*").alias("n"))
+    return volumes.spheres(spark, _cube(spark, d)).groupBy("mask").agg(F.count("*").alias("n"))
 
 
 @query("s20_sparse_sites", "mask n")
 def s20_sites(spark: SparkSession, d: str) -> DataFrame:
-    return volumes.sparse_sites(spark, 32).groupBy("mask").agg(F.count("*").alias("n"))
+    return volumes.sparse_sites(spark, _cube(spark, d)).groupBy("mask").agg(F.count("*").alias("n"))
 
 
 @query("p01_threshold", "x y z above", "SELECT x, y, z, CASE WHEN boundary >= 0.25 THEN 1 ELSE 0 END AS above FROM vox")
