@@ -298,22 +298,28 @@ def blockwise_watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers:
         raise ValueError("blocks need a halo")
     r = vox.agg(F.min(cost).alias("lo"), F.max(cost).alias("hi")).first()
     low, high = float(r["lo"]), float(r["hi"])
-    state = written(vox.select(*AXES, F.col(cost).cast("double").alias("_c"), F.col(markers).cast("long").alias("_m")), "flood")
+    start = written(vox.select(*AXES, F.col(cost).cast("double").alias("_c"), F.col(markers).cast("long").alias("_m")), "flood")
+    own = F.pmod(sum((F.floor(F.col(a) / edge) for a in AXES), F.lit(0)), F.lit(2))
     colour = F.pmod(F.col("bx") + F.col("by") + F.col("bz"), F.lit(2))
-    left = None
-    while True:
-        for now in (0, 1):
+    # a table for the blocks of each colour: a half round shuffles and writes those of its own
+    halves, left = [start.filter(own == 0), start.filter(own == 1)], None
 
-            def kernel(table: pa.Table) -> pa.Table:
-                b = Block(table, {"_c": 0.0, "_m": 0, "turn": False})
-                out = b["_m"]
-                if b["turn"][b.own].any() and (out != 0).any() and (out[b.own] == 0).any():
-                    out = flood(quantized(b["_c"], low, high), out, b.present, connectivity)
-                return b.rows(b.own, _c=b["_c"], _m=out)
+    def kernel(table: pa.Table) -> pa.Table:
+        b = Block(table, {"_c": 0.0, "_m": 0})
+        out = b["_m"]
+        if (out != 0).any() and (out[b.own] == 0).any():
+            out = flood(quantized(b["_c"], low, high), out, b.present, connectivity)
+        return b.rows(b.own, _c=b["_c"], _m=out)
 
-            seen = with_blocks(state, grid, edge, halo).withColumn("turn", colour == now)
-            old, state = state, written(seen.groupBy("bx", "by", "bz").applyInArrow(_typed(kernel), "x int, y int, z int, _c double, _m long"), "flood")
-            discard(old)
+    while True:
+        for now in (0, 1):
+            seen = with_blocks(halves[0].unionByName(halves[1]), grid, edge, halo).filter(colour == now)
+            old, halves[now] = halves[now], written(seen.groupBy("bx", "by", "bz").applyInArrow(_typed(kernel), "x int, y int, z int, _c double, _m long"), "flood")
+            if left is not None:
+                discard(old)
+            elif now == 1:
+                discard(start)
+        state = halves[0].unionByName(halves[1])
         open_ = state.filter("_m = 0").count()
         if open_ == 0 or open_ == left:
             break
