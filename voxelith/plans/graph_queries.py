@@ -549,7 +549,15 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return statistics.label_counts(working.merge_until(vox, grid_of(vox), 100))
 
 
-@query("g23_apply_partition", "label working")
+@query("g23_apply_partition", "label working", MERGED.format(k=3) + f""", grp AS (SELECT working AS w FROM mem GROUP BY working ORDER BY count(*) DESC, working LIMIT 1),
+  pv AS (SELECT {SCAN} AS i, label, CASE WHEN x >= 12 THEN 1 ELSE 0 END AS part FROM vox JOIN mem USING (label) WHERE working = (SELECT w FROM grp)),
+  pa AS (SELECT x + 25 * y + 500 * z AS a, x2 + 25 * y2 + 500 * z2 AS b FROM faces WHERE la = lb AND la <> 0 AND (x >= 12) = (x2 >= 12)), pb AS (SELECT a, b FROM pa UNION ALL SELECT b, a FROM pa),
+  pr(root, i) AS (SELECT i, i FROM pv UNION SELECT pr.root, pb.b FROM pr JOIN pb ON pb.a = pr.i), pc AS (SELECT i, min(root) AS c FROM pr GROUP BY i),
+  pe AS (SELECT label, part, c, count(*) AS n FROM pv JOIN pc USING (i) GROUP BY label, part, c), po AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, c) AS r FROM pe),
+  nf AS (SELECT top + (SELECT count(*) FROM big) AS free FROM m), pf AS (SELECT label, c, row_number() OVER (ORDER BY label, c) - 1 + free AS nw FROM po, nf WHERE r > 1),
+  ps AS (SELECT part, sum(n) AS n FROM po GROUP BY part), kp AS (SELECT part FROM ps ORDER BY n DESC, part LIMIT 1),
+  ot AS (SELECT part, row_number() OVER (ORDER BY part) - 1 + free + (SELECT count(*) FROM pf) AS g FROM ps, nf WHERE part <> (SELECT part FROM kp))
+  || SELECT coalesce(nw, po.label) AS label, coalesce(g, (SELECT w FROM grp)) AS working FROM po LEFT JOIN pf ON pf.label = po.label AND pf.c = po.c LEFT JOIN ot ON ot.part = po.part UNION ALL SELECT label, working FROM mem WHERE working <> (SELECT w FROM grp)""")
 def g23(spark: SparkSession, d: str) -> DataFrame:
     vox, w = _merged(spark, d, 3)
     group = w.members.groupBy("working").count().orderBy(F.desc("count"), "working").first()["working"]
