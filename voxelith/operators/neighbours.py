@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, shifted, with_blocks
+from ..lineage import written
 
 
 def faces(vox: DataFrame, grid: Grid, columns: Iterable[str] = ("label",), edge: int = 64) -> DataFrame:
@@ -58,9 +59,13 @@ def two_sided(sides: DataFrame) -> DataFrame:
 
 
 def ranked(edges: DataFrame, *by: str) -> DataFrame:
-    """Dense ids in the order of ``by`` by range partitions, without gathering the rows in one task."""
+    """Dense ids in the order of ``by`` by range partitions, without gathering the rows in one task.
+
+    The dealt rows are written: bounds of ranges come from a sample, and a second reading with
+    other bounds would count other rows than it numbers.
+    """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = edges.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id())
+    at = written(edges.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()), "ranked")
     local = at.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row a partition
