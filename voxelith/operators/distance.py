@@ -17,7 +17,7 @@ from .components import components
 from .neighbours import boundary_background, local_maxima
 
 FAR = 1e20
-LEVELS = 65535
+LEVELS = fronts.LEVELS
 
 
 def lower_envelopes(f: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -255,28 +255,22 @@ def flood(cost: np.ndarray, markers: np.ndarray, domain: np.ndarray, connectivit
     return label.reshape(shape)[inner]
 
 
-def watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "seed", connectivity: int = 6, mode: str = "arrival", compactness: float = 0.05, edge: int = 64) -> DataFrame:
+def watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "seed", connectivity: int = 6, mode: str = "arrival", compactness: float = 0.05, edge: int | None = None, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """x, y, z, label: exact flood of a volume of any size; where no marker comes the label is 0.
 
-    ``geodesic`` and ``arrival`` run in blocks that come to the flood of the whole (see
-    ``fronts``).  What arrives at one level after as many steps on it goes to the lower label;
-    a queue would decide that by its own order of voxels.  ``compact`` has no key that a block
-    could tell another (a voxel's turn depends on all maxima behind it), so there the rows are
-    one group: for crops and single objects.
+    It runs in blocks that come to the flood of the whole (see ``fronts``).  What arrives at one
+    level after as many steps on it goes to the lower label; a queue would decide that by its
+    own order of voxels.  ``compact`` measures distances in the diagonal of ``shape`` (x, y, z;
+    by default that of the bounding box); chains cost more than keys, so its blocks are smaller.
     """
-    if mode != "compact":
-        r = vox.agg(F.min(F.col(cost).cast("double")).alias("lo"), F.max(F.col(cost).cast("double")).alias("hi")).first()
-        flooded = fronts.flood(vox.select(*AXES, levels(F.col(cost).cast("double"), r["lo"], r["hi"]).alias("level"), F.col(markers).cast("long").alias("marker")), grid, mode, connectivity, edge)
-        return flooded.select(*AXES, "label")
-
-    def run(table: pa.Table) -> pa.Table:
-        b = Block(table, {"_c": 0.0, "_m": 0})
-        values = b["_c"][b.present]
-        level = quantized(b["_c"], values.min(), values.max())
-        return b.rows(b.own, label=flood(level, b["_m"], b.present, connectivity, mode, compactness))
-
-    rows = vox.select(*AXES, F.col(cost).cast("double").alias("_c"), F.col(markers).cast("long").alias("_m"), F.lit(True).alias("own"))
-    return rows.groupBy(F.lit(0).alias("volume")).applyInArrow(run, "x int, y int, z int, label long")
+    edge = edge or (32 if mode == "compact" else 64)
+    c = F.col(cost).cast("double")
+    box = [f(a).alias(f"{f.__name__}{a}") for a in AXES for f in (F.min, F.max)]
+    r = vox.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), *box).first()
+    shape = shape or tuple((r[f"max{a}"] or 0) - (r[f"min{a}"] or 0) + 1 for a in AXES)
+    scale = compactness / max(1.0, float(np.sqrt(sum(n * n for n in shape))))
+    flooded = fronts.flood(vox.select(*AXES, levels(c, r["lo"], r["hi"]).alias("level"), F.col(markers).cast("long").alias("marker")), grid, mode, connectivity, edge, scale)
+    return flooded.select(*AXES, "label")
 
 
 def automatic_edge(voxels: int, threads: int) -> int:

@@ -6,6 +6,13 @@ marker has key (0, 0, label), and a voxel the least of what its neighbours hand
     geodesic: (max(level, own level), steps + 1, label)
     arrival:  (own level, 0, label) where the flood has to rise, else (level, steps + 1, label)
 
+A compact flood takes the least of the offers (level / LEVELS + scale * distance to the source
+seed, label, source, place) that lie open, which may be less than one taken before.  There a
+key is the chain of offers on the way that exceed all later ones, compared from the first (a
+beginning is less than what it begins): of two offers the one behind the lower highest offer
+is taken first; if that is the same, what comes behind it decides, in the same way.  Handing
+on drops the offers at the chain's end that are less than the new one, and adds that.
+
 Handing on makes keys greater, so with n's key final before j's is taken the equations
 key(j) = least handed-on key of j's neighbours have one solution.  Blocks solve their own
 equations, with the keys of the voxels around them as those blocks last told them, again
@@ -26,7 +33,9 @@ blocks' faces, and only blocks that were told something new work.
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Iterable
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +47,18 @@ from ..grid import AXES, Grid, stencil
 from ..lineage import discard, written
 
 RULES = ("geodesic", "arrival")
+LEVELS = 65535
 _BLOCK = ["bx", "by", "bz"]
 _KEY = "level int, steps long, label long"
+_CHAIN = "chain binary, label long"
+
+
+def extents(dims: tuple[int, int, int], edge: int) -> tuple[int, int, int]:
+    """Sizes of a block: cubes of ``edge``; where a volume is thinner, as many voxels along its other axes."""
+    out = [min(edge, n) for n in dims]
+    for k in sorted(range(3), key=lambda k: dims[k]):
+        out[k] = max(1, min(dims[k], max(out[k], edge**3 * out[k] // max(1, out[0] * out[1] * out[2]))))
+    return tuple(out)
 
 
 def settle(level: np.ndarray, sources: Iterable[tuple[int, int, int, int]], connectivity: int = 6, rule: str = "geodesic") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +122,53 @@ def settle(level: np.ndarray, sources: Iterable[tuple[int, int, int, int]], conn
     return high[inner], steps[inner], label[inner]
 
 
+def settle_chains(level: np.ndarray, sources: Iterable[tuple[int, tuple]], low: Iterable[int], dims: tuple[int, int, int], scale: float, connectivity: int = 6) -> dict[int, tuple]:
+    """Chain of each reached place (flat index) of an array of levels whose first voxel is ``low`` (x, y, z).
+
+    ``level``: -1 outside the domain; ``sources``: (flat index, chain), they keep their chains.
+    A chain is one flat tuple of offers.
+    """
+    lx, ly, lz = low
+    nz, ny, nx = (n + 2 for n in level.shape)
+    c = np.full((nz, ny, nx), -1, np.int64)
+    c[1:-1, 1:-1, 1:-1] = level
+    step = [(dz * ny * nx + dy * nx + dx, dz, dy, dx) for dz, dy, dx in stencil(connectivity)]
+    cost, done, heap, out = c.ravel().tolist(), bytearray(c.size), [], {}
+    row, layer = dims[0], dims[0] * dims[1]
+    for i, chain in sources:
+        z, rest = divmod(i, level.shape[1] * level.shape[2])
+        y, x = divmod(rest, level.shape[2])
+        at = ((z + 1) * ny + y + 1) * nx + x + 1
+        cost[at] = -1  # nothing is handed to a source
+        heap.append((chain, at))
+    heapq.heapify(heap)
+    while heap:
+        chain, at = heapq.heappop(heap)
+        if done[at]:
+            continue
+        done[at] = 1
+        z, rest = divmod(at, ny * nx)
+        y, x = divmod(rest, nx)
+        out[((z - 1) * level.shape[1] + y - 1) * level.shape[2] + x - 1] = chain
+        z, y, x = z + lz - 1, y + ly - 1, x + lx - 1
+        label, source = chain[-3], chain[-2]
+        sz, rest = divmod(source, layer)
+        sy, sx = divmod(rest, row)
+        for s, dz, dy, dx in step:
+            j = at + s
+            if cost[j] < 0 or done[j]:
+                continue
+            jz, jy, jx = z + dz, y + dy, x + dx
+            offer = (cost[j] / LEVELS + scale * sqrt((jz - sz) ** 2 + (jy - sy) ** 2 + (jx - sx) ** 2), label, source, jx + jy * row + jz * layer)
+            n = len(chain)
+            while n and chain[n - 4 : n] < offer:
+                n -= 4
+            if n and chain[n - 4 : n] == offer:
+                continue  # the way has been here: what is told comes from this block's own old chains
+            heapq.heappush(heap, (chain[:n] + offer, j))
+    return out
+
+
 def _side(d: int) -> slice:
     return {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}[d]
 
@@ -110,30 +176,54 @@ def _side(d: int) -> slice:
 class Front:
     """What a block knows, and what it tells its neighbours."""
 
-    def __init__(self, block: pa.Table, edge: int, dims: tuple[int, int, int], connectivity: int, rule: str):
+    def __init__(self, block: pa.Table, edges: tuple[int, int, int], dims: tuple[int, int, int], connectivity: int, rule: str, scale: float = 0.0):
         row = {k: block.column(k)[0].as_py() for k in block.column_names}
         self.b = tuple(row[k] for k in _BLOCK)
-        self.low = [k * edge for k in self.b]
-        shape = tuple(min(edge, n - lo) for n, lo in zip(reversed(dims), reversed(self.low), strict=True))
+        self.low = [k * e for k, e in zip(self.b, edges, strict=True)]
+        shape = tuple(min(e, n - lo) for e, n, lo in zip(reversed(edges), reversed(dims), reversed(self.low), strict=True))
         # the ring around stays out of the domain: keys there are given
         self.level = np.full(tuple(n + 2 for n in shape), -1, np.int64)
         self.level[1:-1, 1:-1, 1:-1] = np.frombuffer(row["levels"], np.int32).reshape(shape)
         at = np.array(np.unravel_index(np.frombuffer(row["places"], np.int32), shape)) + 1
         flat = np.ravel_multi_index(tuple(at), self.level.shape)
         self.markers = [(int(i), 0, 0, int(v)) for i, v in zip(flat, np.frombuffer(row["labels"], np.int64), strict=True)]
-        self.connectivity, self.rule = connectivity, rule
+        self.connectivity, self.rule, self.dims, self.scale = connectivity, rule, dims, scale
 
     def settled(self, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the block's own voxels; ``told``: x, y, z, level, steps, label around it."""
         x, y, z = (np.asarray(told.column(a)).astype(np.int64) - lo + 1 for a, lo in zip(AXES, self.low, strict=True))
         around = np.ravel_multi_index((z, y, x), self.level.shape) if len(x) else np.zeros(0, np.int64)
+        if self.rule == "compact":
+            return self.chained(around.tolist(), told.column("chain").to_pylist())
         sources = [*self.markers, *zip(around.tolist(), *(told.column(k).to_pylist() for k in ("level", "steps", "label")), strict=True)]
         inner = (slice(1, -1),) * 3
         return tuple(a[inner] for a in settle(self.level, sources, self.connectivity, self.rule))
 
+    def chained(self, around: list[int], told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(0 where reached, else -1; chains; labels)."""
+        (dx, dy, _), low, shape = self.dims, [lo - 1 for lo in self.low], self.level.shape
+        at = np.unravel_index([m[0] for m in self.markers], shape) if self.markers else ((), (), ())
+        scan = [int(x + low[0] + (y + low[1]) * dx + (z + low[2]) * dx * dy) for z, y, x in zip(*at, strict=True)]
+        sources = [(m[0], (0.0, m[3], i, i)) for m, i in zip(self.markers, scan, strict=True)]
+        sources += [(i, struct.unpack("<" + "dqqq" * (len(t) // 32), t)) for i, t in zip(around, told, strict=True)]
+        found = settle_chains(self.level, sources, low, self.dims, self.scale, self.connectivity)
+        reached, chains, labels = np.full(shape, -1, np.int64), np.full(shape, None, object), np.zeros(shape, np.int64)
+        flat = chains.ravel()
+        for i, chain in found.items():
+            flat[i] = chain
+        if found:
+            at = np.fromiter(found.keys(), np.int64, len(found))
+            reached.ravel()[at], labels.ravel()[at] = 0, [chain[-3] for chain in found.values()]
+        inner = (slice(1, -1),) * 3
+        return reached[inner], chains[inner], labels[inner]
+
     def rows(self, where: np.ndarray, keys: tuple[np.ndarray, ...], start: tuple[int, int, int] = (0, 0, 0)) -> dict[str, np.ndarray]:
         z, y, x = np.nonzero(where)
         out = {a: (c + s + lo).astype(np.int32) for a, c, s, lo in zip(AXES, (x, y, z), reversed(start), self.low, strict=True)}
+        if self.rule == "compact":
+            packed = np.empty(len(z), object)
+            packed[:] = [c if c is None else struct.pack("<" + "dqqq" * (len(c) // 4), *c) for c in keys[1][z, y, x]]
+            return out | {"chain": packed, "label": keys[2][z, y, x]}
         return out | {"level": keys[0][z, y, x].astype(np.int32), "steps": keys[1][z, y, x], "label": keys[2][z, y, x]}
 
     def tells(self, keys: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
@@ -149,14 +239,15 @@ class Front:
         return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
-def _blocks(vox: DataFrame, grid: Grid, edge: int) -> DataFrame:
+def _blocks(vox: DataFrame, grid: Grid, edges: tuple[int, int, int]) -> DataFrame:
     """One row a block: bx, by, bz, levels (int32, z y x order, -1: no voxel), places and labels of markers."""
     dims = grid.dims
 
     def run(table: pa.Table) -> pa.Table:
         b = [table.column(k)[0].as_py() for k in _BLOCK]
-        shape = tuple(min(edge, n - k * edge) for n, k in zip(reversed(dims), reversed(b), strict=True))
-        at = np.ravel_multi_index(tuple(np.asarray(table.column(a)).astype(np.int64) - k * edge for a, k in zip("zyx", reversed(b), strict=True)), shape)
+        low = [k * e for k, e in zip(b, edges, strict=True)]
+        shape = tuple(min(e, n - lo) for e, n, lo in zip(reversed(edges), reversed(dims), reversed(low), strict=True))
+        at = np.ravel_multi_index(tuple(np.asarray(table.column(a)).astype(np.int64) - lo for a, lo in zip("zyx", reversed(low), strict=True)), shape)
         levels = np.full(int(np.prod(shape)), -1, np.int32)
         levels[at] = np.asarray(table.column("level"))
         marks = np.asarray(table.column("marker"))
@@ -164,56 +255,64 @@ def _blocks(vox: DataFrame, grid: Grid, edge: int) -> DataFrame:
         columns = [pa.array([levels.tobytes()], pa.binary()), pa.array([at[some].astype(np.int32).tobytes()], pa.binary()), pa.array([marks[some].astype(np.int64).tobytes()], pa.binary())]
         return pa.table([*(pa.array([k], pa.int32()) for k in b), *columns], names=[*_BLOCK, "levels", "places", "labels"])
 
-    cut = vox.select(*AXES, F.col("level").cast("int").alias("level"), F.col("marker").cast("long").alias("marker"), *(F.floor(F.col(a) / edge).cast("int").alias(f"b{a}") for a in AXES))
+    cut = vox.select(*AXES, F.col("level").cast("int").alias("level"), F.col("marker").cast("long").alias("marker"), *(F.floor(F.col(a) / e).cast("int").alias(f"b{a}") for a, e in zip(AXES, edges, strict=True)))
     return cut.groupBy(*_BLOCK).applyInArrow(run, "bx int, by int, bz int, levels binary, places binary, labels binary")
 
 
-def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int = 6, edge: int = 64) -> DataFrame:
+def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int = 6, edge: int = 64, scale: float = 0.0) -> DataFrame:
     """x, y, z, level, steps, label of all voxels of (x, y, z, level, marker); 0 and null where nothing came.
 
-    Voxels that are not in the table are no way.  A marker is a label other than 0.
+    Voxels that are not in the table are no way.  A marker is a label other than 0.  By the rule
+    ``compact`` (``scale``: what a unit of distance costs) there are no level and steps.
     """
-    if rule not in RULES:
+    if rule not in (*RULES, "compact"):
         raise ValueError(f"unknown rule {rule}")
-    dims, tells = grid.dims, [f"r{a}" for a in AXES]
-    blocks = written(_blocks(vox, grid, edge), "blocks")
-    columns = [*tells, *AXES, "level", "steps", "label"]
+    dims, tells, edges = grid.dims, [f"r{a}" for a in AXES], extents(grid.dims, edge)
+    blocks = written(_blocks(vox, grid, edges), "blocks")
+    kind = _CHAIN if rule == "compact" else _KEY
+    key = [k.split()[0] for k in kind.split(", ")]
+    fields = [(k, {"level": pa.int32(), "chain": pa.binary()}.get(k, pa.int64())) for k in key]
+    columns = [*tells, *AXES, *key]
 
     def work(block: pa.Table, said: pa.Table) -> pa.Table:
-        schema = pa.schema([*((k, pa.int32()) for k in (*_BLOCK, *tells, *AXES, "level")), ("steps", pa.int64()), ("label", pa.int64()), ("changed", pa.bool_())])
+        schema = pa.schema([*((k, pa.int32()) for k in (*_BLOCK, *tells, *AXES)), *fields, ("changed", pa.bool_())])
         if not block.num_rows:
             return schema.empty_table()
-        front = Front(block, edge, dims, connectivity, rule)
+        front = Front(block, edges, dims, connectivity, rule, scale)
         told, before = said.filter(said.column("told")), said.filter(pc.invert(said.column("told")))
         new = front.tells(front.settled(told))
-        old = dict(zip(zip(*(before.column(k).to_pylist() for k in (*tells, *AXES)), strict=True), zip(*(before.column(k).to_pylist() for k in ("level", "steps", "label")), strict=True), strict=True)) if before.num_rows else {}
-        at, keys = zip(*(new[k].tolist() for k in (*tells, *AXES)), strict=True), zip(*(new[k].tolist() for k in ("level", "steps", "label")), strict=True)
+        old = dict(zip(zip(*(before.column(k).to_pylist() for k in (*tells, *AXES)), strict=True), zip(*(before.column(k).to_pylist() for k in key), strict=True), strict=True)) if before.num_rows else {}
+        at, keys = zip(*(new[k].tolist() for k in (*tells, *AXES)), strict=True), zip(*(new[k].tolist() for k in key), strict=True)
         changed = [old.get(a) != k for a, k in zip(at, keys, strict=True)]
         n = len(changed)
-        return pa.table([*(pa.array([k] * n, pa.int32()) for k in front.b), *(pa.array(new[k]) for k in columns), pa.array(changed, pa.bool_())], schema=schema)
+        return pa.table([*(pa.array([k] * n, pa.int32()) for k in front.b), *(pa.array(new[k], schema.field(k).type) for k in columns), pa.array(changed, pa.bool_())], schema=schema)
 
     def last(block: pa.Table, said: pa.Table) -> pa.Table:
-        schema = pa.schema([*((k, pa.int32()) for k in (*AXES, "level")), ("steps", pa.int64()), ("label", pa.int64())])
+        schema = pa.schema([*((k, pa.int32()) for k in AXES), *(f for f in fields if f[0] != "chain")])
         if not block.num_rows:
             return schema.empty_table()
-        front = Front(block, edge, dims, connectivity, rule)
+        front = Front(block, edges, dims, connectivity, rule, scale)
         keys = front.settled(said)
-        rows = front.rows(front.level[1:-1, 1:-1, 1:-1] >= 0, keys)
+        inside = front.level[1:-1, 1:-1, 1:-1] >= 0
+        if rule == "compact":
+            z, y, x = np.nonzero(inside)
+            return pa.table([*(pa.array((c + lo).astype(np.int32)) for c, lo in zip((x, y, z), front.low, strict=True)), pa.array(keys[2][z, y, x])], schema=schema)
+        rows = front.rows(inside, keys)
         none = rows["level"] < 0
         return pa.table([*(pa.array(rows[a]) for a in AXES), pa.array(rows["level"], mask=none), pa.array(rows["steps"], mask=none), pa.array(np.where(none, 0, rows["label"]))], schema=schema)
 
     spark = vox.sparkSession
-    kinds = "bx int, by int, bz int, rx int, ry int, rz int, x int, y int, z int, " + _KEY
+    kinds = "bx int, by int, bz int, rx int, ry int, rz int, x int, y int, z int, " + kind
     said = written(spark.createDataFrame([], kinds), "said")
 
     def heard(said: DataFrame) -> DataFrame:
         """Rows by the block that hears them."""
-        return said.select(*(F.col(f"r{a}").alias(f"b{a}") for a in AXES), *AXES, "level", "steps", "label")
+        return said.select(*(F.col(f"r{a}").alias(f"b{a}") for a in AXES), *AXES, *key)
 
     turn = blocks.select(*_BLOCK)
     while True:
         none = (F.lit(None).cast("int").alias(t) for t in tells)
-        both = heard(said).select(*_BLOCK, *none, *AXES, "level", "steps", "label", F.lit(True).alias("told")).unionByName(said.withColumn("told", F.lit(False)))
+        both = heard(said).select(*_BLOCK, *none, *AXES, *key, F.lit(True).alias("told")).unionByName(said.withColumn("told", F.lit(False)))
         now = blocks.join(turn, _BLOCK, "left_semi").groupBy(*_BLOCK).cogroup(both.join(turn, _BLOCK, "left_semi").groupBy(*_BLOCK))
         new = written(now.applyInArrow(_two(work), kinds + ", changed boolean"), "told")
         dirty = written(new.filter("changed").select(*(F.col(f"r{a}").alias(f"b{a}") for a in AXES)).distinct().join(blocks.select(*_BLOCK), _BLOCK, "left_semi"), "turn")
@@ -223,7 +322,7 @@ def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int
         turn = dirty
         if turn.isEmpty():
             break
-    return blocks.groupBy(*_BLOCK).cogroup(heard(said).join(blocks.select(*_BLOCK), _BLOCK, "left_semi").groupBy(*_BLOCK)).applyInArrow(_two(last), f"x int, y int, z int, {_KEY}")
+    return blocks.groupBy(*_BLOCK).cogroup(heard(said).join(blocks.select(*_BLOCK), _BLOCK, "left_semi").groupBy(*_BLOCK)).applyInArrow(_two(last), "x int, y int, z int, " + kind.removeprefix("chain binary, "))
 
 
 def _two(run):
