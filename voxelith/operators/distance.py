@@ -53,19 +53,26 @@ def lower_envelopes(f: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Lines of a bundle along each of the two other axes, as a power of two.
+#: Lines of a bundle along each of the two other axes, as a power of two, at most.
 BUNDLE = 4
+#: Places of a bundle at most (a line at least), at about 100 bytes each.
+PLACES = 1 << 21
+
+
+def bundle(length: int) -> int:
+    """Lines of a bundle, as a power of two, along an axis of so many voxels."""
+    return next((k for k in range(BUNDLE, 0, -1) if length << 2 * k <= PLACES), 0)
 
 
 def squared_distance(vox: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
     """x, y, z, d2: exact squared distance to the nearest site (x, y, z), spacing-aware.
 
-    Three passes over the lines of an axis each; a bundle of 16 x 16 lines is the unit of
-    work, so no task needs a volume.  Without sites d2 is null.
+    Three passes over the lines of an axis each; a bundle of 16 x 16 lines (fewer where lines
+    are long) is the unit of work, so no task needs a volume.  Without sites d2 is null.
     """
     marked = vox.select(*AXES).join(sites.select(*AXES).distinct().withColumn("_s", F.lit(0.0)), list(AXES), "left")
     d = marked.select(*AXES, F.coalesce("_s", F.lit(FAR)).alias("d2"))
-    for a, s in zip(AXES, (grid.sx, grid.sy, grid.sz), strict=True):
+    for a, s, k in zip(AXES, (grid.sx, grid.sy, grid.sz), map(bundle, grid.dims), strict=True):
         b, c = (o for o in AXES if o != a)
 
         def run(table: pa.Table, a=a, b=b, c=c, s=s) -> pa.Table:
@@ -77,7 +84,7 @@ def squared_distance(vox: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
             out = lower_envelopes(f, at.astype(np.float64) * s)[line, i]
             return pa.table({**{o: table.column(o) for o in AXES}, "d2": pa.array(np.minimum(out, FAR))})
 
-        d = d.groupBy(F.shiftright(b, BUNDLE).alias("_b"), F.shiftright(c, BUNDLE).alias("_c")).applyInArrow(_typed(run), "x int, y int, z int, d2 double")
+        d = d.groupBy(F.shiftright(b, k).alias("_b"), F.shiftright(c, k).alias("_c")).applyInArrow(_typed(run), "x int, y int, z int, d2 double")
     return d.select(*AXES, F.when(F.col("d2") < FAR / 2, F.col("d2")).alias("d2"))
 
 
