@@ -77,3 +77,35 @@ def test_a_snake_through_all_blocks(spark):
     markers[0, 0, 0] = 5
     out = {(r["x"], r["y"]): (r["level"], r["steps"]) for r in fronts.flood(frame(spark, level, markers), Grid(12, 9, 1), edge=3).collect()}
     assert out[11, 8] == (3, int((level >= 0).sum()) - 2) and out[0, 1] == (9, 1)
+
+
+@pytest.mark.parametrize("rule", fronts.RULES)
+@pytest.mark.parametrize("connectivity", [6, 26])
+def test_whole_fronts_come_to_the_keys_in_order(rule, connectivity):
+    """With keys given from outside, some of whose steps are not known yet."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        level, markers = volume(seed, (5, 6, 7), (1, 4, 30, 60000)[seed % 4], 1 + seed % 6, (seed % 3) * 0.2)
+        sources = [(int(np.ravel_multi_index(p, level.shape)), int(rng.integers(0, 5)), int(rng.integers(0, 9)), int(v)) for p, v in np.ndenumerate(markers) if v]
+        sources[0] = (*sources[0][:2], *fronts.UNKNOWN)
+        got, want = (f(level, sources, connectivity, rule == "arrival" if f is fronts._fronts else rule) for f in (fronts._fronts, fronts.settle_in_order))
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert (fronts._fronts(level, sources, connectivity, rule == "arrival", True)[0] == want[0]).all()
+
+
+def test_rounds_do_not_count_steps_up(spark, monkeypatch):
+    """A short way on a high level, told across blocks before the long low one is known."""
+    level = np.full((1, 2, 40), -1)
+    level[0, 0, :] = 5
+    level[0, 1, :] = 1
+    level[0, 0, 0] = 9
+    level[0, 1, 0] = 9
+    markers = np.zeros(level.shape, int)
+    markers[0, 0, 0], markers[0, 1, 39] = 7, 8
+    rounds, real = [], fronts.written
+    monkeypatch.setattr(fronts, "written", lambda df, name="step": (rounds.append(name), real(df, name))[1])
+    out = {(r["x"], r["y"]): (r["level"], r["steps"], r["label"]) for r in fronts.flood(frame(spark, level, markers), Grid(40, 2, 1), edge=3).collect()}
+    sources = [(0, 0, 0, 7), (79, 0, 0, 8)]
+    high, steps, label = fronts.settle_in_order(level, sources)
+    assert out == {(x, y): (int(high[0, y, x]), int(steps[0, y, x]), int(label[0, y, x])) for x in range(40) for y in range(2)}
+    assert rounds.count("told") <= 12

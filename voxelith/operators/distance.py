@@ -270,7 +270,7 @@ def watershed(vox: DataFrame, grid: Grid, cost: str = "cost", markers: str = "se
     own order of voxels.  ``compact`` measures distances in the diagonal of ``shape`` (x, y, z;
     by default that of the bounding box); chains cost more than keys, so its blocks are smaller.
     """
-    edge = edge or (32 if mode == "compact" else 64)
+    edge = edge or (32 if mode == "compact" else None)
     c = F.col(cost).cast("double")
     box = [f(a).alias(f"{f.__name__}{a}") for a in AXES for f in (F.min, F.max)]
     r = vox.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), *box).first()

@@ -22,9 +22,15 @@ the keys are those of the whole.
 It ends: of the voxels with a wrong key after a round let m be the least of their present and
 final keys.  A wrong key comes from a wrong one that is less, before or after; following these
 leads out of the block, to a voxel that was wrong a round earlier and whose key is less.  So m
-grows with each round, and there are finitely many keys.  Keys may rise again on the way (a
-way with few steps may turn out not to be the one on the lowest level), so a block never keeps
-an old key for being less.
+grows with each round, and there are finitely many keys.  Keys may rise again on the way (of
+compact floods), so a block never keeps an old key for being less.
+
+Levels and steps settle one after the other.  A way with few steps may turn out not to be the
+one on the lowest level; blocks would then hand its steps back and forth, one more each time,
+until they exceed the right ones.  So blocks first tell each other levels alone, which only
+fall; these fix from where a key may come.  Then they tell steps and labels, with UNKNOWN for
+voxels nothing was told of yet, and over fixed pairs these only fall too (by ``arrival`` labels
+follow when the steps are right).  Each takes as many rounds as ways cross blocks.
 
 The volume is written once, a row of arrays a block; rounds move only the keys of voxels at
 blocks' faces, and only blocks that were told something new work.
@@ -48,6 +54,10 @@ from ..lineage import discard, written
 
 RULES = ("geodesic", "arrival")
 LEVELS = 65535
+#: Steps and label of a voxel whose level only is told yet.
+UNKNOWN = (1 << 46, (1 << 62) - 1)
+#: Arrays of fewer places are flooded place by place.
+SMALL = 4096
 _BLOCK = ["bx", "by", "bz"]
 _KEY = "level int, steps long, label long"
 _CHAIN = "chain binary, label long"
@@ -61,14 +71,142 @@ def extents(dims: tuple[int, int, int], edge: int) -> tuple[int, int, int]:
     return tuple(out)
 
 
-def settle(level: np.ndarray, sources: Iterable[tuple[int, int, int, int]], connectivity: int = 6, rule: str = "geodesic") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _once(j: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each place of ``j`` once; ``at`` is room for an index a place."""
+    n = np.arange(len(j))
+    at[j] = n
+    return j[at[j] == n]
+
+
+class _Slow(Exception):
+    """Fronts so thin that array operations do not pay."""
+
+
+def block_edge(dims: tuple[int, int, int]) -> int:
+    """64; in volumes of more than 2^23 places up to 128, so that there are 32 blocks and few rounds."""
+    return min(128, max(64, round((dims[0] * dims[1] * dims[2] / 32) ** (1 / 3))))
+
+
+def settle(level: np.ndarray, sources: Iterable[tuple[int, int, int, int]], connectivity: int = 6, rule: str = "geodesic", only_levels: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(level, steps, label) of each place of an array of levels; where nothing came level is -1.
 
     ``level``: -1 outside the domain; ``sources``: (flat index, level, steps, label), they keep
-    their keys.  Keys are packed into one integer, in whose order they are taken.
+    their keys; ``only_levels``: steps and labels are not wanted.
+
+    Whole fronts of places move at once.  First the levels, the least over all ways of the
+    highest level on the way, in bands from below.  They fix from where a key may come: n hands
+    its level on to j only where max(level of n, own level of j) is j's.  Over these pairs steps
+    are those of a breadth-first search (by ``arrival`` from all places that a lower one rises
+    to), and the label is the least one among the ways with fewest steps.  Winding ways, whose
+    fronts are few places each, and small arrays are taken in the order of keys instead.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule}")
+    sources = list(sources)
+    if level.size < SMALL:
+        return settle_in_order(level, sources, connectivity, rule)
+    try:
+        return _fronts(level, sources, connectivity, rule == "arrival", only_levels)
+    except _Slow:
+        return settle_in_order(level, sources, connectivity, rule)
+
+
+def _fronts(level: np.ndarray, sources: list[tuple[int, int, int, int]], connectivity: int, rises: bool, only_levels: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    shape, far, inner = tuple(n + 2 for n in level.shape), np.int64(1) << 62, (slice(1, -1),) * 3
+    own = np.full(shape, -1, np.int64)
+    own[inner] = level
+    own = own.ravel()
+    high, steps, label, room = (np.full(own.size, v, np.int64) for v in (far, far, far, 0))
+    step = [dz * shape[1] * shape[2] + dy * shape[2] + dx for dz, dy, dx in stencil(connectivity)]
+    free = own >= 0
+    given = np.array(sources, np.int64).reshape(-1, 4)
+    start = np.ravel_multi_index(tuple(k + 1 for k in np.unravel_index(given[:, 0], level.shape)), shape) if len(given) else np.zeros(0, np.int64)
+    free[start] = False  # nothing is handed to a source
+    high[start], steps[start], label[start] = given[:, 1:].T
+    left = 1000 + own.size // 40
+
+    def turn() -> None:
+        nonlocal left
+        left -= 1
+        if left < 0:
+            raise _Slow
+
+    later = [start]
+    for limit in (*np.unique(np.quantile(own[free], np.linspace(0, 1, 33)[1:-1], method="lower") if free.any() else []), far):
+        waiting = _once(np.concatenate(later), room)
+        below = high[waiting] <= limit
+        front, later = waiting[below], [waiting[~below]]
+        while len(front):
+            turn()
+            from_, found = high[front], []
+            for s in step:
+                j = front + s
+                new = np.maximum(from_, own[j])
+                less = free[j] & (new < high[j])
+                j = j[less]
+                high[j] = new[less]
+                found.append(j)
+            front = _once(np.concatenate(found), room)
+            below = high[front] <= limit
+            later.append(front[~below])
+            front = front[below]
+
+    if only_levels:
+        return np.where(high == far, -1, high).reshape(shape)[inner], steps.reshape(shape)[inner], label.reshape(shape)[inner]
+    if rises:
+        lower = np.zeros(own.size, bool)
+        at = np.flatnonzero(free & (own == high))
+        for s in step:
+            lower[at] |= high[at + s] < high[at]
+        roots = np.flatnonzero(lower)
+        steps[roots] = 0
+        begin = np.concatenate([start, roots])
+    else:
+        begin = start
+    begin = begin[np.argsort(steps[begin], kind="stable")]
+    counts, firsts = np.unique(steps[begin], return_index=True)
+    ends, k, n, front = [*firsts[1:].tolist(), len(begin)], 0, 0, np.zeros(0, np.int64)
+    while len(front) or k < len(counts):
+        if not len(front):
+            n = int(counts[k])
+        if k < len(counts) and counts[k] == n:
+            front = np.concatenate([front, begin[firsts[k] : ends[k]]])
+            k += 1
+        turn()
+        from_, named, found = high[front], label[front], []
+        for s in step:
+            j = front + s
+            some = free[j] & (steps[j] > n)
+            some &= high[j] == (from_ if rises else np.maximum(from_, own[j]))
+            j = j[some]
+            fresh = steps[j] > n + 1
+            if not rises:
+                label[j] = np.where(fresh, named[some], np.minimum(label[j], named[some]))
+            j = j[fresh]
+            steps[j] = n + 1
+            found.append(j)
+        front, n = np.concatenate(found), n + 1
+
+    front = start if rises else front[:0]
+    while len(front):
+        turn()
+        from_, count, named, found = high[front], steps[front], label[front], []
+        for s in step:
+            j = front + s
+            up = (high[j] > from_) & (own[j] == high[j])
+            less = free[j] & (up | (high[j] == from_) & (steps[j] == count + 1)) & (named < label[j])
+            j = j[less]
+            label[j] = named[less]
+            found.append(j)
+        front = _once(np.concatenate(found), room)
+
+    none = high == far
+    out = np.where(none, -1, high), np.where(none, 0, steps), np.where(none, 0, label)
+    return tuple(a.reshape(shape)[inner] for a in out)
+
+
+def settle_in_order(level: np.ndarray, sources: Iterable[tuple[int, int, int, int]], connectivity: int = 6, rule: str = "geodesic") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``settle``, one place after the other: keys are packed into one integer, in whose order they are taken."""
     rises = rule == "arrival"
     shape = tuple(n + 2 for n in level.shape)
     c = np.full(shape, -1, np.int64)
@@ -189,7 +327,7 @@ class Front:
         self.markers = [(int(i), 0, 0, int(v)) for i, v in zip(flat, np.frombuffer(row["labels"], np.int64), strict=True)]
         self.connectivity, self.rule, self.dims, self.scale = connectivity, rule, dims, scale
 
-    def settled(self, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def settled(self, told: pa.Table, only_levels: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the block's own voxels; ``told``: x, y, z, level, steps, label around it."""
         x, y, z = (np.asarray(told.column(a)).astype(np.int64) - lo + 1 for a, lo in zip(AXES, self.low, strict=True))
         around = np.ravel_multi_index((z, y, x), self.level.shape) if len(x) else np.zeros(0, np.int64)
@@ -197,7 +335,8 @@ class Front:
             return self.chained(around.tolist(), told.column("chain").to_pylist())
         sources = [*self.markers, *zip(around.tolist(), *(told.column(k).to_pylist() for k in ("level", "steps", "label")), strict=True)]
         inner = (slice(1, -1),) * 3
-        return tuple(a[inner] for a in settle(self.level, sources, self.connectivity, self.rule))
+        high, steps, label = (a[inner] for a in settle(self.level, sources, self.connectivity, self.rule, only_levels))
+        return (high, *(np.full(high.shape, k) for k in UNKNOWN)) if only_levels else (high, steps, label)
 
     def chained(self, around: list[int], told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(0 where reached, else -1; chains; labels)."""
@@ -259,7 +398,7 @@ def _blocks(vox: DataFrame, grid: Grid, edges: tuple[int, int, int]) -> DataFram
     return cut.groupBy(*_BLOCK).applyInArrow(run, "bx int, by int, bz int, levels binary, places binary, labels binary")
 
 
-def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int = 6, edge: int = 64, scale: float = 0.0) -> DataFrame:
+def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int = 6, edge: int | None = None, scale: float = 0.0) -> DataFrame:
     """x, y, z, level, steps, label of all voxels of (x, y, z, level, marker); 0 and null where nothing came.
 
     Voxels that are not in the table are no way.  A marker is a label other than 0.  By the rule
@@ -267,20 +406,21 @@ def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int
     """
     if rule not in (*RULES, "compact"):
         raise ValueError(f"unknown rule {rule}")
-    dims, tells, edges = grid.dims, [f"r{a}" for a in AXES], extents(grid.dims, edge)
+    dims, tells = grid.dims, [f"r{a}" for a in AXES]
+    edges = extents(dims, edge or block_edge(dims))
     blocks = written(_blocks(vox, grid, edges), "blocks")
     kind = _CHAIN if rule == "compact" else _KEY
     key = [k.split()[0] for k in kind.split(", ")]
     fields = [(k, {"level": pa.int32(), "chain": pa.binary()}.get(k, pa.int64())) for k in key]
     columns = [*tells, *AXES, *key]
 
-    def work(block: pa.Table, said: pa.Table) -> pa.Table:
+    def work(block: pa.Table, said: pa.Table, only_levels: bool) -> pa.Table:
         schema = pa.schema([*((k, pa.int32()) for k in (*_BLOCK, *tells, *AXES)), *fields, ("changed", pa.bool_())])
         if not block.num_rows:
             return schema.empty_table()
         front = Front(block, edges, dims, connectivity, rule, scale)
         told, before = said.filter(said.column("told")), said.filter(pc.invert(said.column("told")))
-        new = front.tells(front.settled(told))
+        new = front.tells(front.settled(told, only_levels))
         old = dict(zip(zip(*(before.column(k).to_pylist() for k in (*tells, *AXES)), strict=True), zip(*(before.column(k).to_pylist() for k in key), strict=True), strict=True)) if before.num_rows else {}
         at, keys = zip(*(new[k].tolist() for k in (*tells, *AXES)), strict=True), zip(*(new[k].tolist() for k in key), strict=True)
         changed = [old.get(a) != k for a, k in zip(at, keys, strict=True)]
@@ -309,24 +449,25 @@ def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int
         """Rows by the block that hears them."""
         return said.select(*(F.col(f"r{a}").alias(f"b{a}") for a in AXES), *AXES, *key)
 
-    turn = blocks.select(*_BLOCK)
-    while True:
-        none = (F.lit(None).cast("int").alias(t) for t in tells)
-        both = heard(said).select(*_BLOCK, *none, *AXES, *key, F.lit(True).alias("told")).unionByName(said.withColumn("told", F.lit(False)))
-        now = blocks.join(turn, _BLOCK, "left_semi").groupBy(*_BLOCK).cogroup(both.join(turn, _BLOCK, "left_semi").groupBy(*_BLOCK))
-        new = written(now.applyInArrow(_two(work), kinds + ", changed boolean"), "told")
-        dirty = written(new.filter("changed").select(*(F.col(f"r{a}").alias(f"b{a}") for a in AXES)).distinct().join(blocks.select(*_BLOCK), _BLOCK, "left_semi"), "turn")
-        old, said = said, written(said.join(turn, _BLOCK, "left_anti").unionByName(new.drop("changed")), "said")
-        discard(old)
-        discard(new)
-        turn = dirty
-        if turn.isEmpty():
-            break
+    for only_levels in (False,) if rule == "compact" else (True, False):
+        turn = blocks.select(*_BLOCK)
+        while True:
+            none = (F.lit(None).cast("int").alias(t) for t in tells)
+            both = heard(said).select(*_BLOCK, *none, *AXES, *key, F.lit(True).alias("told")).unionByName(said.withColumn("told", F.lit(False)))
+            now = blocks.join(turn, _BLOCK, "left_semi").groupBy(*_BLOCK).cogroup(both.join(turn, _BLOCK, "left_semi").groupBy(*_BLOCK))
+            new = written(now.applyInArrow(_two(work, only_levels), kinds + ", changed boolean"), "told")
+            dirty = written(new.filter("changed").select(*(F.col(f"r{a}").alias(f"b{a}") for a in AXES)).distinct().join(blocks.select(*_BLOCK), _BLOCK, "left_semi"), "turn")
+            old, said = said, written(said.join(turn, _BLOCK, "left_anti").unionByName(new.drop("changed")), "said")
+            discard(old)
+            discard(new)
+            turn = dirty
+            if turn.isEmpty():
+                break
     return blocks.groupBy(*_BLOCK).cogroup(heard(said).join(blocks.select(*_BLOCK), _BLOCK, "left_semi").groupBy(*_BLOCK)).applyInArrow(_two(last), "x int, y int, z int, " + kind.removeprefix("chain binary, "))
 
 
-def _two(run):
+def _two(run, *options):
     def apply(a: pa.Table, b: pa.Table) -> pa.Table:
-        return run(a, b)
+        return run(a, b, *options)
 
     return apply
