@@ -36,9 +36,17 @@ def landscape(crop: DataFrame, grid: Grid, variance: float = 1.0) -> DataFrame:
     return soft.join(crop, list(AXES)).select(*AXES, "mask", (-F.col("smooth")).alias("cost"))
 
 
-def barrier_tree(cost: np.ndarray, domain: np.ndarray, start: tuple[int, ...], ends: set[tuple[int, ...]], spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> dict[tuple[int, ...], tuple[int, ...]] | None:
+class Beyond(Exception):
+    """A search reached a place beside others that are not in its arrays."""
+
+
+def barrier_tree(cost: np.ndarray, domain: np.ndarray, start: tuple[int, ...], ends: set[tuple[int, ...]], spacing: tuple[float, ...] = (1.0, 1.0, 1.0), rim: np.ndarray | None = None) -> dict[tuple[int, ...], tuple[int, ...]] | None:
     """Predecessors on face-connected paths from ``start`` to all ``ends``: least highest cost,
-    then least physical length (indices and spacing z, y, x); None if one is out of reach."""
+    then least physical length (indices and spacing z, y, x); None if one is out of reach.
+
+    ``rim``: places beside others that the arrays do not hold; a search that has to go on from
+    one raises ``Beyond``, any other is that of the whole.
+    """
     best = {start: (float(cost[start]), 0.0)}
     back: dict[tuple[int, ...], tuple[int, ...]] = {}
     todo, left = [(float(cost[start]), 0.0, start)], set(ends) - {start}
@@ -47,6 +55,10 @@ def barrier_tree(cost: np.ndarray, domain: np.ndarray, start: tuple[int, ...], e
         if (high, length) > best[at]:
             continue
         left.discard(at)
+        if not left:
+            break
+        if rim is not None and rim[at]:
+            raise Beyond
         for d in SIX:
             to = tuple(a + b for a, b in zip(at, d, strict=True))
             if all(0 <= t < n for t, n in zip(to, cost.shape, strict=True)) and domain[to]:
@@ -58,12 +70,12 @@ def barrier_tree(cost: np.ndarray, domain: np.ndarray, start: tuple[int, ...], e
     return None if left else back
 
 
-def connect_seeds(cost: np.ndarray, domain: np.ndarray, seeds: list[tuple[int, ...]], spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> set[tuple[int, ...]]:
+def connect_seeds(cost: np.ndarray, domain: np.ndarray, seeds: list[tuple[int, ...]], spacing: tuple[float, ...] = (1.0, 1.0, 1.0), rim: np.ndarray | None = None) -> set[tuple[int, ...]]:
     """Seeds of a class and the paths that join each to the first."""
     out = {tuple(s) for s in seeds}
     if len(out) > 1:
         first = tuple(seeds[0])
-        back = barrier_tree(cost, domain, first, out, spacing)
+        back = barrier_tree(cost, domain, first, out, spacing, rim)
         if back is None:
             raise ValueError("seeds of a class lie in parts that do not meet")
         for at in set(out):
@@ -90,6 +102,61 @@ def split_markers(cost: np.ndarray, domain: np.ndarray, first: list, second: lis
     return out
 
 
+def _connected(crop: DataFrame, seeds: DataFrame, spacing: tuple[float, float, float], reach: int = 8) -> DataFrame:
+    """x, y, z, part: seeds of each class and the paths that join them to its first.
+
+    ``crop``: a written table.  A class is searched within ``reach`` voxels around its seeds, and
+    within four times as many as long as the search wants to leave the box; what ends inside is
+    the search of the whole.  So a task holds the object only where a search has to go all over it.
+    """
+    ends = [f(a).alias(f"{f.__name__}{a}") for a in AXES for f in (F.min, F.max)]
+    whole = crop.agg(*ends).first()
+    placed = crop.join(seeds.select(*AXES, "seq", F.col("part").alias("_class")), list(AXES))
+    boxes = {r["_class"]: r for r in placed.groupBy("_class").agg(*ends, F.count("*").alias("n")).collect()}  # two rows
+    done = []
+    while boxes:
+        limits = {k: {a: (r[f"min{a}"] - reach, r[f"max{a}"] + reach) for a in AXES} for k, r in boxes.items()}
+        rows = None
+        for k, box in limits.items():
+            inside = F.lit(True)
+            for a in AXES:
+                inside = inside & F.col(a).between(*box[a])
+            own = seeds.filter(F.col("part") == k).select(*AXES, F.lit(True).alias("_seed"), F.col("seq").cast("long").alias("seq"))
+            near = crop.filter(inside & (F.col("mask") != 0)).select(*AXES, "cost").join(F.broadcast(own), list(AXES), "left")
+            near = near.select(F.lit(k).cast("long").alias("part"), *AXES, "cost", F.lit(True).alias("own"), F.coalesce("_seed", F.lit(False)).alias("seed"), F.coalesce("seq", F.lit(0)).alias("seq"))
+            rows = near if rows is None else rows.unionByName(near)
+
+        def run(table: pa.Table, limits=limits) -> pa.Table:
+            k = table.column("part")[0].as_py()
+            b = Block(table, {"cost": 0.0, "seed": False, "seq": 0})
+            rim = np.zeros(b.present.shape, bool)
+            for axis, a in enumerate(reversed(AXES)):
+                at = np.arange(rim.shape[axis]) + b.low[2 - axis]
+                cut = ((at == limits[k][a][0]) & (at > whole[f"min{a}"])) | ((at == limits[k][a][1]) & (at < whole[f"max{a}"]))
+                rim |= cut.reshape([-1 if d == axis else 1 for d in range(3)])
+            first = [p for _, p in sorted((int(b["seq"][p]), p) for p in map(tuple, np.argwhere(b["seed"])))]
+            out = np.zeros(rim.shape, bool)
+            try:
+                for p in connect_seeds(b["cost"], b.present, first, spacing[::-1], rim):
+                    out[p] = True
+                found = b.rows(out)
+            except Beyond:
+                found = b.rows(out | b["seed"])
+            n = found.num_rows
+            return found.append_column("part", pa.array([k] * n, pa.int64())).append_column("complete", pa.array([bool(out.any())] * n))
+
+        found = written(rows.groupBy("part").applyInArrow(_typed(run), "x int, y int, z int, part long, complete boolean"), "paths")
+        done.append(found.filter("complete").drop("complete"))
+        again = {r["part"] for r in found.filter("not complete").select("part").distinct().collect()}
+        boxes, reach = {k: r for k, r in boxes.items() if k in again}, 4 * reach
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    if not out.groupBy(*AXES).agg(F.count_distinct("part").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("the classes share a voxel")
+    return out
+
+
 def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, connect: bool = True, allow_parts: bool = False, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """x, y, z, part (1 or 2) of the object's voxels.
 
@@ -97,9 +164,10 @@ def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, co
     (x, y, z) is that of connecting paths.  Both parts must be there, together be the object,
     and hang together unless ``allow_parts``.
 
-    Without compactness the flood is geodesic and runs in blocks.  Seeds of a class are
-    connected, and compact floods run, with the object as one group.
+    Without compactness the flood is geodesic and runs in blocks, and seeds of a class are
+    connected in boxes around them.  Compact floods run with the object as one group.
     """
+    crop = written(crop.select(*AXES, "mask", "cost"), "crop")
     s = seeds.select(*AXES, F.struct("seq", "part").alias("_s"))
     rows = crop.select(*AXES, F.col("mask").cast("int").alias("mask"), F.col("cost").cast("double").alias("cost"), F.lit(True).alias("own")).join(s, list(AXES), "left").select("*", F.coalesce("_s.part", F.lit(0)).alias("part"), F.coalesce("_s.seq", F.lit(0)).cast("long").alias("seq"))
 
@@ -110,19 +178,19 @@ def seeded_split(crop: DataFrame, seeds: DataFrame, compactness: float = 0.0, co
             raise ValueError("a seed lies outside the object")
         order = sorted((int(b["seq"][p]), int(b["part"][p]), p) for p in map(tuple, np.argwhere(b["part"] != 0)))
         marks = split_markers(b["cost"], domain, *([p for _, k, p in order if k == c] for c in (1, 2)), connect, spacing[::-1])
-        if not compactness:
-            return b.rows(domain & (marks != 0), part=marks)
         return b.rows(domain, part=flood(inverted_levels(b["cost"], domain), marks, domain, 6, "compact", compactness))
 
     inside = rows.filter("mask <> 0")
-    if connect or compactness:
+    if compactness:
         marked = rows.select(*AXES, "mask", "cost", "part", "seq", "own").groupBy(F.lit(0).alias("object")).applyInArrow(_typed(run), "x int, y int, z int, part long")
     else:
-        # markers as they are: an error where one lies outside, or a class has none
+        # an error where a marker lies outside, or a class has none
         found = rows.filter("part <> 0").agg(F.count_if(F.col("mask") == 0), F.count_if(F.col("part") == 1), F.count_if(F.col("part") == 2)).first()
         if found[0] or not found[1] or not found[2]:
             raise ValueError("a seed lies outside the object" if found[0] else "each class needs a seed")
         marked = inside.filter("part <> 0").select(*AXES, F.col("part").cast("long").alias("part"))
+        if connect:
+            marked = _connected(crop, seeds, spacing)
     if not compactness:
         marked = watershed(inside.select(*AXES, "cost").join(marked.withColumnRenamed("part", "seed"), list(AXES), "left").withColumn("seed", F.coalesce("seed", F.lit(0))), grid_of(crop), mode="geodesic").withColumnRenamed("label", "part")
     out = written(marked, "parts")
