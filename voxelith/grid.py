@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -72,28 +73,43 @@ def spaced(s: float) -> float:
     return s if np.isfinite(s) and s > 0 else 1.0
 
 
-def with_blocks(vox: DataFrame, grid: Grid, edge: int, halo: int, lower_only: bool = False) -> DataFrame:
+def joined_blocks(dims: tuple[int, int, int], sizes: tuple[int, int, int], most: int = 64, voxels: int = 1 << 18) -> tuple[int, int, int]:
+    """Sizes of blocks, of ``sizes`` or a multiple.
+
+    More than ``most`` blocks are joined, along their shortest sides first, until there are no
+    more than that or a block holds so many ``voxels``.  So what each block costs, whatever is
+    in it, does not grow with the volume before its voxels do.
+    """
+    out = list(sizes)
+    while prod(-(-n // s) for n, s in zip(dims, out, strict=True)) > most and prod(min(n, s) for n, s in zip(dims, out, strict=True)) < voxels:
+        out[min((k for k in range(3) if out[k] < dims[k]), key=lambda k: out[k])] *= 2
+    return tuple(out)
+
+
+def with_blocks(vox: DataFrame, grid: Grid, edge: int | tuple[int, int, int], halo: int, lower_only: bool = False) -> DataFrame:
     """One row for each block that sees the voxel: adds bx, by, bz and ``own``.
 
+    ``edge``: of a cube, or the sizes along x, y and z.
     ``lower_only``: only blocks below see their upper neighbours' first layers, one axis
     at a time (what pairs of face neighbours need).
     """
-    blocks = {a: F.floor(F.col(a) / edge).cast("int") for a in AXES}
-    most = dict(zip(AXES, ((d - 1) // edge for d in grid.dims), strict=True))
+    size = dict(zip(AXES, edge if isinstance(edge, tuple) else (edge,) * 3, strict=True))
+    blocks = {a: F.floor(F.col(a) / size[a]).cast("int") for a in AXES}
+    most = {a: (d - 1) // size[a] for a, d in zip(AXES, grid.dims, strict=True)}
     own = F.struct(*(blocks[a].alias(f"b{a}") for a in AXES))
     if lower_only:
         seen = [own]
         for a in AXES:
             moved = F.struct(*((blocks[b] - 1 if a == b else blocks[b]).alias(f"b{b}") for b in AXES))
-            seen.append(F.when((F.col(a) % edge < halo) & (blocks[a] > 0), moved))
+            seen.append(F.when((F.col(a) % size[a] < halo) & (blocks[a] > 0), moved))
         seen = F.filter(F.array(*seen), lambda s: s.isNotNull())
     else:
         steps = {
             a: F.filter(
                 F.array(
                     blocks[a],
-                    F.when((F.col(a) % edge < halo) & (blocks[a] > 0), blocks[a] - 1),
-                    F.when((F.col(a) % edge >= edge - halo) & (blocks[a] < most[a]), blocks[a] + 1),
+                    F.when((F.col(a) % size[a] < halo) & (blocks[a] > 0), blocks[a] - 1),
+                    F.when((F.col(a) % size[a] >= size[a] - halo) & (blocks[a] < most[a]), blocks[a] + 1),
                 ),
                 lambda s: s.isNotNull(),
             )

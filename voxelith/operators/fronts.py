@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..grid import AXES, Grid, stencil
+from ..grid import AXES, Grid, joined_blocks, stencil
 from ..lineage import discard, written
 
 RULES = ("geodesic", "arrival")
@@ -403,11 +403,13 @@ def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int
 
     Voxels that are not in the table are no way.  A marker is a label other than 0.  By the rule
     ``compact`` (``scale``: what a unit of distance costs) there are no level and steps.
+    ``edge``: of a block; where that makes very many blocks they are joined (the keys do not
+    depend on the blocks, the rounds and their fixed costs do).
     """
     if rule not in (*RULES, "compact"):
         raise ValueError(f"unknown rule {rule}")
     dims, tells = grid.dims, [f"r{a}" for a in AXES]
-    edges = extents(dims, edge or block_edge(dims))
+    edges = joined_blocks(dims, extents(dims, edge or block_edge(dims)))
     blocks = written(_blocks(vox, grid, edges), "blocks")
     kind = _CHAIN if rule == "compact" else _KEY
     key = [k.split()[0] for k in kind.split(", ")]
