@@ -4,6 +4,9 @@ Two tables, both partitioned by ``block``: the voxels (x, y, z, label) and the p
 say what a block adds to the graph: (label, null, n) for its voxels of a label and (label,
 neighbour, n, box) for those of them that touch a neighbour, in this block or beside it.  A
 voxel is in one block, so the graph is the sum of the parts.
+
+A block is a folder in each table.  Blocks have ``edge`` voxels a side; where there would be
+more than FOLDERS of them, they are joined until they hold FOLDER_VOXELS (see ``joined_blocks``).
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..grid import AXES, Grid, with_blocks
+from ..grid import AXES, Grid, joined_blocks, with_blocks
 from ..lineage import discard, shared_path, written
 from .neighbours import ranked
 from .working import Working, explode_groups, groups_near
@@ -24,6 +27,7 @@ _VOXELS = "x int, y int, z int, label long, block long"
 _PARTS = "label long, neighbour long, n long, " + ", ".join(f"{c} int" for c in _BOX) + ", block long"
 #: Up to so many blocks (8 bytes each) are broadcast, which prunes the folders that a scan opens.
 BROADCAST_BLOCKS = 100_000
+FOLDERS, FOLDER_VOXELS = 64, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -42,8 +46,12 @@ class Blocks:
     def parts(self) -> DataFrame:
         return self.spark.read.schema(_PARTS).parquet(f"{self.path}/parts")
 
+    @property
+    def sizes(self) -> tuple[int, int, int]:
+        return joined_blocks(self.grid.dims, (self.edge,) * 3, FOLDERS, FOLDER_VOXELS)
+
     def number(self, bx: Column, by: Column, bz: Column) -> Column:
-        nx, ny = (-(-d // self.edge) for d in self.grid.dims[:2])
+        nx, ny = (-(-d // s) for d, s in zip(self.grid.dims[:2], self.sizes[:2], strict=True))
         return bx.cast("long") + by.cast("long") * nx + bz.cast("long") * (nx * ny)
 
 
@@ -51,7 +59,7 @@ def create(vox: DataFrame, grid: Grid, edge: int = 256, ignored: Iterable[int] =
     """Write both tables of a volume (x, y, z, label; places without a row belong to no label)."""
     spark = vox.sparkSession
     store = Blocks(spark, path or shared_path(spark, "blocks"), grid, edge, tuple(ignored))
-    own = store.number(*(F.floor(F.col(a) / edge) for a in AXES))
+    own = store.number(*(F.floor(F.col(a) / s) for a, s in zip(AXES, store.sizes, strict=True)))
     _replace(vox.select(*(F.col(a).cast("int").alias(a) for a in AXES), F.col("label").cast("long").alias("label"), own.alias("block")), f"{store.path}/voxels")
     _replace(_parts(store, store.voxels()), f"{store.path}/parts")
     return store
@@ -70,7 +78,7 @@ def _within(df: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _parts(store: Blocks, vox: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Parts of all blocks, or of those in ``only``, whose voxels and neighbours ``vox`` holds."""
-    seen = with_blocks(vox.select(*AXES, "label"), store.grid, store.edge, 1).withColumn("block", store.number(*(F.col(f"b{a}") for a in AXES)))
+    seen = with_blocks(vox.select(*AXES, "label"), store.grid, store.sizes, 1).withColumn("block", store.number(*(F.col(f"b{a}") for a in AXES)))
     seen = (seen if only is None else _within(seen, only)).select(*AXES, "label", "own", "block").repartition("block")
     beside = []
     for a in AXES:
@@ -113,7 +121,7 @@ def graph(store: Blocks) -> Working:
 
 def _near(store: Blocks, blocks: DataFrame) -> DataFrame:
     """The blocks with the six beside each."""
-    n = [-(-d // store.edge) for d in store.grid.dims]
+    n = [-(-d // s) for d, s in zip(store.grid.dims, store.sizes, strict=True)]
     at = {"x": F.col("block") % n[0], "y": F.floor(F.col("block") / n[0]) % n[1], "z": F.floor(F.col("block") / (n[0] * n[1]))}
     seen = [F.col("block")]
     for k, a in enumerate(AXES):
@@ -147,7 +155,7 @@ def refresh(store: Blocks, changes: DataFrame, w: Working, also: DataFrame | Non
     change = written(kept.filter(inside).groupBy(*AXES).agg(F.max("_new").alias("_new")), "changes")
     if change.isEmpty():
         return w if also is None else explode_groups(w, also).written()
-    reached = with_blocks(change, store.grid, store.edge, 1)
+    reached = with_blocks(change, store.grid, store.sizes, 1)
     reached = reached.select(store.number(*(F.col(f"b{a}") for a in AXES)).alias("block"), "own")
     reached = written(reached.groupBy("block").agg(F.max("own").alias("own")), "reached")
     affected = reached.select("block")
@@ -218,9 +226,9 @@ def within_box(store: Blocks, voxels: DataFrame, reach: int = 2) -> DataFrame:
     """Stored voxels of the blocks that the bounding box of ``voxels``, ``reach`` wider, meets."""
     box = voxels.agg(*(f(a).alias(f"{f.__name__}{a}") for a in AXES for f in (F.min, F.max)))
     blocks = box
-    for a, d in zip(AXES, store.grid.dims, strict=True):
-        first = F.greatest(F.floor((F.col(f"min{a}") - reach) / store.edge), F.lit(0))
-        last = F.least(F.floor((F.col(f"max{a}") + reach) / store.edge), F.lit((d - 1) // store.edge))
+    for a, d, s in zip(AXES, store.grid.dims, store.sizes, strict=True):
+        first = F.greatest(F.floor((F.col(f"min{a}") - reach) / s), F.lit(0))
+        last = F.least(F.floor((F.col(f"max{a}") + reach) / s), F.lit((d - 1) // s))
         blocks = blocks.withColumn(f"b{a}", F.explode(F.sequence(first, last)))
     return _within(store.voxels(), written(blocks.select(store.number(*(F.col(f"b{a}") for a in AXES)).alias("block")), "box"))
 
