@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, shifted, with_blocks
+from ..grid import AXES, SIX, TWENTY_SIX, Block, Grid, by_block, shifted, with_blocks
 from ..lineage import written
 
 
@@ -58,6 +58,31 @@ def two_sided(sides: DataFrame) -> DataFrame:
     return ranked(e, "lo", "hi")
 
 
+def touching(vox: DataFrame, grid: Grid, ignored: Iterable[int] = (0,), edge: int = 64) -> DataFrame:
+    """edge_id, lo, hi, voxels: the edges of ``two_sided``, counted inside blocks.
+
+    What is shuffled is a row a pair of labels and block, not one a side and voxel.
+    """
+
+    def kernel(table: pa.Table) -> pa.Table:
+        b = Block(table, {"label": 0})
+        own = b["label"][b.own]
+        near = np.stack([np.where(shifted(b.present, *d, False), shifted(b["label"], *d, 0), b["label"])[b.own] for d in SIX], axis=1)
+        near.sort(axis=1)
+        other = near != own[:, None]
+        other[:, 1:] &= near[:, 1:] != near[:, :-1]  # a voxel counts once for each neighbour
+        i, j = np.nonzero(other)
+        names, at = np.unique(np.stack([own[i], near[i, j]]), return_inverse=True)
+        at = at.reshape(2, -1)
+        pair, n = np.unique(at.min(axis=0) * len(names) + at.max(axis=0), return_counts=True)
+        k = max(1, len(names))
+        return pa.table({"lo": pa.array(names[pair // k]), "hi": pa.array(names[pair % k]), "n": pa.array(n)})
+
+    rows = vox.select(*AXES, F.col("label").cast("long").alias("label")).filter(F.col("label").isNotNull() & ~F.col("label").isin(list(ignored)))
+    each = by_block(rows, grid, kernel, "lo long, hi long, n long", edge)
+    return ranked(each.groupBy("lo", "hi").agg(F.sum("n").alias("voxels")), "lo", "hi")
+
+
 def ranked(edges: DataFrame, *by: str) -> DataFrame:
     """Dense ids in the order of ``by`` by range partitions, without gathering the rows in one task.
 

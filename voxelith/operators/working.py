@@ -17,7 +17,7 @@ from ..grid import AXES, Grid
 from ..lineage import written
 from .components import components, group_components, split_disconnected
 from .graph import connected
-from .neighbours import one_sided, ranked, two_sided
+from .neighbours import ranked, touching
 from .paths import shortest
 
 
@@ -35,7 +35,7 @@ class Working:
 def build(vox: DataFrame, grid: Grid, background: int = 0) -> Working:
     """Nodes, edges and the identity grouping of a label volume."""
     labels = vox.filter(F.col("label") != background).select(F.col("label").cast("long").alias("label")).distinct()
-    edges = written(two_sided(one_sided(vox, grid, [background])).select("edge_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "voxels"), "edges")
+    edges = written(touching(vox, grid, [background]), "edges")
     free = (vox.agg(F.max("label").alias("m")).first()["m"] or 0) + 1
     return Working(written(labels.withColumn("working", F.col("label")), "members"), edges, edges.select("edge_id", F.lit(0).alias("status")), free)
 
