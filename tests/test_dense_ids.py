@@ -14,6 +14,7 @@ from voxelith.registry import QUERIES, SQL
 #: Query and how many copies of the events of sf0.1 it reads.
 CASES = {
     "g05_edge_status": 1,
+    "g05_merge_edge_set": 1,
 }
 
 
