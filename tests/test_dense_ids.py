@@ -15,6 +15,7 @@ from voxelith.registry import QUERIES, SQL
 CASES = {
     "g05_edge_status": 1,
     "g05_merge_edge_set": 1,
+    "g08_split_group": 1,
 }
 
 
