@@ -16,6 +16,7 @@ CASES = {
     "g05_edge_status": 1,
     "g05_merge_edge_set": 1,
     "g08_split_group": 1,
+    "g10_explode_groups": 1,
 }
 
 
