@@ -17,6 +17,7 @@ CASES = {
     "g05_merge_edge_set": 1,
     "g08_split_group": 1,
     "g10_explode_groups": 1,
+    "g12_remove_node": 1,
 }
 
 
