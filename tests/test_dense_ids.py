@@ -18,6 +18,7 @@ CASES = {
     "g08_split_group": 1,
     "g10_explode_groups": 1,
     "g12_remove_node": 1,
+    "g14_label_volume": 1,
 }
 
 
