@@ -19,6 +19,7 @@ CASES = {
     "g10_explode_groups": 1,
     "g12_remove_node": 1,
     "g14_label_volume": 1,
+    "g15_groups_near_refinement": 1,
 }
 
 
