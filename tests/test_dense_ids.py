@@ -20,6 +20,7 @@ CASES = {
     "g12_remove_node": 1,
     "g14_label_volume": 1,
     "g15_groups_near_refinement": 1,
+    "g18_large_groups": 1,
 }
 
 
