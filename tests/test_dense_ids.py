@@ -21,6 +21,7 @@ CASES = {
     "g14_label_volume": 1,
     "g15_groups_near_refinement": 1,
     "g18_large_groups": 1,
+    "r08_greedy_settles": 4,
 }
 
 
