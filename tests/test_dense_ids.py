@@ -22,6 +22,7 @@ CASES = {
     "g15_groups_near_refinement": 1,
     "g18_large_groups": 1,
     "r08_greedy_settles": 4,
+    "r09_first_batch": 1,
 }
 
 
