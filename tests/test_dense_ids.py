@@ -23,6 +23,7 @@ CASES = {
     "g18_large_groups": 1,
     "r08_greedy_settles": 4,
     "r09_first_batch": 1,
+    "n03_two_sided_edges": 1,
 }
 
 
