@@ -14,7 +14,7 @@ from ..grid import AXES, TWENTY_SIX, Block, Grid, by_block, grid_of, shifted, st
 from ..lineage import discard, written
 from . import fronts
 from .components import components
-from .neighbours import boundary_background, local_maxima
+from .neighbours import boundary_background, local_maxima, with_rim
 
 FAR = 1e20
 LEVELS = fronts.LEVELS
@@ -71,7 +71,13 @@ def squared_distance(vox: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
     are long) is the unit of work, so no task needs a volume.  Without sites d2 is null.
     """
     marked = vox.select(*AXES).join(sites.select(*AXES).distinct().withColumn("_s", F.lit(0.0)), list(AXES), "left")
-    d = marked.select(*AXES, F.coalesce("_s", F.lit(FAR)).alias("d2"))
+    return _nearest(marked.select(*AXES, F.coalesce("_s", F.lit(FAR)).alias("d2")), grid)
+
+
+def _nearest(d: DataFrame, grid: Grid, kept: str | None = None) -> DataFrame:
+    """The passes of ``squared_distance`` over d2 (0 at sites, else FAR); a boolean column ``kept`` is carried along."""
+    more = [kept] if kept else []
+    kinds = "x int, y int, z int, " + "".join(f"{c} boolean, " for c in more) + "d2 double"
     for a, s, k in zip(AXES, (grid.sx, grid.sy, grid.sz), map(bundle, grid.dims), strict=True):
         b, c = (o for o in AXES if o != a)
 
@@ -82,10 +88,10 @@ def squared_distance(vox: DataFrame, sites: DataFrame, grid: Grid) -> DataFrame:
             f = np.full((len(names), len(at)), FAR)
             f[line, i] = np.asarray(table.column("d2"))
             out = lower_envelopes(f, at.astype(np.float64) * s)[line, i]
-            return pa.table({**{o: table.column(o) for o in AXES}, "d2": pa.array(np.minimum(out, FAR))})
+            return pa.table({**{o: table.column(o) for o in (*AXES, *more)}, "d2": pa.array(np.minimum(out, FAR))})
 
-        d = d.groupBy(F.shiftright(b, k).alias("_b"), F.shiftright(c, k).alias("_c")).applyInArrow(_typed(run), "x int, y int, z int, d2 double")
-    return d.select(*AXES, F.when(F.col("d2") < FAR / 2, F.col("d2")).alias("d2"))
+        d = d.groupBy(F.shiftright(b, k).alias("_b"), F.shiftright(c, k).alias("_c")).applyInArrow(_typed(run), kinds)
+    return d.select(*AXES, *more, F.when(F.col("d2") < FAR / 2, F.col("d2")).alias("d2"))
 
 
 def _typed(run):
@@ -96,12 +102,13 @@ def _typed(run):
 
 
 def signed_distance(vox: DataFrame, grid: Grid, mask: str = "mask") -> DataFrame:
-    """x, y, z, dist: positive where the mask is 0, negative inside; distance to the rim of background."""
-    sites = boundary_background(vox, grid, mask)
-    d = squared_distance(vox, sites, grid)
-    m = vox.select(*AXES, F.col(mask).alias("_m"))
+    """x, y, z, dist: positive where the mask is 0, negative inside; distance to the rim of background.
+
+    Blocks mark the rim on their voxels, and lines carry the side along, so nothing is joined.
+    """
+    rows = with_rim(vox, grid, mask).select(*AXES, "open", F.when(F.col("rim"), 0.0).otherwise(FAR).alias("d2"))
     root = F.sqrt(F.coalesce("d2", F.lit(0.0)))
-    return d.join(m, list(AXES)).select(*AXES, F.when(F.col("_m") == 0, root).otherwise(-root).alias("dist"))
+    return _nearest(rows, grid, "open").select(*AXES, F.when(F.col("open"), root).otherwise(-root).alias("dist"))
 
 
 def maurer_distance(vox: DataFrame, mask: str = "mask") -> DataFrame:

@@ -167,17 +167,29 @@ def local_maxima(vox: DataFrame, grid: Grid, value: str = "dist", edge: int = 32
     return by_block(vox.select(*AXES, F.col(value).cast("double").alias(value)), grid, kernel, "x int, y int, z int", edge)
 
 
-def boundary_background(vox: DataFrame, grid: Grid, mask: str = "mask", edge: int = 32) -> DataFrame:
-    """x, y, z of voxels with mask 0 that have a neighbour among 26 with another mask."""
+def _rim(mask: str, all_: bool):
+    """Kernel: own voxels with mask 0 beside another mask, or all own ones with ``rim`` and ``open``."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        b = Block(table, {mask: 0})
+        b = Block(table, {mask: 0} | ({"open": False} if all_ else {}))
         near = np.zeros_like(b.own)
         for d in TWENTY_SIX:
             near |= shifted(b[mask], *d, 0) != 0
-        return b.rows(b.own & (b[mask] == 0) & near)
+        rim = (b[mask] == 0) & near
+        return b.rows(b.own, rim=rim, open=b["open"]) if all_ else b.rows(b.own & rim)
+
+    return kernel
+
+
+def boundary_background(vox: DataFrame, grid: Grid, mask: str = "mask", edge: int = 32) -> DataFrame:
+    """x, y, z of voxels with mask 0 that have a neighbour among 26 with another mask."""
+    return by_block(vox.select(*AXES, F.col(mask).cast("int").alias(mask)), grid, _rim(mask, False), "x int, y int, z int", edge)
+
 
-    return by_block(vox.select(*AXES, F.col(mask).cast("int").alias(mask)), grid, kernel, "x int, y int, z int", edge)
+def with_rim(vox: DataFrame, grid: Grid, mask: str = "mask", edge: int = 32) -> DataFrame:
+    """x, y, z, rim, open of all voxels: whether ``boundary_background`` lists it, whether its mask is 0."""
+    rows = vox.select(*AXES, F.col(mask).cast("int").alias(mask), F.coalesce(F.col(mask) == 0, F.lit(False)).alias("open"))
+    return by_block(rows, grid, _rim(mask, True), "x int, y int, z int, rim boolean, open boolean", edge)
 
 
 def ball(radius: int) -> list[tuple[int, int, int]]:

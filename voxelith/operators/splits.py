@@ -298,4 +298,6 @@ def repair_split(vox: DataFrame, grid: Grid, dist: DataFrame) -> DataFrame:
     seeds, _ = boundary_consistent(vox, grid)
     cost = inverted(dist.select(*AXES, "dist"), "dist").select(*AXES, "cost")
     j = seeds.withColumnRenamed("label", "seed").join(cost, list(AXES)).join(vox.select(*AXES, "mask"), list(AXES)).filter("mask = 0")
-    return vox.select(*AXES).join(watershed(j, grid), list(AXES), "left").select(*AXES, F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+    # read several times, here and by what follows
+    j = written(j.select(*AXES, "cost", "seed"), "seeded")
+    return written(vox.select(*AXES).join(watershed(j, grid), list(AXES), "left").select(*AXES, F.coalesce("label", F.lit(0)).cast("long").alias("label")), "repaired")
