@@ -39,3 +39,13 @@ def test_no_edges_and_no_sources(spark):
     one = spark.createDataFrame([(3, 1, 2.0)], "node long, source int, dist double")
     assert [tuple(r) for r in paths.shortest(none, one).collect()] == [(3, 1, 2.0)]
     assert paths.shortest(none, one.filter("node = 0")).count() == 0
+
+
+def test_blocks_tell_each_other_lengths(spark):
+    """Blocks of about nine ways, on a graph whose paths change blocks often."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(50), rng.randrange(50), rng.choice([0.0, 0.1, 0.7, rng.random()])) for _ in range(90)]
+    sources = [(3, True, 0.5), (44, False, 0.0), (17, False, 0.2), (77, True, 1.0)]
+    for width in (None, 0.3):
+        got = paths.shortest(spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(sources, "node long, source boolean, dist double"), width, at_once=9)
+        assert {(r["node"], r["source"]): r["dist"] for r in got.collect()} == plain(edges, sources)
