@@ -49,3 +49,15 @@ def test_blocks_tell_each_other_lengths(spark):
     for width in (None, 0.3):
         got = paths.shortest(spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(sources, "node long, source boolean, dist double"), width, at_once=9)
         assert {(r["node"], r["source"]): r["dist"] for r in got.collect()} == plain(edges, sources)
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """A chain of 120 edges in 4 blocks is written a few times, not once for every other edge."""
+    names, real = [], paths.written
+    monkeypatch.setattr(paths, "written", lambda df, name="step": names.append(name) or real(df, name))
+    chain = spark.range(120).selectExpr("id as a", "id + 1 as b", "1.0d as weight")
+    for more in ({}, {"at_once": 60}):
+        names.clear()
+        got = paths.shortest(chain, spark.createDataFrame([(0, "a", 0.0), (120, "b", 0.0)], "node long, source string, dist double"), **more)
+        assert {(r["node"], r["source"]): r["dist"] for r in got.collect()} == {(k, s): float(d) for k in range(121) for s, d in (("a", k), ("b", 120 - k))}
+        assert len(names) < 12
