@@ -86,30 +86,32 @@ def joined_blocks(dims: tuple[int, int, int], sizes: tuple[int, int, int], most:
     return tuple(out)
 
 
-def with_blocks(vox: DataFrame, grid: Grid, edge: int | tuple[int, int, int], halo: int, lower_only: bool = False) -> DataFrame:
+def with_blocks(vox: DataFrame, grid: Grid, edge: int | tuple[int, int, int], halo: int, lower_only: bool = False, offset: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """One row for each block that sees the voxel: adds bx, by, bz and ``own``.
 
     ``edge``: of a cube, or the sizes along x, y and z.
     ``lower_only``: only blocks below see their upper neighbours' first layers, one axis
     at a time (what pairs of face neighbours need).
+    ``offset``: by which the first block of an axis is shorter than the others.
     """
     size = dict(zip(AXES, edge if isinstance(edge, tuple) else (edge,) * 3, strict=True))
-    blocks = {a: F.floor(F.col(a) / size[a]).cast("int") for a in AXES}
-    most = {a: (d - 1) // size[a] for a, d in zip(AXES, grid.dims, strict=True)}
+    at = {a: F.col(a) + o if o else F.col(a) for a, o in zip(AXES, offset, strict=True)}
+    blocks = {a: F.floor(at[a] / size[a]).cast("int") for a in AXES}
+    most = {a: (d - 1 + o) // size[a] for a, d, o in zip(AXES, grid.dims, offset, strict=True)}
     own = F.struct(*(blocks[a].alias(f"b{a}") for a in AXES))
     if lower_only:
         seen = [own]
         for a in AXES:
             moved = F.struct(*((blocks[b] - 1 if a == b else blocks[b]).alias(f"b{b}") for b in AXES))
-            seen.append(F.when((F.col(a) % size[a] < halo) & (blocks[a] > 0), moved))
+            seen.append(F.when((at[a] % size[a] < halo) & (blocks[a] > 0), moved))
         seen = F.filter(F.array(*seen), lambda s: s.isNotNull())
     else:
         steps = {
             a: F.filter(
                 F.array(
                     blocks[a],
-                    F.when((F.col(a) % size[a] < halo) & (blocks[a] > 0), blocks[a] - 1),
-                    F.when((F.col(a) % size[a] >= size[a] - halo) & (blocks[a] < most[a]), blocks[a] + 1),
+                    F.when((at[a] % size[a] < halo) & (blocks[a] > 0), blocks[a] - 1),
+                    F.when((at[a] % size[a] >= size[a] - halo) & (blocks[a] < most[a]), blocks[a] + 1),
                 ),
                 lambda s: s.isNotNull(),
             )

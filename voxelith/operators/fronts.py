@@ -34,6 +34,9 @@ follow when the steps are right).  Each takes as many rounds as ways cross block
 
 The volume is written once, a row of arrays a block; rounds move only the keys of voxels at
 blocks' faces, and only blocks that were told something new work.
+
+A compact flood first settles in phases all that a block can settle without being told (see
+``certain``); only what these leave open is told as chains.
 """
 
 from __future__ import annotations
@@ -51,6 +54,7 @@ from pyspark.sql import functions as F
 
 from ..grid import AXES, Grid, joined_blocks, stencil
 from ..lineage import discard, written
+from . import certain
 
 RULES = ("geodesic", "arrival")
 LEVELS = 65535
@@ -325,6 +329,7 @@ class Front:
         at = np.array(np.unravel_index(np.frombuffer(row["places"], np.int32), shape)) + 1
         flat = np.ravel_multi_index(tuple(at), self.level.shape)
         self.markers = [(int(i), 0, 0, int(v)) for i, v in zip(flat, np.frombuffer(row["labels"], np.int64), strict=True)]
+        self.given = [np.frombuffer(row[k], t).tolist() for k, t in (("heights", float), ("sources", np.int64))] if rule == "compact" else []
         self.connectivity, self.rule, self.dims, self.scale = connectivity, rule, dims, scale
 
     def settled(self, told: pa.Table, only_levels: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,7 +348,7 @@ class Front:
         (dx, dy, _), low, shape = self.dims, [lo - 1 for lo in self.low], self.level.shape
         at = np.unravel_index([m[0] for m in self.markers], shape) if self.markers else ((), (), ())
         scan = [int(x + low[0] + (y + low[1]) * dx + (z + low[2]) * dx * dy) for z, y, x in zip(*at, strict=True)]
-        sources = [(m[0], (0.0, m[3], i, i)) for m, i in zip(self.markers, scan, strict=True)]
+        sources = [(m[0], (high, m[3], source, i)) for m, high, source, i in zip(self.markers, *self.given, scan, strict=True)]
         sources += [(i, struct.unpack("<" + "dqqq" * (len(t) // 32), t)) for i, t in zip(around, told, strict=True)]
         found = settle_chains(self.level, sources, low, self.dims, self.scale, self.connectivity)
         reached, chains, labels = np.full(shape, -1, np.int64), np.full(shape, None, object), np.zeros(shape, np.int64)
@@ -379,8 +384,12 @@ class Front:
 
 
 def _blocks(vox: DataFrame, grid: Grid, edges: tuple[int, int, int]) -> DataFrame:
-    """One row a block: bx, by, bz, levels (int32, z y x order, -1: no voxel), places and labels of markers."""
+    """One row a block: bx, by, bz, levels (int32, z y x order, -1: no voxel), places and labels of markers.
+
+    Where ``vox`` has them (of compact floods), also ``height`` and ``source`` of the markers' keys.
+    """
     dims = grid.dims
+    more = [(k, t) for k, t in (("height", "double"), ("source", "long")) if k in vox.columns]
 
     def run(table: pa.Table) -> pa.Table:
         b = [table.column(k)[0].as_py() for k in _BLOCK]
@@ -392,10 +401,11 @@ def _blocks(vox: DataFrame, grid: Grid, edges: tuple[int, int, int]) -> DataFram
         marks = np.asarray(table.column("marker"))
         some = np.flatnonzero(marks)
         columns = [pa.array([levels.tobytes()], pa.binary()), pa.array([at[some].astype(np.int32).tobytes()], pa.binary()), pa.array([marks[some].astype(np.int64).tobytes()], pa.binary())]
-        return pa.table([*(pa.array([k], pa.int32()) for k in b), *columns], names=[*_BLOCK, "levels", "places", "labels"])
+        columns += [pa.array([np.asarray(table.column(k))[some].tobytes()], pa.binary()) for k, _ in more]
+        return pa.table([*(pa.array([k], pa.int32()) for k in b), *columns], names=[*_BLOCK, "levels", "places", "labels", *(f"{k}s" for k, _ in more)])
 
-    cut = vox.select(*AXES, F.col("level").cast("int").alias("level"), F.col("marker").cast("long").alias("marker"), *(F.floor(F.col(a) / e).cast("int").alias(f"b{a}") for a, e in zip(AXES, edges, strict=True)))
-    return cut.groupBy(*_BLOCK).applyInArrow(run, "bx int, by int, bz int, levels binary, places binary, labels binary")
+    cut = vox.select(*AXES, F.col("level").cast("int").alias("level"), F.col("marker").cast("long").alias("marker"), *(F.col(k).cast(t).alias(k) for k, t in more), *(F.floor(F.col(a) / e).cast("int").alias(f"b{a}") for a, e in zip(AXES, edges, strict=True)))
+    return cut.groupBy(*_BLOCK).applyInArrow(run, "bx int, by int, bz int, levels binary, places binary, labels binary" + "".join(f", {k}s binary" for k, _ in more))
 
 
 def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int = 6, edge: int | None = None, scale: float = 0.0) -> DataFrame:
@@ -408,8 +418,22 @@ def flood(vox: DataFrame, grid: Grid, rule: str = "geodesic", connectivity: int
     """
     if rule not in (*RULES, "compact"):
         raise ValueError(f"unknown rule {rule}")
-    dims, tells = grid.dims, [f"r{a}" for a in AXES]
+    dims = grid.dims
     edges = joined_blocks(dims, extents(dims, edge or block_edge(dims)))
+    if rule != "compact":
+        return _rounds(vox, grid, edges, rule, connectivity, scale)
+    cut = vox.select(*AXES, F.col("level").cast("int").alias("level"), F.col("marker").cast("long").alias("marker"))
+    settled, left = certain.phases(cut, grid, edges, LEVELS, scale, connectivity)
+    if left is None:
+        return settled
+    # known voxels are sources and nothing else
+    rest = left.select(*AXES, F.when(F.col("known"), -1).otherwise(F.col("level")).alias("level"), F.when(F.col("known"), F.col("label")).otherwise(0).alias("marker"), "height", "source")
+    return settled.unionByName(_rounds(rest, grid, edges, rule, connectivity, scale))
+
+
+def _rounds(vox: DataFrame, grid: Grid, edges: tuple[int, int, int], rule: str, connectivity: int, scale: float) -> DataFrame:
+    """``flood`` by blocks that tell each other keys."""
+    dims, tells = grid.dims, [f"r{a}" for a in AXES]
     blocks = written(_blocks(vox, grid, edges), "blocks")
     kind = _CHAIN if rule == "compact" else _KEY
     key = [k.split()[0] for k in kind.split(", ")]
