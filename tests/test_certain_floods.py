@@ -38,3 +38,22 @@ def test_dense_seeds_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(fronts.Front, "settled", None)
     monkeypatch.setattr(fronts, "_rounds", None)
     flooded(spark, 6, (60, 5, 6), 65536, 0.05, 6, 70, edge=6)
+
+
+
+def test_query_takes_no_rounds(spark, sf_dir, monkeypatch):
+    from collections import Counter
+
+    from voxelith.grid import voxels
+    from voxelith.registry import QUERIES
+
+    monkeypatch.setattr(fronts, "_rounds", None)
+    vox = voxels(spark, sf_dir).select(*AXES, "signal").toPandas()
+    at = tuple(vox[a].to_numpy() for a in "zyx")
+    cost, seeds = np.zeros([a.max() + 1 for a in at]), np.zeros([a.max() + 1 for a in at], int)
+    cost[at] = vox["signal"]
+    z, y, x = np.indices(cost.shape)
+    marked = (x % 5 == 2) & (y % 5 == 2) & (z % 5 == 1)
+    seeds[marked] = (1 + x // 5 + 5 * (y // 5) + 20 * (z // 5))[marked]
+    want = distance.flood(distance.quantized(cost, cost[at].min(), cost[at].max()), seeds, np.ones(cost.shape, bool), 6, "compact")
+    assert {r["label"]: r["n"] for r in QUERIES["m08_watershed_compact"](spark, sf_dir).collect()} == Counter(want[at].tolist())
