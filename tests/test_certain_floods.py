@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from voxelith.grid import AXES, Grid
-from voxelith.operators import distance, fronts
+from voxelith.operators import certain, distance, fronts
 
 
 def flooded(spark, seed, shape, levels, compactness, connectivity, markers, edge=4):
@@ -28,8 +28,10 @@ def flooded(spark, seed, shape, levels, compactness, connectivity, markers, edge
     "seed, shape, levels, compactness, connectivity, markers",
     [(1, (30, 12, 11), 65536, 0.05, 6, 60), (2, (9, 17, 30), 8, 0.5, 6, 90), (3, (12, 12, 12), 2, 2.0, 26, 40), (4, (40, 5, 4), 300, 0.0, 6, 3), (5, (14, 13, 12), 5, 0.3, 6, 0)],
 )
-def test_phases_come_to_the_queue_of_the_whole(spark, seed, shape, levels, compactness, connectivity, markers):
-    """Many seeds and few, ties of levels and of distances, places that no seed reaches."""
+@pytest.mark.parametrize("places", [64, 1 << 20])
+def test_phases_come_to_the_queue_of_the_whole(spark, monkeypatch, places, seed, shape, levels, compactness, connectivity, markers):
+    """Many seeds and few, ties of levels and of distances, places that no seed reaches; blocks that may grow and not."""
+    monkeypatch.setattr(certain, "AT_ONCE", places)
     flooded(spark, seed, shape, levels, compactness, connectivity, markers)
 
 

@@ -14,15 +14,16 @@ that label does, so a voxel that a source takes first has its final key.  What t
 stays open, with the height at which it came as the bound: no key of the voxel is less.
 
 Open voxels, which lie near the faces of blocks, go with the known ones beside them into the
-next phase, over blocks with faces elsewhere.  Where a phase settles little (few seeds, costs
-alike over long ways) what is left runs as in ``fronts``, with the known ones as sources.
+next phase, over blocks with faces elsewhere, which grow from the third on or where a phase
+settles little (few seeds, costs alike over long ways).  Where it does and blocks are as large
+as they may be, what is left runs as in ``fronts``, with the known ones as sources.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from math import inf, sqrt
+from math import inf, prod, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from ..lineage import written
 
 #: Kinds of places: of no use, to be settled, known, open and beyond the block.
 NOWHERE, OPEN, KNOWN, BEYOND = range(4)
+#: Places of the largest blocks, of about 0.8 kB each.
+AT_ONCE = 1 << 20
 _STATE = ["x", "y", "z", "level", "height", "label", "source", "known"]
 
 
@@ -128,11 +131,23 @@ def _block(table: pa.Table, dims: tuple[int, int, int], levels: int, scale: floa
 
 
 def _shares() -> Iterator[float]:
-    """0, 1/2, 1/4, 3/4, 1/8, ...: where along their edges the blocks of a phase are cut."""
+    """Where along their edges the blocks of a phase are cut; as blocks grow, away from the faces of those before."""
+    yield from (0, 1 / 2, 3 / 8, 7 / 16)
     k = 0
     while True:
-        yield sum((k >> i & 1) / 2 ** (i + 1) for i in range(k.bit_length()))
         k += 1
+        yield k * (sqrt(5) - 1) / 2 % 1
+
+
+def _grown(edges: tuple[int, int, int], dims: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Blocks up to eight times as large, their shortest sides doubled first, of at most ``AT_ONCE`` places."""
+    out = list(edges)
+    for _ in range(3):
+        shorter = [k for k in range(3) if out[k] < dims[k]]
+        if not shorter or 2 * prod(min(n, e) for n, e in zip(dims, out, strict=True)) > AT_ONCE:
+            break
+        out[min(shorter, key=lambda k: out[k])] *= 2
+    return tuple(out)
 
 
 def phases(vox: DataFrame, grid: Grid, edges: tuple[int, int, int], levels: int, scale: float, connectivity: int) -> tuple[DataFrame, DataFrame | None]:
@@ -143,7 +158,7 @@ def phases(vox: DataFrame, grid: Grid, edges: tuple[int, int, int], levels: int,
     dims, settled = grid.dims, None
     state = vox.select(*AXES, "level", F.lit(0.0).alias("height"), F.col("marker").alias("label"), grid.scan_index().alias("source"), (F.col("marker") != 0).alias("known"))
     schema = "bx int, by int, bz int, x int, y int, z int, level int, height double, label long, source long, known boolean, fresh boolean, needed boolean"
-    for share in _shares():
+    for k, share in enumerate(_shares()):
         seen = with_blocks(state, grid, edges, 1, offset=tuple(int(share * e) if e < n else 0 for e, n in zip(edges, dims, strict=True)))
         counts = Observation()
         out = seen.groupBy("bx", "by", "bz").applyInArrow(_phase(dims, levels, scale, connectivity, settled is None), schema)
@@ -153,7 +168,10 @@ def phases(vox: DataFrame, grid: Grid, edges: tuple[int, int, int], levels: int,
         if not counts.get["open"]:
             return settled, None
         state = out.filter("needed or not known").select(*_STATE)
-        if counts.get["open"] > 3 * counts.get["fresh"]:
+        slow, before = counts.get["open"] > 3 * counts.get["fresh"], edges
+        if slow or k:  # few voxels are left, or faces are in the way
+            edges = _grown(edges, dims)
+        if slow and edges == before:
             return settled, state
 
 
